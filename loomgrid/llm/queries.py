@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.llm import mixing, ogg, packing, simhash, warc
+from loomgrid.llm import forest, linededup, mixing, ogg, packing, resampling, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = linededup.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return d.select("row.doc_id", "n_lines", "n_flagged", "n_removed", d.new_text.alias("clean_text"))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,15 +29,35 @@ def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_forest_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return m.select(m.id.alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_golay, op5_ogg_media, op6_warc_normaliser, op8_best_fit_packing, op10_sainte_lague_mix)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_spread,
+        op4_simhash_golay,
+        op5_ogg_media,
+        op6_warc_normaliser,
+        op7_forest_near_dup,
+        op8_best_fit_packing,
+        op9_importance_resampling,
+        op10_sainte_lague_mix,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {"op1_line_spread": linededup.oracle()}
