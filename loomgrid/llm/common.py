@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -45,6 +46,11 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished phases now rather than at its own time."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:

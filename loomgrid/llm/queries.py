@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.llm import forest, linededup, mixing, ogg, packing, resampling, simhash, warc
+from loomgrid.llm import brown, forest, linededup, mixing, ogg, packing, resampling, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("row.doc_id", "n_lines", "n_flagged", "n_removed", d.new_text.alias("clean_text"))
 
 
+def op2_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_spread,
+        op2_brown_class_scores,
         op4_simhash_golay,
         op5_ogg_media,
         op6_warc_normaliser,
