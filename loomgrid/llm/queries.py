@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.llm import brown, forest, linededup, mixing, ogg, packing, resampling, simhash, warc
+from loomgrid.llm import brown, forest, langid, linededup, mixing, ogg, packing, resampling, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     for f in (
         op1_line_spread,
         op2_brown_class_scores,
+        op3_crf_language,
         op4_simhash_golay,
         op5_ogg_media,
         op6_warc_normaliser,
