@@ -11,12 +11,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.session import reachable
+
 #: Rows a Python worker receives at once; bounds a batch of long texts to a few MB.
 BATCH_ROWS = 512
 
 
 def tune(spark: SparkSession) -> None:
     """Session settings that the Arrow stages of this subpackage rely on."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
