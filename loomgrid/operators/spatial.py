@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from loomgrid.functions import boxes as B
 from loomgrid.session import reachable
@@ -240,24 +241,24 @@ def polygon_iou(p: np.ndarray, q: np.ndarray, mode: str = "iou") -> float:
     return v
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rotated_iou(a: pd.Series, b: pd.Series) -> pd.Series:
     """IoU of boxes given as arrays [cx, cy, w, h, angle in radians, clockwise in image coordinates]."""
     return pd.Series([polygon_iou(rotated_corners(*x[:5]), rotated_corners(*y[:5])) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def convex_giou(points: pd.Series, polygon: pd.Series) -> pd.Series:
     """GIoU of the convex hull of a point set and a polygon, both as arrays of x, y alternating."""
     return pd.Series([polygon_iou(hull(np.reshape(x, (-1, 2))), np.reshape(np.array(y, float), (-1, 2)), "giou") for x, y in zip(points, polygon, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def convex_iou(points: pd.Series, polygon: pd.Series) -> pd.Series:
     return pd.Series([polygon_iou(hull(np.reshape(x, (-1, 2))), np.reshape(np.array(y, float), (-1, 2))) for x, y in zip(points, polygon, strict=True)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def min_area_polygon(points: pd.Series) -> pd.Series:
     """Corners of the least-area rectangle around a point set: one side lies on a side of the hull."""
 

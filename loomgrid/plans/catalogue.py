@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from loomgrid.plans import detection, records
+
+QUERIES = detection.QUERIES | records.QUERIES
+ORACLE_SQL = detection.ORACLE_SQL | records.ORACLE_SQL
