@@ -91,7 +91,7 @@ def oracle(table: str = "documents", min_sites: int = MIN_SITES, whole: float =
 WITH l AS (SELECT DISTINCT source, trim(x) AS line FROM (SELECT source, unnest(string_split(text, chr(10))) AS x FROM {table}) WHERE trim(x) <> ''),
 f AS (SELECT line FROM l GROUP BY line HAVING count(DISTINCT coalesce('s' || source, 'null')) >= {min_sites}),
 s AS (SELECT list(line) AS all_lines FROM f),
-d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), x -> NOT list_contains(coalesce(s.all_lines, []), trim(x))) AS kept FROM {table}, s),
+d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(s.all_lines, []), trim(x))) AS kept FROM {table}, s),
 e AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS n_lines, CASE WHEN text IS NULL THEN 0 ELSE len(lines) - len(kept) END AS n_flagged, array_to_string(kept, chr(10)) AS rest FROM d),
 g AS (SELECT *, coalesce(n_flagged > 0 AND length(text) - length(rest) <= {whole} * length(text), false) AS cut FROM e)
 SELECT doc_id, n_lines, n_flagged, CASE WHEN cut THEN n_flagged ELSE 0 END AS n_removed, CASE WHEN cut THEN rest ELSE text END AS clean_text FROM g
