@@ -92,7 +92,8 @@ def collate(df: DataFrame, batch: list[str], order: str) -> DataFrame:
     cols = [c for c in d.columns if c not in batch]
     rows = F.array_sort(F.collect_list(F.struct(order, *[c for c in cols if c != order])))
     g = d.groupBy(*batch).agg(rows.alias("_rows"))
-    return g.select(*batch, *(F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in cols))
+    part = lambda c: F.transform("_rows", lambda r: r[c]).alias(c)
+    return g.select(*batch, *map(part, cols))
 
 
 def single_source(df: DataFrame, batch: list[str], source: str = "source") -> DataFrame:
