@@ -31,7 +31,7 @@ TRACKS = 2
 MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 HEAD = struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
-INTRO = struct.Struct("<8sIHBB")
+INTRO = struct.Struct("<8sIIBB")
 
 
 def checksum(page: bytes) -> int:

@@ -207,7 +207,7 @@ def export_files(normal: DataFrame, folder_uri: str) -> DataFrame:
         store.create_dir(folder, recursive=True)
         for b in batches:
             for r in b.to_pylist():
-                with store.open_output_stream(f"{folder}/{r['archive']}.warc.gz") as f:
+                with store.open_output_stream(f"{folder}/{r['archive']}.warc.gz", compression=None) as f:
                     f.write(r["gz"])
                 lines = "".join(f"{i}\t{o}\t{n}\n" for i, (o, n) in enumerate(zip(r["offsets"], r["lengths"], strict=True)))
                 with store.open_output_stream(f"{folder}/{r['archive']}.idx") as f:
