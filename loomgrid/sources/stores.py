@@ -308,3 +308,47 @@ def run_model(df: DataFrame, model, schema: str) -> DataFrame:
     """A scorer from pandas frame to pandas frame over batches; the model is the caller's."""
     return df.mapInPandas(lambda it: (model(pdf) for pdf in it), schema)
 
+
+# key-value backends ------------------------------------------------------------------------------------
+
+
+def http_client(timeout: float = 30.0):
+    """Reads a URL."""
+    from urllib.request import urlopen
+
+    def get(key: str) -> bytes:
+        with urlopen(key, timeout=timeout) as f:
+            return f.read()
+
+    return get
+
+
+def lmdb_client(path: str):
+    """Reads by key from a local LMDB store (needs the lmdb library)."""
+    import lmdb
+
+    env = lmdb.open(path, readonly=True, lock=False, readahead=False)
+
+    def get(key: str) -> bytes | None:
+        with env.begin(write=False) as t:
+            return t.get(key.encode())
+
+    return get
+
+
+def memcached_client(server: str):
+    """Reads by key from a memcached server (needs the pymemcache library)."""
+    from pymemcache.client.base import Client
+
+    return Client(server).get
+
+
+def read_keys(keys: DataFrame, client, *args, key: str = "key") -> DataFrame:
+    """(key, content): each task opens its own client (a function of ``args`` that returns one from key to bytes)."""
+
+    def run(batches):
+        get = client(*args)
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf[key].astype(str), "content": [get(k) for k in pdf[key]]})
+
+    return keys.select(key).mapInPandas(run, "key string, content binary")
