@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from loomgrid.session import reachable
 
@@ -67,12 +67,12 @@ def live_workers(beats: DataFrame, ttl: float = TTL) -> DataFrame:
 class BatchBuffer(StatefulProcessor):
     """Rows of a group wait until a batch is full, then leave together."""
 
-    def __init__(self, size: int, schema: str, out: StructType):
+    def __init__(self, size: int, schema: StructType, out: StructType):
         self.size, self.schema, self.out = size, schema, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rows = handle.getListState("rows", self.schema)
-        self.made = handle.getValueState("made", "n bigint")
+        self.made = handle.getValueState("made", StructType().add("n", LongType()))
 
     def handleInputRows(self, key, rows, timerValues):
         held = [tuple(r) for r in self.rows.get()]
@@ -95,8 +95,8 @@ class BatchBuffer(StatefulProcessor):
 def batch_stream(rows: DataFrame, group: str, size: int) -> DataFrame:
     """Full batches of each group as they fill: all columns, ``batch`` and ``slot``. (Needs the RocksDB state store.)"""
     reachable(rows.sparkSession)
-    out = StructType(list(rows.schema.fields)).add("batch", "bigint").add("slot", "int")
-    return rows.groupBy(group).transformWithStateInPandas(BatchBuffer(size, rows.schema.simpleString()[7:-1].replace(":", " "), out), out, "Append", "None")
+    out = StructType(list(rows.schema.fields)).add("batch", LongType()).add("slot", IntegerType())
+    return rows.groupBy(group).transformWithStateInPandas(BatchBuffer(size, rows.schema, out), out, "Append", "None")
 
 
 def log_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:

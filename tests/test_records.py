@@ -163,3 +163,34 @@ def test_streams(spark, tmp_path):
     assert got == {"a": (3, "registered"), "b": (2, "registered")}
     chunks = spark.createDataFrame([('{"text":"a","error_code":0}\0{"text":"ab","error_code":1}\0',)], "value string")
     assert [(r.text, r.error_code) for r in R.decode_chunks(chunks).collect()] == [("a", 0), ("ab", 1)]
+
+
+def test_batch_stream(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    pd.DataFrame({"g": ["a"] * 5 + ["b"], "i": range(6)}).to_json(src / "1.json", orient="records", lines=True)
+    rows = spark.readStream.schema("g string, i bigint").json(str(src))
+    q = R.batch_stream(rows, "g", 2).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.g, r.batch, r.slot) for r in spark.read.parquet(str(out)).collect())
+    assert got == [("a", 0, 0), ("a", 0, 1), ("a", 1, 0), ("a", 1, 1)]
+
+
+def test_event_time_windows(spark):
+    e = spark.createDataFrame([("u", "2024-01-01 00:00:00", 1.0), ("u", "2024-01-01 00:50:00", 2.0), ("u", "2024-01-01 03:00:00", 4.0)], "user_id string, t string, value double").withColumn("ts", F.to_timestamp("t"))
+    assert sorted(r.n for r in R.sliding(e, "2 hours", "1 hour").collect()) == [1, 1, 2, 2]
+    assert sorted(r.n for r in R.sessions(e, "1 hour", "user_id").collect()) == [1, 2]
+    assert [r.step for r in R.evaluation_points(spark.range(1, 11).withColumnRenamed("id", "step"), 3, 4).orderBy("step").collect()] == [4, 7, 10]
+    h = spark.createDataFrame([("a", "LOW", 0), ("b", "high", 1), ("c", "50", 2)], "name string, priority string, order int")
+    assert [r.name for r in R.by_priority(h).orderBy("pos").collect()] == ["b", "c", "a"]
+
+
+def test_dispatch_and_padding(spark):
+    w = spark.createDataFrame([("a", 1), ("b", 3)], "worker string, speed int")
+    n = {r.worker: r["count"] for r in S.lottery(w, spark.range(4000).withColumnRenamed("id", "request")).groupBy("worker").count().collect()}
+    assert sum(n.values()) == 4000 and 0.7 < n["b"] / 4000 < 0.8
+    good = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "g string, k int")
+    want = spark.createDataFrame([("x", 5), ("y", 1)], "g string, n bigint")
+    assert sorted((r.g, r["count"]) for r in S.refill(good, "g", want, "k").groupBy("g").count().collect()) == [("x", 5), ("y", 1)]
+    items, lengths = spark.range(5).withColumnRenamed("id", "pos"), spark.createDataFrame([(0, 2), (1, 0), (2, 3)], "part int, length int")
+    assert [(r.part, r["at"]) for r in S.chunk_by_lengths(items, lengths).orderBy("pos").collect()] == [(0, 0), (0, 1), (2, 0), (2, 1), (2, 2)]
