@@ -143,7 +143,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if share is None:
         r = marks.agg(F.avg(F.col("good").cast("double")).alias("s")).first()
         share = r.s if r.s is not None else 1.0
-    rows = docs.select(id_col, utf8(text_col).alias("t")).join(marks, id_col, "left").select("t", F.coalesce("good", F.lit(False)).alias("good"))
+    # texts meet their marks in a sorted join at every size: which side is small does not decide the plan
+    rows = docs.select(id_col, utf8(text_col).alias("t")).join(marks.hint("merge"), id_col, "left").select("t", F.coalesce("good", F.lit(False)).alias("good"))
     scored = scratch.save("scored", score(docs, id_col, text_col, fit(rows), seed))
     n = scored.count()
     k = math.ceil(share * n)
