@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from loomgrid.llm.common import tune, utf8
+from loomgrid.llm.common import Scratch, tune, utf8
 
 #: A prime above any number of blocks in a shard: multiplying by it permutes block numbers.
 STEP = (1 << 31) - 1
@@ -74,17 +74,28 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, orde
     return a.join(b, on).select("a.*", "b.quota")
 
 
+#: Parts that the rows of a source are dealt into where they meet the source's row, which is repeated as often.
+SALTS = 64
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3),
-        block_words: int = 64, shard_docs: int = 2048, max_repeat: int = 3, seed: int = 17) -> DataFrame:
+        block_words: int = 64, shard_docs: int = 2048, max_repeat: int = 3, seed: int = 17, carry: list[str] | None = None) -> DataFrame:
     """All rows of ``docs`` as (row struct, source, size, source_size, target, taken, ...).
 
-    ``row`` is the whole input row, so no input name can clash with the computed ones.
+    ``row`` is the whole input row (or its columns ``carry``), so no input name can clash with the computed ones.
+    Words are counted once: what all later steps read is a written table.
     ``rounds``, ``rest``, ``shard_size``, ``n_blocks``, ``start`` and ``turn`` place the row's words in its
     shard; ``block_taken`` tells from them which blocks the mix takes.
     """
+    d = sized(docs, id_col, text_col, source_col, carry)
+    return place(d.drop("rid"), weights, block_words, shard_docs, max_repeat, seed)
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: list[str] | None = None) -> DataFrame:
+    """The written table (row, rid, source, id, size, content) of all rows."""
     tune(docs.sparkSession)
-    d = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"), word_count(utf8(text_col)).alias("size"), F.xxhash64(utf8(text_col)).alias("content"))
-    return place(d, weights, block_words, shard_docs, max_repeat, seed)
+    d = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"), word_count(utf8(text_col)).alias("size"), F.xxhash64(utf8(text_col)).alias("content"))
+    return Scratch(docs.sparkSession, "mixing").save("sizes", d)
 
 
 def place(d: DataFrame, weights=(1, 2, 3), block_words=64, shard_docs=2048, max_repeat=3, seed=17) -> DataFrame:
@@ -97,7 +108,9 @@ def place(d: DataFrame, weights=(1, 2, 3), block_words=64, shard_docs=2048, max_
     s = sources.alias("s").join(t.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "s.source_size", "s.n_shards", "t.target")
     s = s.withColumn("g", F.lit(0)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words).cast("long"))
     s = apportion(s, ["g"], "target", "seats", ["source"]).select("source", "source_size", "n_shards", "target", F.col("quota").alias("source_quota"))
-    dealt = d.alias("d").join(s.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.source_quota", F.pmod(F.xxhash64("d.id", "d.content", F.lit(seed)), F.col("s.n_shards")).alias("shard"))
+    salted = s.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = d.withColumn("salt", F.pmod(F.xxhash64("id", "content", F.lit(seed + 2)), F.lit(SALTS)))
+    dealt = d.alias("d").join(salted.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.salt") == F.col("s.salt"))).select("d.*", "s.source_size", "s.target", "s.source_quota", F.pmod(F.xxhash64("d.id", "d.content", F.lit(seed)), F.col("s.n_shards")).alias("shard"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("source_size").alias("source_size"))
     shards = shards.withColumn("n_blocks", F.when(F.col("shard_size") > 0, F.greatest(F.round(F.col("shard_size") / block_words), F.lit(1))).otherwise(0).cast("long"))
     # a block of this shard holds shard_size/n_blocks words; quotas count blocks of the shard's own size

@@ -50,7 +50,7 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    m = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return m.select(m.id.alias("doc_id"), "size", "source_size", "target", "taken")
 
 
