@@ -136,18 +136,21 @@ def chosen_spans() -> Column:
     return F.expr(f"case when size = 0 or rest = 0 then cast(array() as array<struct<lo: bigint, hi: bigint>>) else {spans} end")
 
 
-def expand(docs: DataFrame, **kw) -> DataFrame:
+def expand(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The mixed corpus itself, in the columns of ``docs``: ``rounds`` whole copies of each document and,
-    if blocks of it are taken once more, one row with the words of those blocks (single spaces between)."""
-    text_col = kw.get("text_col", "text")
-    m = mix(docs, **kw)
+    if blocks of it are taken once more, one row with the words of those blocks (single spaces between).
+    Quotas and places are worked out without the texts, which are moved once, to meet them."""
+    d = sized(docs, id_col, text_col, source_col)
+    m = place(d.select(F.struct("rid").alias("row"), "source", "id", "size", "content"), **kw)
+    again = F.when(F.col("rounds") > 0, F.expr("sequence(1, int(rounds))")).otherwise(F.expr("cast(array() as array<int>)"))
+    copies = F.concat(again, F.when(F.size("spans") > 0, F.array(F.lit(0))).otherwise(F.expr("cast(array() as array<int>)")))
+    whole = F.expr("aggregate(spans, 0L, (a, x) -> a + x.hi - x.lo)") == F.col("size")
+    m = m.select("row.rid", copies.alias("copies"), F.when(~whole, F.col("spans")).alias("spans")).where(F.size("copies") > 0)
+    rows = m.join(d.select("rid", "row"), "rid").withColumn("copy", F.explode("copies"))
     words = F.expr(f"regexp_extract_all(row.`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)")
+    rows = rows.withColumn("words", F.when((F.col("copy") == 0) & F.col("spans").isNotNull(), words))
     part = F.expr("array_join(flatten(transform(spans, s -> slice(words, int(s.lo) + 1, int(s.hi - s.lo)))), ' ')")
-    whole = F.expr("aggregate(spans, 0L, (a, x) -> a + x.hi - x.lo)") == F.col("size")
-    again = F.when(F.col("rounds") > 0, F.expr("sequence(1, int(rounds))")).otherwise(F.expr("cast(array() as array<int>)"))
-    rows = m.withColumn("copy", F.explode(F.concat(again, F.when(F.size("spans") > 0, F.array(F.lit(0))).otherwise(F.expr("cast(array() as array<int>)")))))
-    rows = rows.withColumn("words", F.when((F.col("copy") == 0) & ~whole, words))
-    rows = rows.withColumn("new_text", F.when(F.col("words").isNull(), F.col(f"row.{text_col}")).otherwise(part))
+    rows = rows.withColumn("new_text", F.when(F.col("words").isNull(), F.col(f"row.`{text_col}`")).otherwise(part))
     cols = []
     for f in docs.schema.fields:
         c = F.col(f"row.`{f.name}`")
