@@ -218,7 +218,7 @@ def shingles_udf(shingle: int):
     return f
 
 
-def similar(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int = 5, least: float = 0.8, crowd: int = 16) -> DataFrame:
+def similar(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int = 5, least: float = 0.8, crowd: int = 4) -> DataFrame:
     """(u, v): classes (long ``key``, ``rid`` of a row, ``wide`` fingerprint) whose texts have a Jaccard similarity of at least ``least``.
 
     Texts that similar differ in few words, so two of their 13 segments nearly always decode to the same
