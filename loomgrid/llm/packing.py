@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,12 +29,37 @@ from loomgrid.llm.common import Scratch, tune, utf8, workers
 
 CAPACITY = 4096
 END = 1
-#: Entries of each of the two generations of a worker's word cache.
-CACHE = 200_000
+#: Entries of each of the two generations of a worker's caches.
+CACHE = 500_000
+#: What sends a text to the tokenizer whole: special tokens' beginning, separators that are no white space to it.
+ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+class Generations(dict):
+    """A cache that computes what it lacks; two generations bound it without forgetting what is in use."""
+
+    def __init__(self, compute, most: int):
+        super().__init__()
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+#: Bytes that byte-level vocabularies show as other characters: those without a visible form of their own.
+SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+LEVEL = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
 
 class Words:
-    """Ids of whole texts, equal to those of the tokenizer, by way of a cache of words.
+    """Ids of whole texts, equal to those of the tokenizer, by way of caches of words and runs.
 
     The vocabulary's normaliser and splitter never look across white space, so a text's ids are those of
     its words in a row. A word is cut as the splitter cuts it and each run goes to the BPE model directly.
@@ -43,56 +69,37 @@ class Words:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.runs = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.odd = regex.compile(r"<\||[\x1c-\x1f]").search
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.run_new: dict[str, bytes] = {}
-        self.run_old: dict[str, bytes] = {}
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.runs = Generations(self.run, CACHE)
+        self.words = Generations(self.word, CACHE)
 
     def run(self, r: str) -> bytes:
-        ids = self.run_new.get(r)
-        if ids is None:
-            ids = self.run_old.get(r)
-            if ids is None:
-                mapped = r if r.isascii() else self.level.pre_tokenize_str(r)[0][0]
-                ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.run_new) >= CACHE:
-                self.run_old, self.run_new = self.run_new, {}
-            self.run_new[r] = ids
-        return ids
+        shown = r if r.isascii() else r.encode().decode("latin-1").translate(LEVEL)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def word(self, w: str) -> bytes:
-        ids = self.old.get(w)
-        if ids is None:
-            import unicodedata
-
-            norm = w if w.isascii() else unicodedata.normalize("NFC", w)
-            low = norm.lower() if norm.isascii() else self.tok.normalizer.normalize_str(norm)
-            ids = b"".join(map(self.run, self.runs(low)))
-        if len(self.new) >= CACHE:
-            self.old, self.new = self.new, {}
-        self.new[w] = ids
-        return ids
+        # below U+0300 nothing composes, and lower case is the same everywhere
+        low = w.lower() if w.isascii() or max(w) < "\u0300" else self.tok.normalizer.normalize_str(w)
+        if low.isalpha():
+            return self.runs[low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return self.runs[low[:-1]] + self.runs[low[-1]]
+        return b"".join([self.runs[r] for r in self.split(low)])
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.odd(text):
+        if any(x in text for x in ODD):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        out = []
-        for at in range(0, len(words), 1 << 16):
-            part = words[at : at + (1 << 16)]
-            got = list(map(self.new.get, part))
-            if None in got:
-                got = [self.word(w) if g is None else g for g, w in zip(got, part)]
-            out.append(b"".join(got))
-        return b"".join(out)
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # as the tokenizer does, and equal words meet in the cache
+        except UnicodeEncodeError:
+            pass
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
