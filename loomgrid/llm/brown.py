@@ -254,6 +254,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core_
     coded = scratch.save("coded", encode(docs, id_col, text_col, block_bytes=block_bytes))
     entry = coded.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("lid", "x")).select("block", "lid", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     vocabulary = scratch.save("vocabulary", entry.groupBy("word").agg(F.sum("n").alias("seen")).withColumn("wid", F.monotonically_increasing_id()))
+    scratch.release()
     s = vocabulary.where("seen > 0").agg(F.sum("seen").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("seen") == 1, 1)).alias("n1"), F.count(F.when(F.col("seen") == 2, 1)).alias("n2")).first()
     total, kinds = s.n or 0, s.v
     # at most 1/core_share words
@@ -262,6 +263,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core_
     core_df = F.broadcast(spark.createDataFrame(core[["wid", "core"]] if len(core) else pd.DataFrame({"wid": pd.Series([], dtype="int64"), "core": pd.Series([], dtype="int32")}), "wid long, core int"))
     known = entry.select("block", "lid", "word").join(vocabulary, "word").join(core_df, "wid", "left").select("block", "lid", "wid", "seen", F.coalesce("core", F.lit(-1)).alias("core"))
     known = scratch.save("known", known)
+    scratch.release()
     blocks = scratch.save("blocks", placed(coded.select("block", "tokens", "ids", "ends", "held"), known, ["wid", "core"]))
     scratch.drop(coded)
     scratch.release()
@@ -276,6 +278,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core_
     chosen = rest.union(spark.createDataFrame(core[["wid", "cls"]], "wid long, cls byte")) if len(core) else rest
     end = vocabulary.where(F.col("word") == F.lit(b"")).select("wid", F.lit(END).cast("byte").alias("cls"))
     chosen = scratch.save("classes", chosen.union(end))
+    scratch.release()
     named = vocabulary.join(chosen, "wid", "left")
     mass, types = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     for r in named.where("seen > 0").groupBy("cls").agg(F.sum("seen").alias("n"), F.count("*").alias("v")).collect():
