@@ -19,6 +19,7 @@ unless its whole component has none; an empty table gives an empty result.
 from __future__ import annotations
 
 from itertools import repeat
+from math import ceil
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
@@ -156,8 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Segments of the wide fingerprint, and the constants that make several hashes out of one.
-WIDE = 13
+#: Constants that make several hashes out of one.
 SPREAD = np.array([(k * 0x9E3779B97F4A7C15) % (1 << 64) for k in range(1, 6)], np.uint64)
 MIXERS = ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27))
 #: Differing bits of 320 beyond which texts are not compared. Texts of a Jaccard similarity of 0.8 differ in 49 on average,
@@ -188,57 +188,88 @@ def wide_udf(texts: pa.Array) -> pa.Array:
     return pa.array([wide_fingerprint(t) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
 
-def wide_key_rows(classes: DataFrame) -> DataFrame:
-    """(at, key): a key for every pair of segments, made of both segments' nearest codewords."""
-    i, j = np.array([(a, b) for a in range(WIDE) for b in range(a)]).T
+#: Frequent shingles the common order knows of at most, and one of how many texts they are counted on. Both bear on cost
+#: alone: any order gives the same pairs.
+COMMON = 1 << 16
+COUNTED = 8
 
-    def rows(batches):
-        for b in batches:
-            bits = np.unpackbits(b.column(1).flatten().to_numpy().view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
-            seg = bits[:, : 23 * WIDE].reshape(-1, WIDE, 23).astype(np.int64) @ (1 << np.arange(23, dtype=np.int64))
-            code = (seg ^ ERRORS[syndromes(seg.ravel())][:, 0].reshape(seg.shape)) >> 11
-            at = (np.arange(len(i), dtype=np.int64) << 24) | (code[:, i] << 12) | code[:, j]
-            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), len(i)))], names=["at", "key"])
 
-    return classes.select("key", "wide").mapInArrow(rows, "at long, key long")
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (the whole sequence if it has fewer words)."""
+    w = text.lower().split()
+    grams = map(b" ".join, zip(*(w[k:] for k in range(shingle)))) if len(w) > shingle else [b" ".join(w)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
 
 
 def shingles_udf(shingle: int):
-    """Distinct hashes of a text's word shingles (the whole sequence if it has fewer words)."""
+    @F.arrow_udf(ArrayType(LongType()))
+    def f(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t, shingle).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return f
+
+
+def heads_udf(shingle: int, least: float, known: np.ndarray, counts: np.ndarray):
+    """The number of a text's shingles, then the first of them in the common order (rare before frequent, then by hash). Of n shingles a
+    similar text shares ceil(least n) or more, so the n - ceil(least n) + 1 first ones hold one that is also among the other text's first."""
 
     @F.arrow_udf(ArrayType(LongType()))
     def f(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
-            w = t.lower().split()
-            grams = map(b" ".join, zip(*(w[k:] for k in range(shingle)))) if len(w) > shingle else [b" ".join(w)]
-            out.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)).view(np.int64))
+            h = shingle_set(t, shingle)
+            often = np.zeros(len(h), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                often = np.where(known[at] == h, counts[at], 0)
+            first = h[np.argsort(often, kind="stable")[: len(h) - ceil(least * len(h) - 1e-9) + 1]]
+            out.append(np.concatenate(([len(h)], first.view(np.int64))))
         return pa.array(out, pa.list_(pa.int64()))
 
     return f
 
 
+def frequent(rows: DataFrame, shingle: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most COMMON shingles that most texts of a sample share, and their counts; ``rows``: key, t."""
+    some = rows.where(F.pmod("key", F.lit(COUNTED)) == 0).groupBy("key").agg(F.min("t").alias("t"))
+    n = scratch.save("frequent", some.select(F.explode(shingles_udf(shingle)(F.col("t"))).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2"))
+    total, lowest = 0, None
+    for r in sorted(n.groupBy("n").agg(F.count("*").alias("m")).collect(), reverse=True):
+        total += r.m
+        if total > COMMON:
+            break
+        lowest = r.n
+    got = sorted((r.h % (1 << 64), r.n) for r in n.where(F.col("n") >= lowest).collect()) if lowest else []
+    scratch.drop(n)
+    return np.array([h for h, _ in got], np.uint64), np.array([c for _, c in got], np.int64)
+
+
 def similar(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int = 5, least: float = 0.8, crowd: int = 4) -> DataFrame:
-    """(u, v): classes (long ``key``, ``rid`` of a row, ``wide`` fingerprint) whose texts have a Jaccard similarity of at least ``least``.
+    """(u, v): classes (long ``key``, ``rid`` of a row, ``head`` and ``wide`` fingerprint) whose texts have a Jaccard similarity of at least ``least``.
 
-    Texts that similar differ in few words, so two of their 13 segments nearly always decode to the same
-    codewords; every pair of segments gives a key. All pairs meet under a key of at most ``crowd`` classes; under a
+    Texts that similar share a shingle of their heads, always. All pairs meet under a shingle of at most ``crowd`` classes; under a
     larger one every class meets the smallest, as such a crowd is a group of near copies already and needs only to
     hang together. Candidates whose whole fingerprints agree are compared on whole texts (``texts``: rid, text binary).
     """
-    rows = wide_key_rows(classes)
-    full = rows.groupBy("at").agg(F.count("*").alias("n"), F.min("key").alias("low")).where("n > 1")
+    rows = classes.select("key", F.expr("explode(slice(head, 2, size(head) - 1))").alias("at"), F.col("head")[0].alias("m"))
+    full = rows.groupBy("at").agg(F.count("*").alias("n"), F.min(F.struct("key", "m")).alias("low")).where("n > 1")
     met = scratch.save("met", rows.join(full, "at"))
+    even = F.least("m", "k") >= least * F.greatest("m", "k") - 1e-9
     few = met.where(F.col("n") <= crowd)
-    close = few.select("at", F.col("key").alias("u")).join(few.select("at", F.col("key").alias("v")), "at").where("u > v").select("u", "v")
-    star = met.where((F.col("n") > crowd) & (F.col("key") > F.col("low"))).select(F.col("key").alias("u"), F.col("low").alias("v"))
-    pairs = close.union(star).distinct()
+    close = few.select("at", F.col("key").alias("u"), "m").join(few.select("at", F.col("key").alias("v"), F.col("m").alias("k")), "at").where("u > v")
+    star = met.where((F.col("n") > crowd) & (F.col("key") > F.col("low.key"))).select(F.col("key").alias("u"), "m", F.col("low.key").alias("v"), F.col("low.m").alias("k"))
+    pairs = close.where(even).select("u", "v").union(star.where(even).select("u", "v")).distinct()
     side = lambda k, w: classes.select(F.col("key").alias(k), F.col("wide").alias(w))
     differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").where(differ <= WIDE_BITS)
     candidates = scratch.save("candidates", near.select("u", "v"))
     scratch.drop(met)
     scratch.release()
+    return verified(candidates, classes, texts, scratch, shingle, least)
+
+
+def verified(candidates: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
+    """The candidates (u, v) that are similar on whole texts."""
     named = candidates.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "rid"), "key")
     sets = scratch.save("sets", texts.join(named, "rid").select("key", shingles_udf(shingle)(F.col("text")).alias("s")))
     both = candidates.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
@@ -249,17 +280,19 @@ def similar(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The documents, in their own columns, one of each group whose texts hang together by similarities of at least
     ``least`` on word shingles: that with the smallest id (nulls last), and of repeated rows just one. Texts of equal words
-    form one class first; candidates come from Golay keys and are verified on whole texts."""
+    form one class first; candidates share one of their first shingles and are verified on whole texts."""
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "simhash")
     plain = F.translate(F.col("t").cast("string"), ascii_uppercase + "\t\n\x0b\f\r", ascii_lowercase + "     ")
     words = F.regexp_replace(F.trim(plain), " +", " ")
     rows = docs.select(F.struct(*docs.columns).alias("row"), utf8(text_col).alias("t"), F.monotonically_increasing_id().alias("rid"))
-    kept = scratch.save("rows", rows.select("row", "rid", F.xxhash64(words).alias("key"), wide_udf(F.col("t")).alias("wide")))
+    rows = rows.withColumn("key", F.xxhash64(words))
+    heads = heads_udf(shingle, least, *frequent(rows.select("key", "t"), shingle, scratch))
+    kept = scratch.save("rows", rows.select("row", "rid", "key", wide_udf(F.col("t")).alias("wide"), heads(F.col("t")).alias("head")))
     rank = F.struct(F.col(f"row.`{id_col}`").isNull().alias("late"), F.col(f"row.`{id_col}`").alias("id"), F.col("rid").alias("rid"))
-    classes = kept.groupBy("key").agg(F.min(rank).alias("rank"), F.min(F.struct("rid", "wide")).alias("one"))
-    classes = scratch.save("classes", classes.select("key", "rank", F.col("one.wide").alias("wide"), F.col("one.rid").alias("rid")))
+    classes = kept.groupBy("key").agg(F.min(rank).alias("rank"), F.min(F.struct("rid", "wide", "head")).alias("one"))
+    classes = scratch.save("classes", classes.select("key", "rank", F.col("one.wide").alias("wide"), F.col("one.head").alias("head"), F.col("one.rid").alias("rid")))
     links = similar(classes, kept.select("rid", utf8(f"row.{text_col}").alias("text")), scratch, shingle, least)
     stars = components(spark, links, scratch)
     scratch.release()

@@ -299,6 +299,33 @@ def test_keep_one(spark, odd):
     assert simhash.keep_one(odd.where("false")).count() == 0
 
 
+def survivors(texts, least=0.8, shingle=5):
+    """Smallest index of each group of texts, by comparing all of them."""
+    sets = [{tuple(t[k : k + shingle]) for k in range(max(1, len(t) - shingle + 1))} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return set(root)
+
+
+def kept_of(spark, texts):
+    return {r.doc_id for r in simhash.keep_one(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id int, text string")).collect()}
+
+
+def test_keep_one_block_edits(spark):
+    rng = random.Random(3)
+    word = lambda: f"word{rng.randrange(10**6)}"
+    texts = []
+    for k in range(120):
+        base, n = [word() for _ in range(200)], rng.randrange(18, 50)
+        at = rng.randrange(0, 200 - n)
+        texts += [base, [base + [word() for _ in range(n)], base[:at] + base[at + n :], base[:at] + [word() for _ in range(n // 2)] + base[at + n // 2 :]][k % 3]]
+    assert kept_of(spark, texts) == survivors(texts)
+
+
 def test_components_of_a_path_and_a_star(spark):
     scratch = common.Scratch(spark, "t")
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
