@@ -157,37 +157,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Constants that make several hashes out of one.
-SPREAD = np.array([(k * 0x9E3779B97F4A7C15) % (1 << 64) for k in range(1, 6)], np.uint64)
-MIXERS = ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27))
-#: Differing bits of 320 beyond which texts are not compared. Texts of a Jaccard similarity of 0.8 differ in 49 on average,
-#: with a standard deviation of 6.
-WIDE_BITS = 90
-
-
-def wide_fingerprint(text: bytes) -> np.ndarray:
-    """320-bit SimHash, as five longs, over the text's distinct words of five bytes or more (over all its words if it
-    has fewer than five of these)."""
-    words = set(text.lower().split())
-    long_words = [w for w in words if len(w) >= 5]
-    use = long_words if len(long_words) >= 5 else words
-    h = np.fromiter(map(xxhash.xxh64_intdigest, use, repeat(42)), np.uint64, len(use))
-    total = np.zeros(64 * len(SPREAD), np.int64)
-    for at in range(0, len(h), STEP):
-        part = h[at : at + STEP]
-        x = part[:, None] ^ SPREAD[None, :]
-        for mult, shift in MIXERS:
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(mult)
-        x ^= x >> np.uint64(31)
-        total += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(total * 2 > len(h), bitorder="little").view("<i8")
-
-
-@F.arrow_udf(ArrayType(LongType()))
-def wide_udf(texts: pa.Array) -> pa.Array:
-    return pa.array([wide_fingerprint(t) for t in texts.to_pylist()], pa.list_(pa.int64()))
-
-
 #: Frequent shingles the common order knows of at most, and one of how many texts they are counted on. Both bear on cost
 #: alone: any order gives the same pairs.
 COMMON = 1 << 16
@@ -245,11 +214,11 @@ def frequent(rows: DataFrame, shingle: int, scratch: Scratch) -> tuple[np.ndarra
 
 
 def similar(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int = 5, least: float = 0.8, crowd: int = 4) -> DataFrame:
-    """(u, v): classes (long ``key``, ``rid`` of a row, ``head`` and ``wide`` fingerprint) whose texts have a Jaccard similarity of at least ``least``.
+    """(u, v): classes (long ``key``, ``rid`` of a row, ``head``) whose texts have a Jaccard similarity of at least ``least``.
 
     Texts that similar share a shingle of their heads, always. All pairs meet under a shingle of at most ``crowd`` classes; under a
     larger one every class meets the smallest, as such a crowd is a group of near copies already and needs only to
-    hang together. Candidates whose whole fingerprints agree are compared on whole texts (``texts``: rid, text binary).
+    hang together. Candidates are compared on whole texts (``texts``: rid, text binary).
     """
     rows = classes.select("key", F.expr("explode(slice(head, 2, size(head) - 1))").alias("at"), F.col("head")[0].alias("m"))
     full = rows.groupBy("at").agg(F.count("*").alias("n"), F.min(F.struct("key", "m")).alias("low")).where("n > 1")
@@ -259,10 +228,7 @@ def similar(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int
     close = few.select("at", F.col("key").alias("u"), "m").join(few.select("at", F.col("key").alias("v"), F.col("m").alias("k")), "at").where("u > v")
     star = met.where((F.col("n") > crowd) & (F.col("key") > F.col("low.key"))).select(F.col("key").alias("u"), "m", F.col("low.key").alias("v"), F.col("low.m").alias("k"))
     pairs = close.where(even).select("u", "v").union(star.where(even).select("u", "v")).distinct()
-    side = lambda k, w: classes.select(F.col("key").alias(k), F.col("wide").alias(w))
-    differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").where(differ <= WIDE_BITS)
-    candidates = scratch.save("candidates", near.select("u", "v"))
+    candidates = scratch.save("candidates", pairs)
     scratch.drop(met)
     scratch.release()
     return verified(candidates, classes, texts, scratch, shingle, least)
@@ -289,10 +255,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rows = docs.select(F.struct(*docs.columns).alias("row"), utf8(text_col).alias("t"), F.monotonically_increasing_id().alias("rid"))
     rows = rows.withColumn("key", F.xxhash64(words))
     heads = heads_udf(shingle, least, *frequent(rows.select("key", "t"), shingle, scratch))
-    kept = scratch.save("rows", rows.select("row", "rid", "key", wide_udf(F.col("t")).alias("wide"), heads(F.col("t")).alias("head")))
+    kept = scratch.save("rows", rows.select("row", "rid", "key", heads(F.col("t")).alias("head")))
     rank = F.struct(F.col(f"row.`{id_col}`").isNull().alias("late"), F.col(f"row.`{id_col}`").alias("id"), F.col("rid").alias("rid"))
-    classes = kept.groupBy("key").agg(F.min(rank).alias("rank"), F.min(F.struct("rid", "wide", "head")).alias("one"))
-    classes = scratch.save("classes", classes.select("key", "rank", F.col("one.wide").alias("wide"), F.col("one.head").alias("head"), F.col("one.rid").alias("rid")))
+    classes = kept.groupBy("key").agg(F.min(rank).alias("rank"), F.min(F.struct("rid", "head")).alias("one"))
+    classes = scratch.save("classes", classes.select("key", "rank", F.col("one.head").alias("head"), F.col("one.rid").alias("rid")))
     links = similar(classes, kept.select("rid", utf8(f"row.{text_col}").alias("text")), scratch, shingle, least)
     stars = components(spark, links, scratch)
     scratch.release()

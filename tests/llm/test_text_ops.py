@@ -326,6 +326,17 @@ def test_keep_one_block_edits(spark):
     assert kept_of(spark, texts) == survivors(texts)
 
 
+def test_keep_one_few_long_words(spark):
+    rng = random.Random(4)
+    texts = []
+    for k in range(60):
+        t = [f"{chr(97 + rng.randrange(26))}{rng.randrange(100)}" for _ in range(35)]
+        for at in (3, 11, 19, 27, 34):
+            t[at] = f"longer{rng.randrange(10**6)}"
+        texts += [t, [*t[:-1], "no"]]
+    assert kept_of(spark, texts) == survivors(texts) == set(range(0, 120, 2))
+
+
 def test_components_of_a_path_and_a_star(spark):
     scratch = common.Scratch(spark, "t")
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
