@@ -213,13 +213,15 @@ def frequent(rows: DataFrame, shingle: int, scratch: Scratch) -> tuple[np.ndarra
     return np.array([h for h, _ in got], np.uint64), np.array([c for _, c in got], np.int64)
 
 
-def similar(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int = 5, least: float = 0.8, crowd: int = 4) -> DataFrame:
-    """(u, v): classes (long ``key``, ``rid`` of a row, ``head``) whose texts have a Jaccard similarity of at least ``least``.
+def groups(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int = 5, least: float = 0.8, crowd: int = 4, block: int = 256) -> DataFrame:
+    """Components (node, root) of the classes (long ``key``, ``rid`` of a row, ``head``) whose texts have a Jaccard similarity of at least ``least``.
 
     Texts that similar share a shingle of their heads, always. All pairs meet under a shingle of at most ``crowd`` classes; under a
-    larger one every class meets the smallest, as such a crowd is a group of near copies already and needs only to
-    hang together. Candidates are compared on whole texts (``texts``: rid, text binary).
+    larger one every class first meets the smallest. What then hangs together needs no more; all other pairs of such
+    a crowd, those of different components, meet in a second step, by blocks of ``block`` classes.
+    Candidates are compared on whole texts (``texts``: rid, text binary).
     """
+    spark = classes.sparkSession
     rows = classes.select("key", F.expr("explode(slice(head, 2, size(head) - 1))").alias("at"), F.col("head")[0].alias("m"))
     full = rows.groupBy("at").agg(F.count("*").alias("n"), F.min(F.struct("key", "m")).alias("low")).where("n > 1")
     met = scratch.save("met", rows.join(full, "at"))
@@ -228,10 +230,22 @@ def similar(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int
     close = few.select("at", F.col("key").alias("u"), "m").join(few.select("at", F.col("key").alias("v"), F.col("m").alias("k")), "at").where("u > v")
     star = met.where((F.col("n") > crowd) & (F.col("key") > F.col("low.key"))).select(F.col("key").alias("u"), "m", F.col("low.key").alias("v"), F.col("low.m").alias("k"))
     pairs = close.where(even).select("u", "v").union(star.where(even).select("u", "v")).distinct()
-    candidates = scratch.save("candidates", pairs)
-    scratch.drop(met)
+    links = verified(scratch.save("candidates", pairs), classes, texts, scratch, shingle, least)
+    links = scratch.save("links", links)
+    stars = components(spark, links, scratch)
     scratch.release()
-    return verified(candidates, classes, texts, scratch, shingle, least)
+    crowds = met.where(F.col("n") > crowd).select("at", "key", "m").join(stars.withColumnRenamed("node", "key"), "key", "left")
+    crowds = crowds.withColumn("root", F.coalesce("root", "key"))
+    split = crowds.groupBy("at").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    rest = scratch.save("rest", crowds.join(split.select("at", F.ceil(F.col("n") / block).alias("blocks")), "at"))
+    scratch.drop(met)
+    if rest.isEmpty():
+        return stars
+    one = rest.select("at", F.col("key").alias("u"), "m", F.col("root").alias("p"), F.pmod(F.xxhash64("key"), F.col("blocks")).alias("part"))
+    other = rest.select("at", F.col("key").alias("v"), F.col("m").alias("k"), F.col("root").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
+    pairs = one.join(other, ["at", "part"]).where((F.col("u") > F.col("v")) & (F.col("p") != F.col("q")) & even).select("u", "v").distinct()
+    more = verified(scratch.save("candidates", pairs), classes, texts, scratch, shingle, least)
+    return components(spark, links.union(more), scratch)
 
 
 def verified(candidates: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
@@ -259,8 +273,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rank = F.struct(F.col(f"row.`{id_col}`").isNull().alias("late"), F.col(f"row.`{id_col}`").alias("id"), F.col("rid").alias("rid"))
     classes = kept.groupBy("key").agg(F.min(rank).alias("rank"), F.min(F.struct("rid", "head")).alias("one"))
     classes = scratch.save("classes", classes.select("key", "rank", F.col("one.head").alias("head"), F.col("one.rid").alias("rid")))
-    links = similar(classes, kept.select("rid", utf8(f"row.{text_col}").alias("text")), scratch, shingle, least)
-    stars = components(spark, links, scratch)
+    stars = groups(classes, kept.select("rid", utf8(f"row.{text_col}").alias("text")), scratch, shingle, least)
     scratch.release()
     named = classes.select("key", "rank").join(stars.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     chosen = named.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.rid").alias("rid"))

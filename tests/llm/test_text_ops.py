@@ -337,6 +337,19 @@ def test_keep_one_few_long_words(spark):
     assert kept_of(spark, texts) == survivors(texts) == set(range(0, 120, 2))
 
 
+def test_keep_one_variants_of_one_text(spark):
+    rng = random.Random(5)
+    base = [f"word{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for k in range(300):
+        t = list(base)
+        for at in (rng.randrange(5, 60), rng.randrange(70, 125), rng.randrange(135, 195)):
+            t[at] = f"edit{rng.randrange(10**6)}"
+        texts.append(t)
+    texts.append(base)
+    assert kept_of(spark, texts) == survivors(texts) == {0}
+
+
 def test_components_of_a_path_and_a_star(spark):
     scratch = common.Scratch(spark, "t")
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
