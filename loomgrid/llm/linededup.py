@@ -4,7 +4,8 @@ A line is a boilerplate line if, with outer spaces removed, it occurs on at leas
 Spread is estimated by a HyperLogLog sketch per line hash, merged by aggregation; lines whose estimate is within
 ``band`` of the threshold get an exact distinct count. Boilerplate lines are then removed from every document, but a
 document of which they make up more than ``whole`` of the characters is a copied document rather than one
-with boilerplate: it stays as it is, for document-level dedup to decide.
+with boilerplate: it stays as it is, for document-level dedup to decide. With ``whole`` None shares do not count, and
+only a document that holds no line of its own stays.
 
 Only hashes meet in shuffles: a document's boilerplate hashes come back by the hash of its text, so copies share
 them, and hot lines are a row per document and hash against one flagged row that Spark may split. Hashes
@@ -51,7 +52,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
     return sure.union(exact)
 
 
-def remove_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, band: float = BAND, lg_k: int = LG_K, whole: float = WHOLE) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, band: float = BAND, lg_k: int = LG_K, whole: float | None = WHOLE) -> DataFrame:
     """Rows (row struct, n_lines, n_flagged, n_removed, new_text): ``row`` is the input row as it was."""
     d = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     own = docs.select(F.xxhash64(text_col).alias("key"), F.col(site_col).cast("string").alias("site"), F.explode(hashes(F.col(text_col))).alias("h"))
@@ -66,7 +67,8 @@ def remove_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str =
     d = d.withColumn("rest", F.array_join("kept", "\n"))
     # characters that go: the lines and the ends they lose with them
     gone = F.char_length("text") - F.char_length("rest")
-    cut = (F.col("n_flagged") > 0) & (gone <= whole * F.char_length("text"))
+    stays = F.exists("kept", lambda x: F.trim(x) != "") if whole is None else gone <= whole * F.char_length("text")
+    cut = (F.col("n_flagged") > 0) & stays
     d = d.withColumn("cut", F.coalesce(cut, F.lit(False)))
     return d.select("row", "n_lines", "n_flagged", F.when(F.col("cut"), F.col("n_flagged")).otherwise(0).cast("long").alias("n_removed"), F.when(F.col("cut"), F.col("rest")).otherwise(F.col("text")).alias("new_text"))
 

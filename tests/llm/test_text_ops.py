@@ -86,6 +86,16 @@ def test_line_dedup_odd(odd, spark):
     assert copies == {None, 5}  # wholly shared texts are left to document-level dedup
 
 
+def test_line_stage_cuts_whatever_the_share(spark):
+    import corpus_pipeline
+
+    block = "a long licence line that every site repeats " * 9
+    rows = [(i, f"own words {i}\n{block}", f"s{i}") for i in range(12)] + [(12, block, "s1"), (13, f"\n{block}\n", "s2")]
+    d = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, d, "").collect()}
+    assert got == {**{i: f"own words {i}" for i in range(12)}, 12: rows[12][1], 13: rows[13][1]}
+
+
 def test_line_dedup_is_native(docs):
     plan = linededup.remove_boilerplate(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
