@@ -71,7 +71,7 @@ def parse(rec: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 def records_of(gz: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """Records of a monolithic stream, inflated once in steps; never more than one record and a step held."""
+    """Records of a stream of one or more gzip members, inflated once in steps; never more than one record and a step held."""
     z, buf, at = zlib.decompressobj(31), bytearray(), 0
     need = None
     while True:
@@ -85,7 +85,12 @@ def records_of(gz: bytes, step: int = 1 << 16) -> Iterator[bytes]:
             need = None
             continue
         if z.eof:
-            break
+            at = min(at, len(gz)) - len(z.unused_data)
+            while at < len(gz) and gz[at] == 0:  # padding
+                at += 1
+            if at == len(gz):
+                break
+            z = zlib.decompressobj(31)
         chunk = z.unconsumed_tail or gz[at : at + step]
         if not z.unconsumed_tail:
             at += step

@@ -55,6 +55,20 @@ def test_normal_form(spark, tmp_path):
         list(warc.records_of(raw.first().gz[:-20]))
 
 
+def test_records_of_several_members(spark):
+    d = spark.createDataFrame(ODD, "page_id bigint, url string, html string").coalesce(1)
+    raw = warc.write_archives(warc.revisits(d).coalesce(1))
+    gz, normal = raw.first().gz, warc.normalise(raw)
+    recs = list(warc.records_of(gz))
+    assert len(recs) == len(ODD) and list(warc.records_of(normal.first().gz)) == recs
+    assert list(warc.records_of(gz + gz + bytes(9))) == recs + recs
+    assert warc.normalise(normal.select("archive", "gz")).collect() == normal.collect()
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.records_of(gz + b"junk"))
+    with pytest.raises(ValueError):
+        list(warc.records_of(gz + gz[:-20]))
+
+
 # op 7 --------------------------------------------------------------------------------------------------
 
 
