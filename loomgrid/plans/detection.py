@@ -415,8 +415,8 @@ def furthest_point_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rotated_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     cx, cy, w, h = B.to_cxcywh(B.box())
-    d = X.det(spark, sf_dir).where("det_idx % 8 = 0").select("image_id", "class_id", "det_idx", F.array(cx, cy, w, h, F.lit(0.1)).alias("rbox"))
-    g = X.gt(spark, sf_dir).where("gt_idx % 8 = 0").select("image_id", "class_id", "gt_idx", F.array(cx, cy, w, h, F.lit(-0.2)).alias("rbox_b"))
+    d = X.det(spark, sf_dir).select("image_id", "class_id", "det_idx", F.array(cx, cy, w, h, F.lit(0.1)).alias("rbox"))
+    g = X.gt(spark, sf_dir).select("image_id", "class_id", "gt_idx", F.array(cx, cy, w, h, F.lit(-0.2)).alias("rbox_b"))
     return rounded(P.rotated_overlap_join(d, g, ["image_id", "class_id"], least=0.1).select("det_idx", "gt_idx", "iou"), "iou", places=9)
 
 

@@ -11,6 +11,8 @@ from loomgrid.operators import assign as A
 from loomgrid.operators import metrics as M
 from loomgrid.operators import spatial as P
 from loomgrid.operators import voxel as V
+from loomgrid.plans import detection as D
+from loomgrid.plans import fixtures as X
 
 
 def one(spark, *cols):
@@ -106,6 +108,20 @@ def test_hungarian_is_optimal():
         assert got == pytest.approx(best)
 
 
+def test_rotated_overlap_against_all_pairs(spark, sf_dir):
+    def corners(t, k, a):
+        return [(r.image_id, r.class_id, r[k], P.rotated_corners((r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2, r.x2 - r.x1, r.y2 - r.y1, a)) for r in t.where("image_id < 4").collect()]
+
+    d, g = X.det(spark, sf_dir), X.gt(spark, sf_dir)
+    want = {}
+    gs = corners(g, "gt_idx", -0.2)
+    for i, c, a, p in corners(d, "det_idx", 0.1):
+        want |= {(a, b): v for j, e, b, q in gs if (i, c) == (j, e) and (v := P.polygon_iou(p, q)) >= 0.1}
+    near = d.where("image_id < 4").select("det_idx")
+    got = {(r.det_idx, r.gt_idx): r.iou for r in D.rotated_overlap(spark, sf_dir).join(near, "det_idx").collect()}
+    assert got == pytest.approx(want, abs=1e-6) and len(got) > 0
+
+
 def test_metrics_edges(spark):
     d = boxes(spark, [(0, 0, 0, 0.0, 0.0, 10.0, 10.0, 0.9), (0, 0, 1, 0.0, 0.0, 10.0, 10.0, 0.8), (1, 1, 2, 0.0, 0.0, 5.0, 5.0, 0.7), (0, 2, 3, 0.0, 0.0, 10.0, 10.0, 0.6)])
     g = boxes(spark, [(0, 0, 0, 0.0, 0.0, 10.0, 10.0, False), (0, 2, 1, 0.0, 0.0, 10.0, 10.0, True)], "gt_idx")
