@@ -316,8 +316,9 @@ def simota_dynamic_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hungarian_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, g = X.det(spark, sf_dir).where("class_id = 0"), X.gt(spark, sf_dir).where("class_id = 0")
-    return A.hungarian_assign(A.box_costs(d, g, 0.01, 2.0))
+    # classes are matched apart: the five of an image are images of their own to the solver
+    d, g = (t.withColumn("image_id", F.expr("image_id * 5 + class_id")) for t in (X.det(spark, sf_dir), X.gt(spark, sf_dir)))
+    return A.hungarian_assign(A.box_costs(d, g, 0.01, 2.0)).withColumn("image_id", F.expr("image_id div 5"))
 
 
 @query("SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, k, b.x1 + x * 16 AS x1, b.y1 + y * 16 AS y1, b.x2 + x * 16 AS x2, b.y2 + y * 16 AS y2, x < 7 AND y < 5 AS valid FROM range(0, 6) a(y), range(0, 8) c(x), (VALUES (0, -16.0, -16.0, 16.0, 16.0), (1, -32.0, -32.0, 32.0, 32.0)) b(k, x1, y1, x2, y2)")

@@ -108,6 +108,14 @@ def test_hungarian_is_optimal():
         assert got == pytest.approx(best)
 
 
+def test_hungarian_match_covers_every_class(spark, sf_dir):
+    d, g = (t.select("image_id", "class_id", k).toPandas() for t, k in ((X.det(spark, sf_dir), "det_idx"), (X.gt(spark, sf_dir), "gt_idx")))
+    got = D.hungarian_match(spark, sf_dir).toPandas().merge(d, on=["image_id", "det_idx"]).merge(g, on=["image_id", "gt_idx"])
+    assert (got.class_id_x == got.class_id_y).all() and got.det_idx.is_unique and got.gt_idx.is_unique
+    n = d.groupby(["image_id", "class_id"]).size().to_frame("d").join(g.groupby(["image_id", "class_id"]).size().to_frame("g"), how="inner")
+    assert got.groupby(["image_id", "class_id_x"]).size().to_dict() == n.min(axis=1).to_dict()
+
+
 def test_rotated_overlap_against_all_pairs(spark, sf_dir):
     def corners(t, k, a):
         return [(r.image_id, r.class_id, r[k], P.rotated_corners((r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2, r.x2 - r.x1, r.y2 - r.y1, a)) for r in t.where("image_id < 4").collect()]
