@@ -20,14 +20,13 @@ from __future__ import annotations
 
 from itertools import repeat
 from math import ceil
-from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from loomgrid.llm.common import Scratch, components, tune, utf8, workers
 
@@ -161,46 +160,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: alone: any order gives the same pairs.
 COMMON = 1 << 16
 COUNTED = 8
+#: A wide fingerprint's segments of 23 bits, two to a long; the triples of segments that make its keys; and the bits in which
+#: texts that meet under a key may differ to be compared (unrelated texts differ in about half of the 138).
+WIDE = 6
+TRIPLES = [(i, j, k) for i in range(WIDE) for j in range(i + 1, WIDE) for k in range(j + 1, WIDE)]
+WIDE_BITS = 46
+#: Odd factors that draw a fingerprint's further longs from one hash.
+FACTORS = (1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles (the whole sequence if it has fewer words)."""
-    w = text.lower().split()
-    grams = map(b" ".join, zip(*(w[k:] for k in range(shingle)))) if len(w) > shingle else [b" ".join(w)]
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
 
 
 def shingles_udf(shingle: int):
     @F.arrow_udf(ArrayType(LongType()))
     def f(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t, shingle).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([shingle_set(t.lower().split(), shingle).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
     return f
 
 
-def heads_udf(shingle: int, least: float, known: np.ndarray, counts: np.ndarray):
-    """The number of a text's shingles, then the first of them in the common order (rare before frequent, then by hash). Of n shingles a
-    similar text shares ceil(least n) or more, so the n - ceil(least n) + 1 first ones hold one that is also among the other text's first."""
+def wide_fingerprint(words: list[bytes]) -> list[int]:
+    """Three longs of 46 bits over a text's distinct words, a bit 1 if set in over half of them."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, set(words)), np.uint64)
+    out = []
+    for f in FACTORS:
+        bits = np.unpackbits((h * np.uint64(f)).view(np.uint8).reshape(-1, 8)[:, 2:], axis=1, bitorder="little")
+        ones = bits.sum(axis=0, dtype=np.int64)[:46] * 2 > len(h)
+        out.append(int(np.packbits(np.concatenate([ones, np.zeros(18, bool)]), bitorder="little").view("<u8")[0]))
+    return out
 
-    @F.arrow_udf(ArrayType(LongType()))
+
+def shape_udf(shingle: int, least: float, known: np.ndarray, counts: np.ndarray):
+    """Of each text: ``key`` (hash of its words), ``wide`` (its wide fingerprint) and ``head``, that is the number of its
+    shingles and then the first of them in the common order (rare before frequent, then by hash). Of n shingles a similar text shares
+    ceil(least n) or more, so the n - ceil(least n) + 1 first ones hold one that is also among the other text's first."""
+    kind = pa.struct([("key", pa.int64()), ("wide", pa.list_(pa.int64())), ("head", pa.list_(pa.int64()))])
+
+    @F.arrow_udf(StructType([StructField("key", LongType()), StructField("wide", ArrayType(LongType())), StructField("head", ArrayType(LongType()))]))
     def f(texts: pa.Array) -> pa.Array:
-        out = []
+        keys, wides, heads = [], [], []
         for t in texts.to_pylist():
-            h = shingle_set(t, shingle)
+            w = t.lower().split()
+            keys.append(xxhash.xxh64_intdigest(b" ".join(w)))
+            wides.append(wide_fingerprint(w))
+            h = shingle_set(w, shingle)
             often = np.zeros(len(h), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 often = np.where(known[at] == h, counts[at], 0)
             first = h[np.argsort(often, kind="stable")[: len(h) - ceil(least * len(h) - 1e-9) + 1]]
-            out.append(np.concatenate(([len(h)], first.view(np.int64))))
-        return pa.array(out, pa.list_(pa.int64()))
+            heads.append(np.concatenate(([len(h)], first.view(np.int64))))
+        return pa.StructArray.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(wides, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))], fields=list(kind))
 
     return f
 
 
-def frequent(rows: DataFrame, shingle: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of at most COMMON shingles that most texts of a sample share, and their counts; ``rows``: key, t."""
-    some = rows.where(F.pmod("key", F.lit(COUNTED)) == 0).groupBy("key").agg(F.min("t").alias("t"))
+def frequent(texts: DataFrame, shingle: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most COMMON shingles that most texts of a sample share, and their counts; ``texts``: t binary."""
+    some = texts.where(F.pmod(F.xxhash64("t"), F.lit(COUNTED)) == 0).select("t").distinct()
     n = scratch.save("frequent", some.select(F.explode(shingles_udf(shingle)(F.col("t"))).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2"))
     total, lowest = 0, None
     for r in sorted(n.groupBy("n").agg(F.count("*").alias("m")).collect(), reverse=True):
@@ -213,39 +234,66 @@ def frequent(rows: DataFrame, shingle: int, scratch: Scratch) -> tuple[np.ndarra
     return np.array([h for h, _ in got], np.uint64), np.array([c for _, c in got], np.int64)
 
 
-def groups(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int = 5, least: float = 0.8, crowd: int = 4, block: int = 256) -> DataFrame:
-    """Components (node, root) of the classes (long ``key``, ``rid`` of a row, ``head``) whose texts have a Jaccard similarity of at least ``least``.
+def golay_rows(classes: DataFrame) -> DataFrame:
+    """(at, key, wide): a row per class and triple of segments, ``at`` made of the triple and the three indices of the codewords next to them."""
 
-    Texts that similar share a shingle of their heads, always. All pairs meet under a shingle of at most ``crowd`` classes; under a
-    larger one every class first meets the smallest. What then hangs together needs no more; all other pairs of such
-    a crowd, those of different components, meet in a second step, by blocks of ``block`` classes.
+    def rows(batches):
+        for b in batches:
+            wide = b.column(1)
+            w = wide.flatten().to_numpy().reshape(-1, 3)
+            near = []
+            for i in range(WIDE):
+                s = (w[:, i // 2] >> (23 * (i % 2))) & ((1 << 23) - 1)
+                near.append((s ^ ERRORS[syndromes(s), 0]) >> 11)
+            at = np.stack([(np.int64(n) << 36) | (near[i] << 24) | (near[j] << 12) | near[k] for n, (i, j, k) in enumerate(TRIPLES)], 1)
+            who = pa.array(np.repeat(np.arange(len(w)), len(TRIPLES)))
+            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), b.column(0).take(who), wide.take(who)], names=["at", "key", "wide"])
+
+    return classes.select("key", "wide").mapInArrow(rows, "at long, key long, wide array<long>")
+
+
+def golay_candidates(classes: DataFrame) -> DataFrame:
+    """(u, v): every class of a Golay key with the smallest one under it, if their wide fingerprints are near."""
+    rows = golay_rows(classes)
+    low = rows.groupBy("at").agg(F.count("*").alias("n"), F.min(F.struct("key", "wide")).alias("low")).where("n > 1").drop("n")
+    differ = sum((F.bit_count(F.col("wide")[i].bitwiseXOR(F.col("low.wide")[i])) for i in range(3)), F.lit(0))
+    met = rows.join(low, "at").where((F.col("key") > F.col("low.key")) & (differ <= WIDE_BITS))
+    return met.select(F.col("key").alias("u"), F.col("low.key").alias("v")).distinct()
+
+
+def groups(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int = 5, least: float = 0.8, block: int = 256) -> DataFrame:
+    """Components (node, root) of the classes (long ``key``, ``rid`` of a row, ``wide``, ``head``) whose texts have a Jaccard similarity of at least ``least``.
+
+    Golay keys link most of them: under a key every class meets the smallest. What they miss is made up
+    exactly. Texts that similar share a shingle of their heads, always: first every class of such a shingle meets the
+    smallest of another component, then all pairs meet that still belong to different ones, by blocks of ``block`` classes.
     Candidates are compared on whole texts (``texts``: rid, text binary).
     """
     spark = classes.sparkSession
-    rows = classes.select("key", F.expr("explode(slice(head, 2, size(head) - 1))").alias("at"), F.col("head")[0].alias("m"))
-    full = rows.groupBy("at").agg(F.count("*").alias("n"), F.min(F.struct("key", "m")).alias("low")).where("n > 1")
-    met = scratch.save("met", rows.join(full, "at"))
-    even = F.least("m", "k") >= least * F.greatest("m", "k") - 1e-9
-    few = met.where(F.col("n") <= crowd)
-    close = few.select("at", F.col("key").alias("u"), "m").join(few.select("at", F.col("key").alias("v"), F.col("m").alias("k")), "at").where("u > v")
-    star = met.where((F.col("n") > crowd) & (F.col("key") > F.col("low.key"))).select(F.col("key").alias("u"), "m", F.col("low.key").alias("v"), F.col("low.m").alias("k"))
-    pairs = close.where(even).select("u", "v").union(star.where(even).select("u", "v")).distinct()
-    links = verified(scratch.save("candidates", pairs), classes, texts, scratch, shingle, least)
-    links = scratch.save("links", links)
+    check = lambda pairs: scratch.save("links", verified(scratch.save("candidates", pairs), classes, texts, scratch, shingle, least))
+    links = check(golay_candidates(classes))
     stars = components(spark, links, scratch)
     scratch.release()
-    crowds = met.where(F.col("n") > crowd).select("at", "key", "m").join(stars.withColumnRenamed("node", "key"), "key", "left")
-    crowds = crowds.withColumn("root", F.coalesce("root", "key"))
-    split = crowds.groupBy("at").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    rest = scratch.save("rest", crowds.join(split.select("at", F.ceil(F.col("n") / block).alias("blocks")), "at"))
-    scratch.drop(met)
-    if rest.isEmpty():
-        return stars
+    root = lambda rows: rows.join(stars.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    even = F.least("m", "k") >= least * F.greatest("m", "k") - 1e-9
+    rows = root(classes.select("key", "head")).select("key", "root", F.expr("explode(slice(head, 2, size(head) - 1))").alias("at"), F.col("head")[0].alias("m"))
+    apart = lambda rows: rows.groupBy("at").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("at", "n")
+    open_ = scratch.save("open", apart(rows))
+    met = scratch.save("met", rows.join(open_.select("at"), "at"))
+    low = met.groupBy("at").agg(F.min(F.struct("key", "m", "root")).alias("low"))
+    star = met.join(low, "at").select(F.col("key").alias("u"), F.col("low.key").alias("v"), "m", F.col("low.m").alias("k"), "root", F.col("low.root").alias("other"))
+    more = check(star.where((F.col("root") != F.col("other")) & even).select("u", "v").distinct())
+    if not more.isEmpty():
+        links = links.union(more)
+        stars = components(spark, links, scratch)
+        scratch.release()
+    met = root(met.drop("root"))
+    rest = scratch.save("rest", met.join(apart(met).select("at", F.ceil(F.col("n") / block).alias("blocks")), "at"))
     one = rest.select("at", F.col("key").alias("u"), "m", F.col("root").alias("p"), F.pmod(F.xxhash64("key"), F.col("blocks")).alias("part"))
     other = rest.select("at", F.col("key").alias("v"), F.col("m").alias("k"), F.col("root").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
-    pairs = one.join(other, ["at", "part"]).where((F.col("u") > F.col("v")) & (F.col("p") != F.col("q")) & even).select("u", "v").distinct()
-    more = verified(scratch.save("candidates", pairs), classes, texts, scratch, shingle, least)
-    return components(spark, links.union(more), scratch)
+    pairs = one.join(other, ["at", "part"]).where((F.col("u") > F.col("v")) & (F.col("p") != F.col("q")) & even)
+    more = check(pairs.select("u", "v").distinct())
+    return stars if more.isEmpty() else components(spark, links.union(more), scratch)
 
 
 def verified(candidates: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
@@ -260,19 +308,16 @@ def verified(candidates: DataFrame, classes: DataFrame, texts: DataFrame, scratc
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The documents, in their own columns, one of each group whose texts hang together by similarities of at least
     ``least`` on word shingles: that with the smallest id (nulls last), and of repeated rows just one. Texts of equal words
-    form one class first; candidates share one of their first shingles and are verified on whole texts."""
+    form one class first; ``groups`` links the classes."""
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "simhash")
-    plain = F.translate(F.col("t").cast("string"), ascii_uppercase + "\t\n\x0b\f\r", ascii_lowercase + "     ")
-    words = F.regexp_replace(F.trim(plain), " +", " ")
     rows = docs.select(F.struct(*docs.columns).alias("row"), utf8(text_col).alias("t"), F.monotonically_increasing_id().alias("rid"))
-    rows = rows.withColumn("key", F.xxhash64(words))
-    heads = heads_udf(shingle, least, *frequent(rows.select("key", "t"), shingle, scratch))
-    kept = scratch.save("rows", rows.select("row", "rid", "key", heads(F.col("t")).alias("head")))
+    shape = shape_udf(shingle, least, *frequent(rows.select("t"), shingle, scratch))
+    kept = scratch.save("rows", rows.select("row", "rid", shape(F.col("t")).alias("shape")))
     rank = F.struct(F.col(f"row.`{id_col}`").isNull().alias("late"), F.col(f"row.`{id_col}`").alias("id"), F.col("rid").alias("rid"))
-    classes = kept.groupBy("key").agg(F.min(rank).alias("rank"), F.min(F.struct("rid", "head")).alias("one"))
-    classes = scratch.save("classes", classes.select("key", "rank", F.col("one.head").alias("head"), F.col("one.rid").alias("rid")))
+    classes = kept.groupBy("shape.key").agg(F.min(rank).alias("rank"), F.min(F.struct("rid", "shape.wide", "shape.head")).alias("one"))
+    classes = scratch.save("classes", classes.select("key", "rank", "one.rid", "one.wide", "one.head"))
     stars = groups(classes, kept.select("rid", utf8(f"row.{text_col}").alias("text")), scratch, shingle, least)
     scratch.release()
     named = classes.select("key", "rank").join(stars.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
