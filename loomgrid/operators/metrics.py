@@ -98,28 +98,47 @@ def gt_counts(gt: DataFrame, area: tuple[float, float] | None = None, extra: flo
     return gt.groupBy("class_id").agg(F.count(F.when(~F.col("is_ignore") & inside, 1)).alias("num_gts"))
 
 
-def precision_recall(tpfp: DataFrame, counts: DataFrame, by: list[str] = ["class_id"]) -> DataFrame:  # noqa: B006
-    """Running precision and recall along falling score. One window per class: its rows are sorted once, in a task."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "image_id", "det_idx")
+#: Score ranges of a class that are ranked apart: no class is sorted whole in one task. Scores outside [0, 1) are ranked in the outer ones.
+SLOTS = 4096
+
+
+def precision_recall(tpfp: DataFrame, counts: DataFrame, by: tuple[str, ...] = ("class_id",)) -> DataFrame:
+    """Running precision and recall along falling score, position ``pos``. A class is dealt out by ranges of its scores (``slot``); a range's
+    running sums start from the totals of the ranges above it, a small table."""
+    t = tpfp.withColumn("slot", F.least(F.greatest(F.floor(F.col("score") * SLOTS), F.lit(0)), F.lit(SLOTS - 1)))
+    above = Window.partitionBy(*by).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = t.groupBy(*by, "slot").agg(F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"), F.count("*").alias("_n"))
+    sums = sums.select(*by, "slot", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("_tp", "_fp", "_n")))
+    sums = sums.join(counts, list(by), "left")
+    w = Window.partitionBy(*by, "slot").orderBy(F.desc("score"), "image_id", "det_idx")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = tpfp.join(counts, by, "left").withColumn("ctp", F.sum("tp").over(run)).withColumn("cfp", F.sum("fp").over(run)).withColumn("pos", F.row_number().over(w))
-    t = t.withColumn("recall", F.col("ctp") / F.greatest(F.coalesce("num_gts", F.lit(0)).cast("double"), F.lit(EPS32)))
+    t = t.join(sums, [*by, "slot"])
+    t = t.withColumn("ctp", F.col("_tp") + F.sum("tp").over(run)).withColumn("cfp", F.col("_fp") + F.sum("fp").over(run)).withColumn("pos", F.col("_n") + F.row_number().over(w))
+    n = F.greatest(F.coalesce("num_gts", F.lit(0)).cast("double"), F.lit(EPS32))
+    t = t.withColumn("recall", F.col("ctp") / n).withColumn("before", (F.col("ctp") - F.col("tp")) / n).drop("_tp", "_fp", "_n")
     return t.withColumn("precision", F.col("ctp") / F.greatest((F.col("ctp") + F.col("cfp")).cast("double"), F.lit(EPS32)))
 
 
-def average_precision(pr: DataFrame, by: list[str] = ["class_id"], mode: str = "area") -> DataFrame:  # noqa: B006
-    """Area under the precision envelope, or the mean of 11 interpolated points."""
-    w = Window.partitionBy(*by).orderBy("pos")
+def envelope(pr: DataFrame, by: tuple[str, ...] = ("class_id",)) -> DataFrame:
+    """Adds ``env``, the highest precision at this or a lower score: a running maximum from the lowest score up, range by range."""
+    below = Window.partitionBy(*by).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    best = pr.groupBy(*by, "slot").agg(F.max("precision").alias("_best")).select(*by, "slot", F.coalesce(F.max("_best").over(below), F.lit(0.0)).alias("_after"))
+    run = Window.partitionBy(*by, "slot").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    return pr.join(best, [*by, "slot"]).withColumn("env", F.greatest(F.max("precision").over(run), F.col("_after"))).drop("_after")
+
+
+def average_precision(pr: DataFrame, by: tuple[str, ...] = ("class_id",), mode: str = "area") -> DataFrame:
+    """(by, num_dets, recall, ap): the area under the precision envelope, or the mean of 11 interpolated points."""
+    counted = [F.count("*").alias("num_dets"), F.max("recall").alias("recall")]
     if mode == "area":
-        e = pr.withColumn("env", F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("step", F.col("recall") - F.lag("recall", 1, 0.0).over(w))
-        return e.groupBy(*by).agg(F.sum(F.col("step") * F.col("env")).alias("ap"))
+        return envelope(pr, by).groupBy(*by).agg(*counted, F.sum((F.col("recall") - F.col("before")) * F.col("env")).alias("ap"))
     if mode != "11points":
         raise ValueError(mode)
     best = [F.coalesce(F.max(F.when(F.col("recall") >= k / 10, F.col("precision"))), F.lit(0.0)) for k in range(11)]
     total = best[0]
     for b in best[1:]:
         total = total + b
-    return pr.groupBy(*by).agg((total / 11).alias("ap"))
+    return pr.groupBy(*by).agg(*counted, (total / 11).alias("ap"))
 
 
 TPFP = {"default": tpfp_default, "greedy": tpfp_greedy, "group_of": tpfp_group_of}
@@ -130,8 +149,7 @@ def eval_map(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5, mode: str = "a
     t = tpfp_default(det, gt, iou_thr, extra, area) if strategy == "default" else TPFP[strategy](det, gt, **kw)
     counts = gt_counts(gt, area, extra)
     pr = precision_recall(t.select("image_id", "class_id", "det_idx", "score", "tp", "fp"), counts)
-    ap = average_precision(pr, mode=mode).join(pr.groupBy("class_id").agg(F.count("*").alias("num_dets"), F.max("recall").alias("recall")), "class_id")
-    out = counts.join(ap, "class_id", "full")
+    out = counts.join(average_precision(pr, mode=mode), "class_id", "full")
     return out.select("class_id", F.coalesce("num_gts", F.lit(0)).alias("num_gts"), F.coalesce("num_dets", F.lit(0)).alias("num_dets"), F.coalesce("recall", F.lit(0.0)).alias("recall"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
@@ -153,46 +171,53 @@ AREAS = {"all": (0.0, 1e10), "small": (0.0, 1024.0), "medium": (1024.0, 9216.0),
 
 
 def coco_ap(det: DataFrame, gt: DataFrame, thresholds: list[float] | None = None, max_dets: int = 100, area: tuple[float, float] | None = None) -> DataFrame:
-    """(iou_thr, class_id, num_gts, ap, recall): 101-point interpolated precision at each threshold. The overlap join and best match happen
-    once; thresholds are a cross join of the matched rows with a constant list of ten."""
-    thresholds = thresholds or [round(0.5 + 0.05 * k, 2) for k in range(10)]
-    w = Window.partitionBy("image_id", "class_id").orderBy(F.desc("score"), "det_idx")
-    top = det.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_dets).drop("_r")
-    out_of = (lambda a: F.lit(False)) if area is None else (lambda a: (a < area[0]) | (a >= area[1]))
-    g = gt.withColumn("_skip", F.col("is_ignore") | out_of(B.area(B.box())))
+    """(iou_thr, class_id, num_gts, ap, recall): 101-point interpolated precision at each threshold."""
+    return coco_curves(det, gt, [("all", *(area or AREAS["all"]), max_dets)], thresholds).drop("setting")
+
+
+def coco_curves(det: DataFrame, gt: DataFrame, settings: list[tuple[str, float, float, int]], thresholds: list[float] | None = None) -> DataFrame:
+    """coco_ap for several settings (name, least and most area, detections per image and class) at once, column ``setting``.
+
+    The overlap join, the best match and the order of a truth's claims happen once: a detection is the first to claim its truth at
+    the thresholds above the best overlap of the claims before it, up to its own. Only then is there a row per
+    setting and threshold."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("setting"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(k).alias("k")) for n, lo, hi, k in settings)))
+    thresholds = F.explode(F.array(*map(F.lit, thresholds or [round(0.5 + 0.05 * k, 2) for k in range(10)])))
+    outside = lambda a: (F.col(a) < F.col("s.lo")) | (F.col(a) >= F.col("s.hi"))
+    best = Window.partitionBy("image_id", "class_id").orderBy(F.desc("score"), "det_idx")
+    top = det.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max(k for *_, k in settings))
+    g = gt.withColumn("_area", B.area(B.box()))
     m = best_match(top, g, ["image_id", "class_id"], ["det_idx"], "gt_idx")
-    m = m.join(g.select("image_id", "class_id", F.col("gt_idx").alias("match"), "_skip"), ["image_id", "class_id", "match"], "left")
-    m = m.withColumn("_size", B.area(B.box())).withColumn("iou_thr", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("_hit", F.coalesce(F.col("iou") >= F.col("iou_thr"), F.lit(False)))
-    first = Window.partitionBy("image_id", "class_id", "iou_thr", "match", "_hit").orderBy(F.desc("score"), "det_idx")
-    use = F.col("_hit") & ~F.coalesce("_skip", F.lit(False))
-    m = m.withColumn("_n", F.row_number().over(first))
-    m = m.withColumn("tp", F.when(use & (F.col("_n") == 1), 1).otherwise(0)).withColumn("fp", F.when(use & (F.col("_n") > 1), 1).when(~F.col("_hit") & ~out_of(F.col("_size")), 1).otherwise(0))
-    counts = gt_counts(gt, area).withColumn("iou_thr", F.explode(F.array(*map(F.lit, thresholds))))
-    by = ["iou_thr", "class_id"]
-    pr = precision_recall(m.select("iou_thr", "image_id", "class_id", "det_idx", "score", "tp", "fp"), counts, by)
-    env = Window.partitionBy(*by).orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    pr = pr.withColumn("env", F.max("precision").over(env)).withColumn("_before", F.lag("recall", 1, -1.0).over(Window.partitionBy(*by).orderBy("pos")))
+    m = m.join(g.select("image_id", "class_id", F.col("gt_idx").alias("match"), F.col("is_ignore").alias("_ignore"), "_area"), ["image_id", "class_id", "match"], "left")
+    claims = Window.partitionBy("image_id", "class_id", "match").orderBy(F.desc("score"), "det_idx").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("_earlier", F.coalesce(F.max("iou").over(claims), F.lit(-1.0))).withColumn("_own", B.area(B.box())).withColumn("s", each).where(F.col("_r") <= F.col("s.k"))
+    m = m.withColumn("_skip", F.coalesce(F.col("_ignore") | outside("_area"), F.lit(False))).withColumn("_out", outside("_own"))
+    m = m.withColumn("iou_thr", thresholds).withColumn("_hit", F.coalesce(F.col("iou") >= F.col("iou_thr"), F.lit(False)))
+    first = F.col("_earlier") < F.col("iou_thr")
+    use = F.col("_hit") & ~F.col("_skip")
+    m = m.withColumn("tp", F.when(use & first, 1).otherwise(0)).withColumn("fp", F.when(use & ~first, 1).when(~F.col("_hit") & ~F.col("_out"), 1).otherwise(0))
+    counts = g.withColumn("s", each).groupBy("s.setting", "class_id").agg(F.count(F.when(~F.col("is_ignore") & ~outside("_area"), 1)).alias("num_gts")).withColumn("iou_thr", thresholds)
+    by = ("setting", "iou_thr", "class_id")
+    pr = envelope(precision_recall(m.select("s.setting", "iou_thr", "image_id", "class_id", "det_idx", "score", "tp", "fp"), counts, by), by)
     # points r = 0, .01, ..., 1 whose first row with recall >= r is this one
-    points = F.floor(F.col("recall") * 100 + 1e-9) - F.floor(F.greatest(F.col("_before"), F.lit(-0.01)) * 100 + 1e-9)
+    before = F.when(F.col("pos") == 1, -0.01).otherwise(F.col("before"))
+    points = F.floor(F.col("recall") * 100 + 1e-9) - F.floor(before * 100 + 1e-9)
     ap = pr.groupBy(*by).agg((F.sum(points * F.col("env")) / 101).alias("ap"), F.max("recall").alias("recall"))
-    return counts.join(ap, by, "left").select("iou_thr", "class_id", "num_gts", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
+    return counts.join(ap, list(by), "left").select(*by, "num_gts", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
 def coco_summary(det: DataFrame, gt: DataFrame) -> DataFrame:
     """(metric, value) of the twelve usual figures, rounded to 3 places; -1 where no truth exists."""
-    out = None
-    for name, rng in AREAS.items():
-        per = coco_ap(det, gt, area=None if name == "all" else rng).where("num_gts > 0")
-        sets = [("AP" if name == "all" else f"AP_{name}", None, "ap"), ("AR_100" if name == "all" else f"AR_{name}", None, "recall")]
-        if name == "all":
-            sets += [("AP50", 0.5, "ap"), ("AP75", 0.75, "ap")]
-        for metric, thr, col in sets:
-            one = (per if thr is None else per.where(F.col("iou_thr") == thr)).agg(F.round(F.coalesce(F.avg(col), F.lit(-1.0)), 3).alias("value")).select(F.lit(metric).alias("metric"), "value")
-            out = one if out is None else out.unionByName(one)
-    for k in (1, 10):
-        one = coco_ap(det, gt, max_dets=k).where("num_gts > 0").agg(F.round(F.coalesce(F.avg("recall"), F.lit(-1.0)), 3).alias("value")).select(F.lit(f"AR_{k}").alias("metric"), "value")
-        out = out.unionByName(one)
-    return out
+    settings = [(name, lo, hi, 100) for name, (lo, hi) in AREAS.items()] + [(f"first_{k}", *AREAS["all"], k) for k in (1, 10)]
+    mean = lambda c, *which: F.avg(F.when(which[0], F.col(c)) if which else F.col(c))
+    per = coco_curves(det, gt, settings).where("num_gts > 0")
+    one = per.groupBy("setting").agg(mean("ap").alias("ap"), mean("recall").alias("ar"), mean("ap", F.col("iou_thr") == 0.5).alias("ap50"), mean("ap", F.col("iou_thr") == 0.75).alias("ap75"))
+    names = [("all", "AP", "ap"), ("all", "AR_100", "ar"), ("all", "AP50", "ap50"), ("all", "AP75", "ap75"), ("first_1", "AR_1", "ar"), ("first_10", "AR_10", "ar")]
+    names += [(a, f"{m}_{a}", c) for a in AREAS if a != "all" for m, c in (("AP", "ap"), ("AR", "ar"))]
+    # one row of at most six settings turned into one row of figures
+    wide = one.agg(*(F.max(F.when(F.col("setting") == s, F.col(c))).alias(m) for s, m, c in names))
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.round(F.coalesce(F.col(m), F.lit(-1.0)), 3).alias("value")) for _, m, _ in names)))
+    return wide.select(rows.alias("r")).select("r.*")
 
 
 def frequency_groups(gt: DataFrame, rare: int = 10, common: int = 100) -> DataFrame:
