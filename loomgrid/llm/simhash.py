@@ -169,29 +169,104 @@ WIDE_BITS = 46
 FACTORS = (1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles (the whole sequence if it has fewer words)."""
-    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
+#: Bytes of texts that are hashed at once; a longer text is hashed in such pieces, cut between words.
+PIECE = 1 << 22
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of an odd factor modulo 2**64, and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, PIECE)
+        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, f, np.uint64), dtype=np.uint64)]) for f in (FACTORS[1], pow(FACTORS[1], -1, 1 << 64))]
+    return _powers
+
+
+def hash_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, where each text's words begin and end among them) of texts laid end to end, lower-casing A-Z.
+
+    A word's hash is a polynomial of its bytes, read off running sums, so that no word is ever an object of its own."""
+    low = buf + np.where((buf >= 65) & (buf <= 90), 32, 0).astype(np.uint8)
+    word = (low != 32) & ((low < 9) | (low > 13))
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
+    ends = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+    up, down = powers(len(buf) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(FACTORS[2])
+    return h ^ (h >> np.uint64(29)), np.searchsorted(starts, offsets)
+
+
+def word_hashes(texts: pa.Array):
+    """The word hashes of each text of a binary array, in order."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+        to = min(to, len(texts))
+        if offsets[to] - offsets[at] <= PIECE:
+            h, cut = hash_words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            yield from (h[cut[i] : cut[i + 1]] for i in range(to - at))
+        else:
+            yield np.concatenate(list(_in_pieces(data[offsets[at] : offsets[to]])))
+        at = to
+
+
+def _in_pieces(buf: np.ndarray):
+    gap = np.flatnonzero((buf == 32) | ((buf >= 9) & (buf <= 13)))
+    at = 0
+    while at < len(buf):
+        to = len(buf)
+        if to - at > PIECE:
+            k = np.searchsorted(gap, at + PIECE)
+            to = int(gap[k]) + 1 if k < len(gap) else to
+        yield hash_words(buf[at:to], np.array([0, to - at]))[0]
+        at = to
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def shingle_set(h: np.ndarray, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (the whole sequence if it has fewer words), of its words' hashes."""
+    if not len(h):
+        return np.zeros(1, np.uint64)
+    m = max(1, len(h) - shingle + 1)
+    c = h[:m].copy()
+    for j in range(1, min(shingle, len(h))):
+        c = c * np.uint64(FACTORS[1]) + h[j : j + m]
+    c = (c ^ (c >> np.uint64(29))) * np.uint64(FACTORS[2])
+    return distinct(c ^ (c >> np.uint64(32)))
 
 
 def shingles_udf(shingle: int):
     @F.arrow_udf(ArrayType(LongType()))
     def f(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.lower().split(), shingle).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([shingle_set(h, shingle).view(np.int64) for h in word_hashes(texts)], pa.list_(pa.int64()))
 
     return f
 
 
-def wide_fingerprint(words: list[bytes]) -> list[int]:
-    """Three longs of 46 bits over a text's distinct words, a bit 1 if set in over half of them."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, set(words)), np.uint64)
-    out = []
-    for f in FACTORS:
-        bits = np.unpackbits((h * np.uint64(f)).view(np.uint8).reshape(-1, 8)[:, 2:], axis=1, bitorder="little")
-        ones = bits.sum(axis=0, dtype=np.int64)[:46] * 2 > len(h)
-        out.append(int(np.packbits(np.concatenate([ones, np.zeros(18, bool)]), bitorder="little").view("<u8")[0]))
-    return out
+#: A byte's bits as eight counters of a byte each, lowest first.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def wide_fingerprint(h: np.ndarray) -> list[int]:
+    """Three longs of 46 bits over a text's distinct words (their hashes), a bit 1 if set in over half of them."""
+    h = distinct(h)
+    drawn = (h * np.array(FACTORS, np.uint64)[:, None]).view(np.uint8)  # a row of 8 bytes a word for each factor
+    ones = np.zeros((3, 64), np.int64)
+    for at in range(0, len(h), 255):  # a counter holds no more
+        lanes = LANES.take(drawn[:, 8 * at : 8 * (at + 255)]).reshape(3, -1, 8)
+        ones += np.add.reduce(lanes, axis=1).view(np.uint8).reshape(3, 64)
+    bits = np.zeros((3, 64), np.uint8)
+    bits[:, :46] = ones[:, 18:] * 2 > len(h)  # the upper bits of a product are the better mixed
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
 def shape_udf(shingle: int, least: float, known: np.ndarray, counts: np.ndarray):
@@ -203,11 +278,10 @@ def shape_udf(shingle: int, least: float, known: np.ndarray, counts: np.ndarray)
     @F.arrow_udf(StructType([StructField("key", LongType()), StructField("wide", ArrayType(LongType())), StructField("head", ArrayType(LongType()))]))
     def f(texts: pa.Array) -> pa.Array:
         keys, wides, heads = [], [], []
-        for t in texts.to_pylist():
-            w = t.lower().split()
-            keys.append(xxhash.xxh64_intdigest(b" ".join(w)))
-            wides.append(wide_fingerprint(w))
-            h = shingle_set(w, shingle)
+        for words in word_hashes(texts):
+            keys.append(xxhash.xxh64_intdigest(words.tobytes()))
+            wides.append(wide_fingerprint(words))
+            h = shingle_set(words, shingle)
             often = np.zeros(len(h), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
