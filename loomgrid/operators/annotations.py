@@ -111,7 +111,7 @@ def last_wins(rows: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def lookup_or_fail(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
-    j = rows.join(F.broadcast(table.select(key, value)), key, "left")
+    j = rows.join(table.select(key, value), key, "left")
     return j.withColumn(value, F.coalesce(value, F.raise_error(F.concat(F.lit(f"no {value} for "), F.col(key).cast("string"))).cast(table.schema[value].dataType)))
 
 

@@ -309,29 +309,30 @@ def random_sample(assigned: DataFrame, num: int, pos_fraction: float, neg_pos_ub
     return d.withColumn("_room", room).where(F.when(F.col("is_pos"), F.col("_r") <= quota).otherwise(F.col("_r") <= F.col("_room"))).drop("_r", "_room")
 
 
-def iou_balanced_negatives(assigned: DataFrame, num: int, bins: int = 3, floor_thr: float = -1, floor_fraction: float = 0.0, seed: int = 0) -> DataFrame:
-    """Background rows spread evenly over overlap bins up to each image's largest overlap; missing ones are refilled in seeded order."""
+def iou_balanced_negatives(assigned: DataFrame, num: int, bins: int = 3, floor_thr: float = -1, floor_fraction: float = 0.0, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """Background rows spread evenly over overlap bins up to each image's largest overlap; missing ones are refilled. Both in seeded order,
+    or that of a column."""
     d = assigned.where("gt_inds = 0")
     most = F.max("max_overlap").over(Window.partitionBy("image_id"))
     base = max(floor_thr, 0.0)
     step = (most - base) / bins
     b = F.when(F.col("max_overlap") < base, -1).otherwise(F.least(F.floor((F.col("max_overlap") - base) / F.nullif(step, F.lit(0.0))), F.lit(bins - 1)))
     d = d.withColumn("_bin", F.coalesce(b, F.lit(0)).cast("int"))
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("image_id", "_bin").orderBy(_rank(seed), "det_idx")))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("image_id", "_bin").orderBy(_rank(seed) if order is None else order, "det_idx")))
     floor_num = int(num * floor_fraction) if floor_thr > 0 else 0
     per = int((num - floor_num) / bins)
     first = F.when(F.col("_bin") < 0, F.col("_r") <= floor_num).otherwise(F.col("_r") <= per)
-    d = d.withColumn("_first", first).withColumn("_n", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("_first"), _rank(seed + 1), "det_idx")))
+    d = d.withColumn("_first", first).withColumn("_n", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("_first"), _rank(seed + 1) if order is None else order, "det_idx")))
     return d.where(F.col("_n") <= num).drop("_bin", "_r", "_first", "_n")
 
 
-def instance_balanced_positives(assigned: DataFrame, num: int, seed: int = 0) -> DataFrame:
-    """Positives spread over truths: round(num / truths) + 1 each (halves to even), refilled or cut to ``num`` in seeded order."""
+def instance_balanced_positives(assigned: DataFrame, num: int, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """Positives spread over truths: round(num / truths) + 1 each (halves to even), refilled or cut to ``num``, in seeded order or that of a column."""
     d = assigned.where("gt_inds > 0")
     w = Window.partitionBy("image_id")
-    d = d.withColumn("_g", F.size(F.collect_set("gt_inds").over(w))).withColumn("_r", F.row_number().over(Window.partitionBy("image_id", "gt_inds").orderBy(_rank(seed), "det_idx")))
+    d = d.withColumn("_g", F.size(F.collect_set("gt_inds").over(w))).withColumn("_r", F.row_number().over(Window.partitionBy("image_id", "gt_inds").orderBy(_rank(seed) if order is None else order, "det_idx")))
     d = d.withColumn("_first", F.col("_r") <= F.bround(F.lit(float(num)) / F.col("_g")) + 1)
-    d = d.withColumn("_n", F.row_number().over(w.orderBy(F.desc("_first"), _rank(seed + 1), "det_idx")))
+    d = d.withColumn("_n", F.row_number().over(w.orderBy(F.desc("_first"), _rank(seed + 1) if order is None else order, "det_idx")))
     return d.where(F.col("_n") <= num).drop("_g", "_r", "_first", "_n")
 
 

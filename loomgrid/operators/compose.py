@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.operators.numbering import numbered
+
 
 class Registry:
     """Named functions from DataFrame to DataFrame; names may be scoped (``scope.name``)."""
@@ -100,12 +102,12 @@ def casts(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.withColumns({k: F.col(k).cast(t) for k, t in kinds.items()})
 
 
-def boxes_by_label(instances: DataFrame, label: str = "label_text", keys: list[str] = ["image_id"], order: str = "ann_id") -> DataFrame:  # noqa: B006
+def boxes_by_label(instances: DataFrame, label: str = "label_text", keys: tuple[str, ...] = ("image_id",), order: str = "ann_id") -> DataFrame:
     """Per image and normalised label its boxes in order."""
     return instances.withColumn("label", F.lower(F.trim(label))).groupBy(*keys, "label").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "x1", "y1", "x2", "y2"))), lambda s: F.array(s["x1"], s["y1"], s["x2"], s["y2"])).alias("boxes"))
 
 
-def views(df: DataFrame, scales: list[tuple[int, int]], flips: list[str | None] = [None]) -> DataFrame:  # noqa: B006
+def views(df: DataFrame, scales: list[tuple[int, int]], flips: tuple[str | None, ...] = (None,)) -> DataFrame:
     """Test-time views: each row for every scale and flip (a constant table)."""
     table = F.array(*(F.struct(F.lit(k).alias("view"), F.lit(w).alias("view_w"), F.lit(h).alias("view_h"), F.lit(f).cast("string").alias("view_flip")) for k, (w, h, f) in enumerate((*s, f) for s in scales for f in flips)))
     return df.withColumn("_v", F.explode(table)).select("*", "_v.*").drop("_v")
@@ -116,10 +118,13 @@ def scatter_back(values: DataFrame, total: DataFrame, idx: str, value: str, fill
     return total.join(values.select(idx, value), idx, "left").withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
 
 
-def per_class_lists(dets: DataFrame, classes: DataFrame, images: DataFrame) -> DataFrame:
-    """(image_id, class_id, dets): an array for every image and class, empty ones too."""
+def per_class_lists(dets: DataFrame, classes: DataFrame, images: DataFrame, dense: bool = True) -> DataFrame:
+    """(image_id, class_id, dets): an array for every image and class, empty ones too, as the result format has it. With ``dense``
+    off only those with detections, which does not grow with images times classes."""
     g = dets.groupBy("image_id", "class_id").agg(F.array_sort(F.collect_list(F.struct("det_idx", "x1", "y1", "x2", "y2", "score"))).alias("dets"))
-    full = images.select("image_id").crossJoin(F.broadcast(classes.select("class_id")))
+    if not dense:
+        return g.join(images.select("image_id"), "image_id", "left_semi").join(classes.select("class_id"), "class_id", "left_semi").select("image_id", "class_id", "dets")
+    full = images.select("image_id").crossJoin(classes.select("class_id"))
     return full.join(g, ["image_id", "class_id"], "left").withColumn("dets", F.coalesce("dets", F.expr("array()").cast(g.schema["dets"].dataType)))
 
 
@@ -142,20 +147,19 @@ def align(*arrays: Column) -> Column:
 def concat(frames: dict[str, DataFrame], order: str) -> DataFrame:
     """Bag union with ``source``, ``src_ord`` (order within) and ``row_idx`` (order over all): sources follow each other in the order given.
 
-    Offsets come from the sources' counts, so only the order within a source needs a window."""
+    Offsets come from the sources' counts; a source's own rows are numbered by ranges (``numbered``)."""
     out = None
     for k, (name, f) in enumerate(frames.items()):
-        one = f.withColumns({"source": F.lit(name), "_k": F.lit(k), "src_ord": F.row_number().over(Window.orderBy(order)) - 1})
+        one = numbered(f, order, name="src_ord").withColumns({"source": F.lit(name), "_k": F.lit(k)})
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    n = out.groupBy("_k").count()
+    n = out.groupBy("_k").count()  # a row per source named in the call
     off = n.withColumn("_off", F.coalesce(F.sum("count").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     return out.join(F.broadcast(off), "_k").withColumn("row_idx", F.col("_off") + F.col("src_ord")).drop("_k", "_off")
 
 
 def repeat(df: DataFrame, times: int, idx: str | None = None) -> DataFrame:
     """The rows ``times`` times; with ``idx`` also the position in the long dataset."""
-    n = F.count("*").over(Window.partitionBy(F.lit(0))) if idx else None
-    d = df.withColumn("_n", n) if idx else df
+    d = df.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n")))) if idx else df  # one row
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     return d.withColumn("long_idx", F.col("copy") * F.col("_n") + F.col(idx)).drop("_n") if idx else d
 
@@ -166,7 +170,7 @@ def repeat_factors(image_classes: DataFrame, threshold: float, image: str = "ima
     total = pairs.agg(F.count_distinct(image).alias("n"))
     share = pairs.groupBy(cls).agg(F.count("*").alias("f")).crossJoin(F.broadcast(total))
     r = share.select(cls, F.greatest(F.lit(1.0), F.sqrt(threshold / (F.col("f") / F.col("n")))).alias("r"))
-    return pairs.join(F.broadcast(r), cls).groupBy(image).agg(F.max("r").alias("factor"))
+    return pairs.join(r, cls).groupBy(image).agg(F.max("r").alias("factor"))
 
 
 def class_balanced(df: DataFrame, image_classes: DataFrame, threshold: float, image: str = "image_id", cls: str = "class_id") -> DataFrame:
@@ -174,11 +178,11 @@ def class_balanced(df: DataFrame, image_classes: DataFrame, threshold: float, im
     return df.join(repeat_factors(image_classes, threshold, image, cls), image).withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil("factor").cast("int"))))
 
 
-def mix_partners(df: DataFrame, n: int, seed: int = 0, idx: str = "row_idx") -> DataFrame:
-    """Each row with ``n`` partner positions drawn by hash, joined by position (struct ``partner``)."""
+def mix_partners(df: DataFrame, n: int, seed: int = 0, idx: str = "row_idx", draw: Column | None = None) -> DataFrame:
+    """Each row with ``n`` partner positions drawn by hash, or by a number over (idx, _k), joined by position (struct ``partner``)."""
     total = df.agg(F.count("*").alias("_n"))
     d = df.crossJoin(F.broadcast(total)).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    d = d.withColumn("_p", F.pmod(F.xxhash64(idx, "_k", F.lit(seed)), F.col("_n")))
+    d = d.withColumn("_p", F.pmod(F.xxhash64(idx, "_k", F.lit(seed)) if draw is None else draw, F.col("_n")))
     other = df.select(F.col(idx).alias("_p"), F.struct(*df.columns).alias("partner"))
     return d.join(other, "_p").withColumnRenamed("_k", "slot").drop("_p", "_n")
 

@@ -383,6 +383,16 @@ def running_extreme(df: DataFrame, by: list[str], order: str, value: str, kind:
     return df.withColumn(f"cum{kind}", (F.max if kind == "max" else F.min)(value).over(w))
 
 
+def reduce_ranks(parts: DataFrame, key: str, value: str, how: str = "sum", ranks: int | None = None) -> DataFrame:
+    """Sum, or mean over the ranks, of each key's values on all ranks: an aggregation with map-side combine."""
+    total = F.sum(value)
+    if how == "mean":
+        total = total / (F.count_distinct("rank") if ranks is None else F.lit(float(ranks)))
+    elif how != "sum":
+        raise ValueError(how)
+    return parts.groupBy(key).agg(total.alias(value))
+
+
 def merge_views(dets: DataFrame, key: list[str]) -> DataFrame:
     """Mean box and score over augmented views (boxes already mapped back)."""
     return dets.groupBy(*key).agg(*(F.avg(n).alias(n) for n in B.Box._fields), F.avg("score").alias("score"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +28,17 @@ def session(name: str = "loomgrid", **conf: str) -> SparkSession:
     spark = b.getOrCreate()
     reachable(spark)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session. Only in local mode, where
+    there is one machine, a temporary folder of this process may stand in for it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        local = tempfile.mkdtemp(prefix="loomgrid-")
+        atexit.register(shutil.rmtree, local, True)
+        root = f"file://{local}"
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
