@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,7 +48,7 @@ def live_workers(beats: DataFrame, ttl: float = TTL) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            queue, ts, _ = state.get
+            queue, ts, *_ = state.get
             state.remove()
             yield pd.DataFrame({"worker": [key[0]], "queue_length": [queue], "ts": [ts], "state": ["expired"]})
             return
@@ -55,13 +56,16 @@ def live_workers(beats: DataFrame, ttl: float = TTL) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("ts")
         last = rows.iloc[-1]
         if not new and state.get[1] > last["ts"]:
+            # late beats change nothing, but every call clears the timer: it runs on for what is left
+            if state.get[2]:
+                state.setTimeoutDuration(max(1, int((ttl - (time.time() - state.get[3])) * 1000)))
             return
-        state.update((int(last["queue_length"]), float(last["ts"]), bool(last["check_hb"])))
+        state.update((int(last["queue_length"]), float(last["ts"]), bool(last["check_hb"]), time.time()))
         if bool(last["check_hb"]):
             state.setTimeoutDuration(int(ttl * 1000))
         yield pd.DataFrame({"worker": [key[0]], "queue_length": [int(last["queue_length"])], "ts": [float(last["ts"])], "state": ["registered" if new else "updated"]})
 
-    return beats.groupBy("worker").applyInPandasWithState(step, LIVE, "queue_length int, ts double, check_hb boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return beats.groupBy("worker").applyInPandasWithState(step, LIVE, "queue_length int, ts double, check_hb boolean, seen double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 class BatchBuffer(StatefulProcessor):
