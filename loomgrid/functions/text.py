@@ -115,7 +115,7 @@ def without_image_tag(x: Column) -> Column:
 def clean_caption(x: Column) -> Column:
     """Newlines go, doubled spaces halve once, tags go, white space collapses, outer quotes go."""
     t = F.replace(F.replace(x, F.lit("\n"), F.lit("")), F.lit("  "), F.lit(" "))
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, "<.*?>", ""), " +", " "))
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, "(?d)<.*?>", ""), " +", " "))
     return F.btrim(t, F.lit("'"))
 
 

@@ -159,10 +159,10 @@ def llava_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "documents").select("doc_id", T.without_image_tag(F.col("text")).alias("cleaned"))
 
 
-@query("WITH t AS (SELECT doc_id, '<p>' || replace(substr(text, 1, 200), ' ', '  ') || '</p>' || chr(10) || '<roi>''' AS text FROM documents) SELECT doc_id, trim(trim(regexp_replace(regexp_replace(replace(replace(text, chr(10), ''), '  ', ' '), '<.*?>', '', 'g'), ' +', ' ', 'g')), '''') AS caption FROM t")
+@query("WITH t AS (SELECT doc_id, '<p>' || replace(text, ' ', '  ') || '</p>' || chr(10) || '<roi>''' AS text FROM documents) SELECT doc_id, trim(trim(regexp_replace(regexp_replace(replace(replace(text, chr(10), ''), '  ', ' '), '<.*?>', '', 'g'), ' +', ' ', 'g')), '''') AS caption FROM t")
 def caption_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = X.table(spark, sf_dir, "documents")
-    raw = F.concat(F.lit("<p>"), F.replace(F.substring("text", 1, 200), F.lit(" "), F.lit("  ")), F.lit("</p>\n<roi>'"))
+    raw = F.concat(F.lit("<p>"), F.replace(F.col("text"), F.lit(" "), F.lit("  ")), F.lit("</p>\n<roi>'"))
     return d.select("doc_id", T.clean_caption(raw).alias("caption"))
 
 
@@ -212,9 +212,9 @@ def judge_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.judge_summary(r)
 
 
-@query("SELECT version, CAST(CASE WHEN pre = '' THEN 0 WHEN pre = 'rc' THEN -1 ELSE 1 END AS INT) AS stage, a AS major, b AS minor FROM (SELECT (o_orderkey % 3) || '.' || (o_orderkey % 11) || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'rc2' ELSE '.post3' END AS version, CAST(o_orderkey % 3 AS INT) AS a, CAST(o_orderkey % 11 AS INT) AS b, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'rc' ELSE 'post' END AS pre FROM orders WHERE o_orderkey < 33)")
+@query("SELECT version, CAST(CASE WHEN pre = '' THEN 0 WHEN pre = 'rc' THEN -1 ELSE 1 END AS INT) AS stage, a AS major, b AS minor FROM (SELECT (o_orderkey % 3) || '.' || (o_orderkey % 11) || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'rc2' ELSE '.post3' END AS version, CAST(o_orderkey % 3 AS INT) AS a, CAST(o_orderkey % 11 AS INT) AS b, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'rc' ELSE 'post' END AS pre FROM orders)")
 def version_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = X.table(spark, sf_dir, "orders").where("o_orderkey < 33")
+    o = X.table(spark, sf_dir, "orders")
     v = o.select(F.expr("concat(string(o_orderkey % 3), '.', string(o_orderkey % 11), CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'rc2' ELSE '.post3' END)").alias("version"))
     k = T.version_key(F.col("version"))
     return v.select("version", k[4].alias("stage"), k[0].alias("major"), k[1].alias("minor"))
@@ -262,11 +262,6 @@ def dist_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.distributed_stride(X.table(spark, sf_dir, "documents").select("doc_id"), 7, "doc_id", F.expr(ORD))
 
 
-@query()
-def random_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.subset(X.table(spark, sf_dir, "documents").select("doc_id"), 0.25, "doc_id")
-
-
 @query(f"WITH {GT} SELECT image_id, class_id, CAST(count(*) AS BIGINT) AS n, round(sum(x1), 3) AS total FROM gt GROUP BY ALL")
 def boxes_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = X.gt(spark, sf_dir).select("image_id", F.concat(F.lit(" Class"), F.col("class_id").cast("string")).alias("label_text"), F.col("gt_idx").alias("ann_id"), *B.Box._fields)
