@@ -28,7 +28,7 @@ def register_format(*extensions: str):
 
 @register_format("json")
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    return spark.read.option("multiLine", True).option("recursiveFileLookup", True).json(path)
 
 
 @register_format("jsonl")
@@ -69,12 +69,20 @@ def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
 
 
 def dump(df: DataFrame, path: str | None = None, fmt: str = "json") -> DataFrame | None:
-    """Writes, or without a path returns rows of JSON text."""
+    """Writes what ``load`` reads again, or without a path returns rows of JSON text. ``jsonl`` is a record per line; ``json`` an array
+    document per partition of the input, each a file of its own."""
+    text = F.to_json(F.struct(*df.columns))
     if path is None:
-        return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
-    if fmt not in ("json", "parquet", "csv", "orc"):
+        return df.select(text.alias("value"))
+    if fmt == "json":
+        rows = df.select(F.spark_partition_id().alias("part"), text.alias("t"))
+        rows.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("t"), ","), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
+    elif fmt == "jsonl":
+        df.write.json(path)
+    elif fmt in ("parquet", "csv", "orc"):
+        df.write.format(fmt).option("header", True).save(path)
+    else:
         raise TypeError(f"unsupported format: {fmt}")
-    df.write.format(fmt).option("header", True).save(path)
     return None
 
 
@@ -309,6 +317,42 @@ def run_model(df: DataFrame, model, schema: str) -> DataFrame:
     return df.mapInPandas(lambda it: (model(pdf) for pdf in it), schema)
 
 
+# single objects by URI ---------------------------------------------------------------------------------
+
+
+def _file(spark: SparkSession, uri: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def put_object(spark: SparkSession, uri: str, content: bytes) -> None:
+    """Writes a small object under any scheme the session's file systems know (disk, s3a, ...)."""
+    p, fs = _file(spark, uri)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def get_object(spark: SparkSession, uri: str) -> bytes:
+    """The bytes of a small object; larger ones are read by the ``binaryFile`` source."""
+    return bytes(spark.read.format("binaryFile").load(uri).select("content").first()[0])
+
+
+def object_exists(spark: SparkSession, uri: str) -> bool:
+    p, fs = _file(spark, uri)
+    return bool(fs.exists(p))
+
+
+def mapped_path(uri: str, mapping: dict[str, str]) -> str:
+    """A path with the first matching prefix replaced, longest first."""
+    for old in sorted(mapping, key=len, reverse=True):
+        if uri.startswith(old):
+            return mapping[old] + uri[len(old) :]
+    return uri
+
+
 # key-value backends ------------------------------------------------------------------------------------
 
 
