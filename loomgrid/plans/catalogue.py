@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from loomgrid.plans import detection, records
+from loomgrid.plans import assignments, building, detection, geometry, pointsets, records, storage, texts
 
-QUERIES = detection.QUERIES | records.QUERIES
-ORACLE_SQL = detection.ORACLE_SQL | records.ORACLE_SQL
+MODULES = (detection, records, geometry, assignments, pointsets, texts, building, storage)
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _m in MODULES:
+    assert not QUERIES.keys() & _m.QUERIES.keys()
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL

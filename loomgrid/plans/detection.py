@@ -249,11 +249,6 @@ def matrix_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.matrix_nms(X.det(spark, sf_dir), ["image_id", "class_id"]).select("det_idx", F.round("score", 9).alias("score"))
 
 
-@query()
-def nms_match_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.nms_match(X.det(spark, sf_dir), 0.6, ["image_id", "class_id"])
-
-
 @query()
 def soft_nms_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.soft_nms(X.det(spark, sf_dir), 0.3, ["image_id", "class_id"]), "score", places=9)
@@ -284,17 +279,6 @@ def sample_pos_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.random_sample(a, 20, 0.25, order=F.expr("det_idx * 7919 % 10007")).select("det_idx", "gt_inds", "is_pos")
 
 
-@query()
-def iou_balanced_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = A.max_iou_assign(X.det(spark, sf_dir), X.gt(spark, sf_dir), neg=0.5)
-    return A.iou_balanced_negatives(a, 12).select("image_id", "det_idx")
-
-
-@query()
-def instance_balanced_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.instance_balanced_positives(A.max_iou_assign(X.det(spark, sf_dir), X.gt(spark, sf_dir)), 10).select("image_id", "det_idx", "gt_inds")
-
-
 @query(
     f"""WITH {DET}, {GT}, pr AS (SELECT d.image_id, d.det_idx, g.gt_idx, {iou_sql('d', 'g')} AS iou, sqrt(((d.x1 + d.x2) / 2 - (g.x1 + g.x2) / 2) * ((d.x1 + d.x2) / 2 - (g.x1 + g.x2) / 2) + ((d.y1 + d.y2) / 2 - (g.y1 + g.y2) / 2) * ((d.y1 + d.y2) / 2 - (g.y1 + g.y2) / 2)) AS dist, least((d.x1 + d.x2) / 2 - g.x1, (d.y1 + d.y2) / 2 - g.y1, g.x2 - (d.x1 + d.x2) / 2, g.y2 - (d.y1 + d.y2) / 2) > 0.01 AS ins FROM det d JOIN gt g ON d.image_id = g.image_id),
 ca AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, gt_idx ORDER BY dist, det_idx) AS r FROM pr) WHERE r <= 9),
