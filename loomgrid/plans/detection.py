@@ -112,7 +112,26 @@ def coco_map_50_95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.coco_ap(X.det(spark, sf_dir), X.gt(spark, sf_dir)), "ap", "recall")
 
 
-@query()
+SETTINGS = "(VALUES ('all', 0.0, 1e10, 100), ('small', 0.0, 1024.0, 100), ('medium', 1024.0, 9216.0, 100), ('large', 9216.0, 1e10, 100), ('first_1', 0.0, 1e10, 1), ('first_10', 0.0, 1e10, 10)) s(setting, lo, hi, k)"
+SUMMARY = f"""WITH {DET}, {GT}, pr AS (SELECT d.*, g.gt_idx, g.is_ignore, {area_sql('g')} AS ga, {iou_sql('d', 'g')} AS iou FROM det d LEFT JOIN gt g ON d.image_id = g.image_id AND d.class_id = g.class_id),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY det_idx ORDER BY iou DESC NULLS LAST, gt_idx) AS r FROM pr) WHERE r = 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, det_idx) AS place FROM bm),
+th AS (SELECT round(0.5 + 0.05 * i, 2)::DOUBLE AS iou_thr FROM range(0, 10) t(i)),
+hm AS (SELECT rk.*, setting, iou_thr, coalesce(iou >= iou_thr, false) AS hit, coalesce(is_ignore OR ga < lo OR ga >= hi, false) AS skip, {area_sql('rk')} < lo OR {area_sql('rk')} >= hi AS outside FROM rk, th, {SETTINGS} WHERE place <= k),
+fm AS (SELECT *, row_number() OVER (PARTITION BY setting, image_id, class_id, iou_thr, gt_idx, hit ORDER BY score DESC, det_idx) AS n FROM hm),
+tp AS (SELECT *, CASE WHEN hit AND NOT skip AND n = 1 THEN 1 ELSE 0 END AS tp, CASE WHEN hit AND NOT skip AND n > 1 THEN 1 WHEN NOT hit AND NOT outside THEN 1 ELSE 0 END AS fp FROM fm),
+gc AS (SELECT setting, class_id, count(*) FILTER (WHERE NOT is_ignore AND {area_sql('gt')} >= lo AND {area_sql('gt')} < hi) AS num_gts FROM gt, {SETTINGS} GROUP BY ALL),
+cu AS (SELECT setting, iou_thr, t.class_id, sum(tp) OVER w AS ctp, sum(fp) OVER w AS cfp, num_gts FROM tp t JOIN gc USING (setting, class_id) WINDOW w AS (PARTITION BY setting, iou_thr, t.class_id ORDER BY score DESC, image_id, det_idx ROWS UNBOUNDED PRECEDING)),
+rp AS (SELECT *, ctp / greatest(num_gts, {M.EPS32!r}) AS recall, ctp / greatest(ctp + cfp, {M.EPS32!r}) AS prec FROM cu),
+pt AS (SELECT setting, iou_thr, class_id, i, coalesce(max(prec) FILTER (WHERE recall * 100 + 1e-9 >= i), 0) AS best, max(recall) AS recall FROM rp, range(0, 101) t(i) GROUP BY ALL),
+ap AS (SELECT setting, iou_thr, class_id, sum(best) / 101 AS ap, max(recall) AS recall FROM pt GROUP BY ALL),
+al AS (SELECT gc.setting, th.iou_thr, coalesce(ap, 0) AS ap, coalesce(recall, 0) AS recall FROM gc CROSS JOIN th LEFT JOIN ap USING (setting, class_id, iou_thr) WHERE num_gts > 0),
+m AS (SELECT setting, avg(ap) AS ap, avg(recall) AS ar, avg(ap) FILTER (WHERE iou_thr = 0.5) AS ap50, avg(ap) FILTER (WHERE iou_thr = 0.75) AS ap75 FROM al GROUP BY setting),
+nm AS (SELECT * FROM (VALUES ('all', 'AP'), ('all', 'AR_100'), ('all', 'AP50'), ('all', 'AP75'), ('first_1', 'AR_1'), ('first_10', 'AR_10'), ('small', 'AP_small'), ('small', 'AR_small'), ('medium', 'AP_medium'), ('medium', 'AR_medium'), ('large', 'AP_large'), ('large', 'AR_large')) t(setting, metric))
+SELECT metric, round(coalesce(CASE WHEN metric = 'AP50' THEN ap50 WHEN metric = 'AP75' THEN ap75 WHEN metric LIKE 'AP%' THEN ap ELSE ar END, -1), 3) AS value FROM nm LEFT JOIN m USING (setting)"""
+
+
+@query(SUMMARY)
 def coco_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.coco_summary(X.det(spark, sf_dir), X.gt(spark, sf_dir))
 
@@ -147,14 +166,31 @@ def hierarchy_allowed_dets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.expand_det(X.det(spark, sf_dir), c, allowed).groupBy("class_id").agg(F.count("*").alias("n"))
 
 
-@query()
+GREEDY = f"""WITH RECURSIVE {DET}, {GT}, g AS (SELECT image_id, class_id, gt_idx, is_ignore, x1 - 1 AS x1, y1 - 1 AS y1, x2 - 1 AS x2, y2 - 1 AS y2, least((x2 - x1) * (y2 - y1) / ((x2 - x1 + 10) * (y2 - y1 + 10)), 0.5) AS thr FROM gt),
+pr AS (SELECT d.det_idx, g.gt_idx, {iou_sql('d', 'g')} AS iou FROM det d JOIN g ON d.image_id = g.image_id AND d.class_id = g.class_id WHERE {iou_sql('d', 'g')} >= g.thr),
+rk AS (SELECT image_id, class_id, det_idx, row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, det_idx) AS rnk FROM det),
+best AS (SELECT rk.*, list({{'g': gt_idx, 'v': iou}} ORDER BY iou DESC, gt_idx) FILTER (WHERE gt_idx IS NOT NULL) AS can FROM rk LEFT JOIN pr USING (det_idx) GROUP BY ALL),
+k AS (SELECT image_id, class_id, rnk, det_idx, can[1].g AS got, CASE WHEN len(can) > 0 THEN [can[1].g] ELSE []::BIGINT[] END AS taken FROM best WHERE rnk = 1
+ UNION ALL SELECT b.image_id, b.class_id, b.rnk, b.det_idx, list_filter(b.can, lambda c: NOT list_contains(k.taken, c.g))[1].g, CASE WHEN len(list_filter(b.can, lambda c: NOT list_contains(k.taken, c.g))) > 0 THEN list_append(k.taken, list_filter(b.can, lambda c: NOT list_contains(k.taken, c.g))[1].g) ELSE k.taken END FROM k JOIN best b ON b.image_id = k.image_id AND b.class_id = k.class_id AND b.rnk = k.rnk + 1)
+SELECT k.class_id, sum(CASE WHEN got IS NOT NULL AND NOT is_ignore THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN got IS NULL THEN 1 ELSE 0 END) AS fp FROM k LEFT JOIN gt ON got = gt_idx GROUP BY k.class_id"""
+
+
+@query(GREEDY)
 def imagenet_tpfp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.tpfp_greedy(X.det(spark, sf_dir), X.gt(spark, sf_dir)).groupBy("class_id").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
 
 
-@query()
+RECALL = f"""WITH RECURSIVE {DET}, {GT}, g AS (SELECT * FROM gt WHERE NOT is_ignore), rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_idx) AS r FROM det),
+pr AS (SELECT lim.n, g.image_id, g.gt_idx, d.r, {iou_sql('g', 'd')} AS iou FROM g JOIN rk d ON d.image_id = g.image_id, (VALUES (10), (40)) lim(n) WHERE d.r <= lim.n AND {iou_sql('g', 'd')} >= 0.5),
+can AS (SELECT n, image_id, list({{'g': gt_idx, 'd': r, 'v': iou}} ORDER BY iou DESC, gt_idx, r) AS left_ FROM pr GROUP BY ALL),
+k AS (SELECT n, image_id, left_[1].v AS iou, list_filter(left_, lambda c: c.g <> left_[1].g AND c.d <> left_[1].d) AS left_ FROM can
+ UNION ALL SELECT n, image_id, left_[1].v, list_filter(left_, lambda c: c.g <> left_[1].g AND c.d <> left_[1].d) FROM k WHERE len(left_) > 0)
+SELECT CAST(t.n AS INT) AS n, iou_thr, round((SELECT count(*) FROM k WHERE k.n = t.n AND k.iou >= iou_thr) / (SELECT count(*) FROM g), 9) AS recall FROM (VALUES (10), (40)) t(n), (VALUES (0.5::DOUBLE), (0.7)) h(iou_thr)"""
+
+
+@query(RECALL)
 def recall_at_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.recalls(X.gt(spark, sf_dir).where("not is_ignore"), X.det(spark, sf_dir), [10, 40], [0.5, 0.7])
+    return rounded(M.recalls(X.gt(spark, sf_dir).where("not is_ignore"), X.det(spark, sf_dir), [10, 40], [0.5, 0.7]), "recall", places=9)
 
 
 @query(
@@ -249,16 +285,34 @@ def matrix_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.matrix_nms(X.det(spark, sf_dir), ["image_id", "class_id"]).select("det_idx", F.round("score", 9).alias("score"))
 
 
-@query()
+def _soft_sql() -> str:
+    inter = "(greatest(least(b.x2, x.x2) - greatest(b.x1, x.x1), 0) * greatest(least(b.y2, x.y2) - greatest(b.y1, x.y1), 0))"
+    iou = f"({inter} / ((b.x2 - b.x1) * (b.y2 - b.y1) + (x.x2 - x.x1) * (x.y2 - x.y1) - {inter}))"
+    best = "list_reduce({0}, lambda p, q: CASE WHEN q.s > p.s OR (q.s = p.s AND q.idx < p.idx) THEN q ELSE p END)"
+    decayed = f"list_filter(list_transform(list_filter(rest, lambda x: x.idx <> b.idx), lambda x: {{{{'idx': x.idx, 'x1': x.x1, 'y1': x.y1, 'x2': x.x2, 'y2': x.y2, 's': x.s * CASE WHEN {iou} >= 0.3 THEN 1 - {iou} ELSE 1 END}}}}), lambda x: x.s >= 1e-3)".replace("{{", "{").replace("}}", "}")
+    return f"""WITH RECURSIVE {DET}, l AS (SELECT image_id, class_id, list({{'idx': det_idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 's': score}} ORDER BY det_idx) AS rest FROM det GROUP BY ALL),
+k AS (SELECT image_id, class_id, 0 AS rank, {best.format('rest')} AS b, rest FROM l
+ UNION ALL SELECT image_id, class_id, rank + 1, {best.format('rest')}, rest FROM (SELECT image_id, class_id, rank, {decayed} AS rest FROM k) WHERE len(rest) > 0)
+SELECT image_id, class_id, b.idx AS det_idx, CAST(rank AS INT) AS rank, round(b.s, 9) AS score FROM k"""
+
+
+@query(_soft_sql())
 def soft_nms_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.soft_nms(X.det(spark, sf_dir), 0.3, ["image_id", "class_id"]), "score", places=9)
 
 
-@query()
+REGIONS = f"""WITH RECURSIVE {DET}, {GT}, pd AS (SELECT image_id, 'p' || det_idx AS idx, pow(score, 0.4) * pow(score * 0.9 + 0.05, 0.6) AS score, x1, y1, x2, y2 FROM det),
+pool AS (SELECT * FROM pd WHERE score > 0.15 UNION ALL SELECT image_id, 'r' || gt_idx, 1.0, x1, y1, x2, y2 FROM gt WHERE gt_idx % 11 = 0 UNION ALL SELECT image_id, 't' || gt_idx, 0.2, x1, y1, x2, y2 FROM gt WHERE gt_idx % 5 = 1),
+{nms_sql('image_id', '0.6').replace('FROM det WHERE', 'FROM pool WHERE').replace('det_idx', 'idx')}, o AS (SELECT image_id, idx, row_number() OVER (PARTITION BY image_id ORDER BY rnk) AS n FROM k WHERE ok),
+lo AS (SELECT image_id, arg_max(idx, (score, idx)) AS idx FROM pd WHERE image_id NOT IN (SELECT image_id FROM o) GROUP BY image_id)
+SELECT image_id, idx FROM o WHERE n <= 100 UNION ALL SELECT image_id, idx FROM lo"""
+
+
+@query(REGIONS)
 def region_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, g = X.det(spark, sf_dir).withColumnRenamed("det_idx", "idx"), X.gt(spark, sf_dir).withColumnRenamed("gt_idx", "idx")
     d = d.withColumn("score", N.fused_score(F.col("score"), F.col("score") * 0.9 + 0.05))
-    return S.select_regions(d, g.where("idx % 11 = 0"), g.where("idx % 5 = 1"), ["image_id"]).drop("score")
+    return S.select_regions(d, g.where("idx % 11 = 0"), g.where("idx % 5 = 1"), ["image_id"]).select("image_id", "idx")
 
 
 ASSIGN = f"""pr AS (SELECT d.image_id, d.det_idx, g.gt_idx, {iou_sql('d', 'g')} AS iou FROM det d JOIN gt g ON d.image_id = g.image_id),
@@ -290,7 +344,16 @@ def atss_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.atss_assign(X.det(spark, sf_dir), X.gt(spark, sf_dir)).select("det_idx", "gt_inds")
 
 
-@query()
+SIMOTA = f"""WITH {DET}, {GT}, pr AS (SELECT d.image_id, d.det_idx, g.gt_idx, d.score, (d.x1 + d.x2) / 2 AS px, (d.y1 + d.y2) / 2 AS py, g.x1, g.y1, g.x2, g.y2, {iou_sql('d', 'g')} AS iou FROM det d JOIN gt g ON d.image_id = g.image_id),
+f AS (SELECT *, least(px - x1, py - y1, x2 - px, y2 - py) > 0 AS ing, least(px - ((x1 + x2) / 2 - 40), py - ((y1 + y2) / 2 - 40), (x1 + x2) / 2 + 40 - px, (y1 + y2) / 2 + 40 - py) > 0 AS core FROM pr),
+c AS (SELECT *, -ln(greatest(sqrt(score), 1e-12)) - ln(iou + 1e-7) * 3 + CASE WHEN ing AND core THEN 0 ELSE 1e8 END AS cost FROM (SELECT *, bool_or(ing OR core) OVER (PARTITION BY det_idx) AS ok FROM f) WHERE ok),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, gt_idx ORDER BY iou DESC, det_idx) AS ri, row_number() OVER (PARTITION BY image_id, gt_idx ORDER BY cost, det_idx) AS rc FROM c),
+k AS (SELECT image_id, gt_idx, greatest(CAST(trunc(sum(iou)) AS INT), 1) AS k FROM r WHERE ri <= 10 GROUP BY ALL), t AS (SELECT r.*, rc <= k AS take FROM r JOIN k USING (image_id, gt_idx)),
+p AS (SELECT det_idx, sum(CAST(take AS INT)) AS n, arg_max(gt_idx, (take, -cost, -gt_idx)) AS one, arg_min(gt_idx, (cost, gt_idx)) AS least_ FROM t GROUP BY det_idx)
+SELECT det.det_idx, coalesce(CASE WHEN n > 1 THEN least_ WHEN n = 1 THEN one END + 1, 0) AS gt_inds FROM det LEFT JOIN p USING (det_idx)"""
+
+
+@query(SIMOTA)
 def simota_dynamic_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = X.det(spark, sf_dir).drop("class_id")
     cx, cy = B.centre(B.box())
@@ -392,7 +455,14 @@ def points_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.points(spark, sf_dir).select("batch", "pt_idx", P.in_polygon(F.col("x"), F.col("y"), sq).alias("inside"))
 
 
-@query()
+def fps_sql(n: int) -> str:
+    """Furthest points of ``src`` (batch, pt_idx, x, y, z) as a recursion that carries the points taken: ``f`` (batch, step, pt_idx)."""
+    d = "min((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y) + (p.z - t.z) * (p.z - t.z))"
+    return f"""f AS (SELECT batch, 0 AS step, min(pt_idx) AS pt_idx, [min(pt_idx)] AS taken FROM src GROUP BY batch
+ UNION ALL SELECT batch, step + 1, nxt, list_append(taken, nxt) FROM (SELECT f.batch, f.step, f.taken, (SELECT arg_max(q.pt_idx, (q.d, -q.pt_idx)) FROM (SELECT p.pt_idx, {d} AS d FROM src p, src t WHERE p.batch = f.batch AND t.batch = f.batch AND list_contains(f.taken, t.pt_idx) GROUP BY p.pt_idx) q) AS nxt FROM f WHERE step < {n - 1} AND step + 1 < (SELECT count(*) FROM src c WHERE c.batch = f.batch)))"""
+
+
+@query(f"WITH RECURSIVE {PTS}, src AS (SELECT * FROM pts WHERE batch IS NOT NULL), {fps_sql(8)} SELECT batch, CAST(step AS INT) AS step, pt_idx FROM f")
 def furthest_point_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.furthest_points(X.points(spark, sf_dir), 8)
 
@@ -410,16 +480,16 @@ def rotated_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 PIX = "px AS (SELECT l_orderkey % 50 AS image_id, l_partkey % 7 AS gt_id, CASE WHEN l_suppkey % 4 = 0 THEN (l_partkey + 1) % 7 ELSE l_partkey % 7 END AS pred_id FROM lineitem)"
 
 
-@query(
-    f"""WITH {PIX}, c AS (SELECT image_id, gt_id, pred_id, count(*) AS n FROM px GROUP BY ALL), ga AS (SELECT image_id, gt_id, sum(n) AS a FROM c GROUP BY ALL), pa AS (SELECT image_id, pred_id, sum(n) AS a FROM c GROUP BY ALL),
+PANOPTIC = f"""WITH {PIX}, c AS (SELECT image_id, gt_id, pred_id, count(*) AS n FROM px GROUP BY ALL), ga AS (SELECT image_id, gt_id, sum(n) AS a FROM c GROUP BY ALL), pa AS (SELECT image_id, pred_id, sum(n) AS a FROM c GROUP BY ALL),
 gs AS (SELECT image_id, gt_id, CAST(gt_id % 3 AS INT) AS cat, gt_id = 5 AS crowd FROM ga WHERE gt_id > 0), ps AS (SELECT image_id, pred_id, CAST(pred_id % 3 AS INT) AS cat FROM pa WHERE pred_id > 0), vo AS (SELECT image_id, pred_id, n FROM c WHERE gt_id = 0),
 j AS (SELECT c.image_id, c.gt_id, c.pred_id, c.n, gs.cat AS gc, gs.crowd, ps.cat AS pc, c.n / (pa.a + ga.a - c.n - coalesce(vo.n, 0)) AS iou FROM c JOIN gs USING (image_id, gt_id) JOIN ps USING (image_id, pred_id) JOIN ga USING (image_id, gt_id) JOIN pa USING (image_id, pred_id) LEFT JOIN vo USING (image_id, pred_id)),
 tp AS (SELECT * FROM j WHERE NOT crowd AND gc = pc AND iou > 0.5), cr AS (SELECT image_id, pred_id, sum(n) AS n FROM j WHERE crowd AND gc = pc GROUP BY ALL),
 fn AS (SELECT cat FROM gs WHERE NOT crowd AND NOT EXISTS (SELECT 1 FROM tp WHERE tp.image_id = gs.image_id AND tp.gt_id = gs.gt_id)),
 fp AS (SELECT ps.cat FROM ps JOIN pa USING (image_id, pred_id) LEFT JOIN vo USING (image_id, pred_id) LEFT JOIN cr USING (image_id, pred_id) WHERE NOT EXISTS (SELECT 1 FROM tp WHERE tp.image_id = ps.image_id AND tp.pred_id = ps.pred_id) AND (coalesce(vo.n, 0) + coalesce(cr.n, 0)) / pa.a <= 0.5),
-al AS (SELECT gc AS cat, iou, 1 AS tp, 0 AS fp, 0 AS fn FROM tp UNION ALL SELECT cat, 0, 0, 1, 0 FROM fp UNION ALL SELECT cat, 0, 0, 0, 1 FROM fn)
-SELECT cat AS category_id, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, round(sum(iou) / (sum(tp) + 0.5 * sum(fp) + 0.5 * sum(fn)), 6) AS pq, round(sum(tp) / (sum(tp) + 0.5 * sum(fp) + 0.5 * sum(fn)), 6) AS rq FROM al GROUP BY cat"""
-)
+al AS (SELECT gc AS cat, iou, 1 AS tp, 0 AS fp, 0 AS fn FROM tp UNION ALL SELECT cat, 0, 0, 1, 0 FROM fp UNION ALL SELECT cat, 0, 0, 0, 1 FROM fn)"""
+
+
+@query(f"{PANOPTIC} SELECT cat AS category_id, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, round(sum(iou) / (sum(tp) + 0.5 * sum(fp) + 0.5 * sum(fn)), 6) AS pq, round(sum(tp) / (sum(tp) + 0.5 * sum(fp) + 0.5 * sum(fn)), 6) AS rq FROM al GROUP BY cat")
 def pq_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.panoptic_quality(_pq(spark, sf_dir)).select("category_id", "tp", "fp", "fn", "pq", "rq"), "pq", "rq")
 
@@ -431,7 +501,11 @@ def _pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.panoptic_stats(px, seg("gt_id", True), seg("pred_id", False))
 
 
-@query()
+@query(
+    f"""{PANOPTIC}, st AS (SELECT cat, sum(tp) AS tp, sum(iou) AS iou, sum(tp) + 0.5 * sum(fp) + 0.5 * sum(fn) AS n FROM al GROUP BY cat),
+q AS (SELECT cat <> 1 AS thing, iou / n AS pq, CASE WHEN tp > 0 THEN iou / tp ELSE 0 END AS sq, tp / n AS rq FROM st WHERE cat IN (0, 1, 2) AND n > 0)
+SELECT CASE WHEN grouping(thing) = 1 THEN 'All' WHEN thing THEN 'Things' ELSE 'Stuff' END AS part, round(avg(pq) * 100, 6) AS pq, round(avg(sq) * 100, 6) AS sq, round(avg(rq) * 100, 6) AS rq, count(*) AS n FROM q GROUP BY ROLLUP (thing)"""
+)
 def pq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     cats = spark.createDataFrame([(0, True), (1, False), (2, True)], "category_id int, isthing boolean")
     return rounded(M.panoptic_summary(M.panoptic_quality(_pq(spark, sf_dir)), cats), "pq", "sq", "rq")

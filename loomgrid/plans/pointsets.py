@@ -16,7 +16,7 @@ from loomgrid.operators import voxel as V
 from loomgrid.operators.numbering import numbered
 from loomgrid.plans import fixtures as X
 from loomgrid.plans.families import PAIR, Queries, other, pair
-from loomgrid.plans.detection import nms_sql
+from loomgrid.plans.detection import fps_sql, nms_sql
 from loomgrid.plans.fixtures import DET, GT, PTS, iou_sql
 
 query = Queries()
@@ -83,14 +83,7 @@ def squared_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, "batch").select("c_idx", "o_idx", (F.round(P.squared_distance(["x", "y", "z"]), 6) + 0.0).alias("d2"))
 
 
-def fps_sql(n: int) -> str:
-    """Furthest points as a recursion that carries each batch's distances: all points of a batch, n steps."""
-    return f"""pt AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY pt_idx) AS r FROM ctr0),
-f AS (SELECT batch, 0 AS step, min(pt_idx) AS pt_idx, [min(pt_idx)] AS taken FROM pt GROUP BY batch
- UNION ALL SELECT batch, step + 1, nxt, list_append(taken, nxt) FROM (SELECT f.batch, f.step, f.taken, (SELECT arg_max(q.pt_idx, (q.d, -q.pt_idx)) FROM (SELECT p.pt_idx, min((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y) + (p.z - t.z) * (p.z - t.z)) AS d FROM pt p, pt t WHERE p.batch = f.batch AND t.batch = f.batch AND list_contains(f.taken, t.pt_idx) GROUP BY p.pt_idx) q) AS nxt FROM f WHERE step < {n - 1} AND step + 1 < (SELECT count(*) FROM pt c WHERE c.batch = f.batch)))"""
-
-
-@query(f"WITH RECURSIVE {PTS}, ctr0 AS (SELECT batch, c_idx AS pt_idx, c_x AS x, c_y AS y, c_z AS z FROM ctr), {fps_sql(4)} SELECT batch, CAST(step AS INT) AS step, pt_idx FROM f")
+@query(f"WITH RECURSIVE {PTS}, src AS (SELECT batch, c_idx AS pt_idx, c_x AS x, c_y AS y, c_z AS z FROM ctr), {fps_sql(4)} SELECT batch, CAST(step AS INT) AS step, pt_idx FROM f")
 def furthest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WI19, WI20: four steps over the centres, by coordinates and by distance rows, which must agree."""
     c = X.centres(spark, sf_dir).select("batch", F.col("c_idx").alias("pt_idx"), *(F.col(f"c_{a}").alias(a) for a in "xyz"))
@@ -101,7 +94,7 @@ def furthest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(two, ["batch", "step", "pt_idx"])
 
 
-@query(f"WITH RECURSIVE {PTS}, ctr0 AS (SELECT batch, c_idx AS pt_idx, c_x AS x, c_y AS y, c_z AS z FROM ctr), {fps_sql(3)} SELECT batch, CAST(step AS INT) AS step, pt_idx, mode FROM f, (VALUES ('D-FPS'), ('FS'), ('FS')) m(mode)")
+@query(f"WITH RECURSIVE {PTS}, src AS (SELECT batch, c_idx AS pt_idx, c_x AS x, c_y AS y, c_z AS z FROM ctr), {fps_sql(3)} SELECT batch, CAST(step AS INT) AS step, pt_idx, mode FROM f, (VALUES ('D-FPS'), ('FS'), ('FS')) m(mode)")
 def sampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WI21: by position, and by feature and position together (features here are the coordinates)."""
     c = X.centres(spark, sf_dir).select("batch", F.col("c_idx").alias("pt_idx"), *(F.col(f"c_{a}").alias(a) for a in "xyz"))
