@@ -2,37 +2,29 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
+import re
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.session import reachable
+from loomgrid.session import reachable, shared_folder
 
-#: Rows a Python worker receives at once; bounds a batch of long texts to a few MB.
+#: Rows, and bytes, that a Python worker receives at once.
 BATCH_ROWS = 512
+BATCH_BYTES = 64 << 20
 
 
 def tune(spark: SparkSession) -> None:
     """Session settings that the Arrow stages of this subpackage rely on."""
     reachable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or (only where it is
-    unset, as in tests) a temporary folder of this process."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        local = tempfile.mkdtemp(prefix="loomgrid-")
-        atexit.register(shutil.rmtree, local, True)
-        root = f"file://{local}"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", str(spark.conf.get(key)).lower())
+        if not now or not 0 < int(now[1]) <= most:  # smaller values of the caller stay
+            spark.conf.set(key, str(most))
 
 
 class Scratch:
@@ -40,7 +32,7 @@ class Scratch:
     costs only the tasks it ran. ``drop`` frees a table that nothing will read again."""
 
     def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.base, self.paths = spark, f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}", {}
+        self.spark, self.base, self.paths = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}", {}
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{name}-{len(self.paths)}"
@@ -67,6 +59,28 @@ def workers(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of a Bloom filter: 16 a value, at most 16 MB.
+MOST_BITS = 1 << 27
+
+
+class Bloom:
+    """Tells of xxhash64 values whether they may belong to a column's values, by a broadcast bit map of a bounded size. What it lets through
+    wrongly, more of it the more values there are, is for a join to drop."""
+
+    def __init__(self, values: DataFrame):
+        spark = values.sparkSession
+        self.bits = min(MOST_BITS, max(1 << 16, 1 << (16 * values.count()).bit_length()))
+        p = values.select(F.pmod(F.xxhash64(values.columns[0]), F.lit(self.bits)).alias("p"))
+        words = np.zeros(self.bits // 64, np.int64)
+        for r in p.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("v")).collect():  # bits / 64 rows at most
+            words[r.w] = r.v
+        self.shared = spark.sparkContext.broadcast(words)
+
+    def holds(self, hashes: pa.Array) -> pa.Array:
+        p = hashes.to_numpy() % np.int64(self.bits)  # as pmod: the divisor's sign
+        return pa.array((self.shared.value[p // 64] >> (p % 64)) & 1 == 1)
+
+
 def utf8(col: str) -> Column:
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))

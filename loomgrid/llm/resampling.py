@@ -1,12 +1,13 @@
 """Quality classifier by importance resampling.
 
 Hashed unigrams and bigrams of words give two generative models with additive smoothing: p of the target
-texts (labelled as good) and q of all texts. A document's log weight is the mean of log p/q over its n-grams
-times a reference length, so that short and long documents compare. Gumbel noise, seeded by document, turns the
+texts (labelled as good) and q of all texts. A document's log weight is the sum of log p/q over its n-grams or, by
+default, their mean times a reference length, so that short and long documents compare (``length``). Gumbel noise, seeded by document, turns the
 ``k`` largest of (log weight + noise) into a sample without replacement in proportion to the weights.
 
 Both models are a fixed number of buckets however large the corpus; they are gathered by a sum per bucket
-over partial sums of each task. The k-th largest key is found exactly by counting keys by 16 bits at a time
+over partial sums of each task. q is counted in a plain scan; for p only the texts move that pass a Bloom filter of the target
+ids, to meet these exactly. The k-th largest key is found exactly by counting keys by 16 bits at a time
 (at most 65,536 counts each time), never by sorting all rows in one place.
 
 Defined cases: null and empty texts have no n-grams, log weight -inf (stored as -1e30) and are selected last;
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import Scratch, tune, utf8, workers
+from loomgrid.llm.common import Bloom, Scratch, tune, utf8
 
 BUCKETS = 1 << 14
 MIX = 0x9E3779B1
@@ -66,35 +67,39 @@ def grams(text: bytes) -> np.ndarray:
     return ((both * np.uint64(MIX) & np.uint64(0xFFFFFFFF)) >> np.uint64(18)).astype(np.int64)
 
 
-def count_buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, target, raw) counts of rows (t binary, good boolean); a task adds up its rows first."""
+def count_buckets(rows: DataFrame) -> np.ndarray:
+    """n-grams per bucket of rows (t binary); a task adds up its rows first, and at most BUCKETS rows are gathered."""
 
     def run(batches):
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for t, good in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = np.bincount(grams(t), minlength=BUCKETS)
-                total[1] += c
-                if good:
-                    total[0] += c
-        at = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], names=["bucket", "target", "raw"])
-
-    parts = rows.mapInArrow(run, "bucket int, target long, raw long")
-    return parts.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
-
-
-def fit(rows: DataFrame, smooth: float = 0.5) -> np.ndarray:
-    """log p/q per bucket."""
-    c = np.zeros((2, BUCKETS))
-    for r in count_buckets(rows).collect():  # at most BUCKETS rows
-        c[:, r.bucket] = r.target, r.raw
-    p = (c[0] + smooth) / (c[0].sum() + smooth * BUCKETS)
-    q = (c[1] + smooth) / (c[1].sum() + smooth * BUCKETS)
+            for t in b.column(0).to_pylist():
+                total += np.bincount(grams(t), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+    out = np.zeros(BUCKETS)
+    for r in rows.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
+
+
+def fit(docs: DataFrame, target: DataFrame, id_col: str, smooth: float = 0.5) -> np.ndarray:
+    """log p/q per bucket, of rows (id, t binary) and the target's distinct ids."""
+    known = Bloom(target.select(id_col))
+
+    def pick(batches):
+        for b in batches:
+            yield b.filter(known.holds(b.column(2))).select([0, 1])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(id_col, "t", F.xxhash64(id_col).alias("h"))
+    moved = rows.mapInArrow(pick, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, t binary").join(target.hint("merge"), id_col, "left_semi")
+    p, q = count_buckets(moved.select("t")), count_buckets(docs.select("t"))
+    p, q = ((x + smooth) / (x.sum() + smooth * BUCKETS) for x in (p, q))
     return np.log(p / q)
 
 
-def score(docs: DataFrame, id_col: str, text_col: str, ratio: np.ndarray, seed: int) -> DataFrame:
+def score(docs: DataFrame, id_col: str, text_col: str, ratio: np.ndarray, seed: int, length: int | None = LENGTH) -> DataFrame:
     """(id, n_grams, log_weight, gumbel_key, rank_bits): rank_bits orders as the key does, as a long."""
 
     def run(batches):
@@ -103,7 +108,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, ratio: np.ndarray, seed:
             for t in b.column(1).to_pylist():
                 g = grams(t)
                 n.append(len(g))
-                w.append(float(ratio[g].sum() / len(g) * LENGTH) if len(g) else EMPTY)
+                w.append(float(ratio[g].sum() * (1 if length is None else length / len(g))) if len(g) else EMPTY)
             u = (b.column(2).to_numpy().astype(np.float64) + 0.5) / (1 << 52)
             key = np.array(w, np.float64) - np.log(-np.log(u))
             bits = key.view(np.int64)
@@ -129,7 +134,7 @@ def kth_largest(rows: DataFrame, col: str, k: int) -> int | None:
     return prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, seed: int = 11) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, seed: int = 11, length: int | None = LENGTH) -> DataFrame:
     """One row per document: id, n_grams, log_weight, gumbel_key, selected.
 
     Target texts are documents labelled quality 1 and not toxic. ``share`` of all documents is selected; by
@@ -143,9 +148,9 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if share is None:
         r = marks.agg(F.avg(F.col("good").cast("double")).alias("s")).first()
         share = r.s if r.s is not None else 1.0
-    # texts meet their marks in a sorted join at every size: which side is small does not decide the plan
-    rows = docs.select(id_col, utf8(text_col).alias("t")).join(marks.hint("merge"), id_col, "left").select("t", F.coalesce("good", F.lit(False)).alias("good"))
-    scored = scratch.save("scored", score(docs, id_col, text_col, fit(rows), seed))
+    target = scratch.save("target", marks.where("good").select(id_col))
+    ratio = fit(docs.select(id_col, utf8(text_col).alias("t")), target, id_col)
+    scored = scratch.save("scored", score(docs, id_col, text_col, ratio, seed, length))
     n = scored.count()
     k = math.ceil(share * n)
     least = kth_largest(scored, "rank_bits", k) if k else None

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from loomgrid.llm.common import Scratch, components, tune, utf8, workers
+from loomgrid.llm.common import Bloom, Scratch, components, tune, utf8, workers
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = [(i, j) for i in range(3) for j in range(3) if i != j]
@@ -309,30 +309,29 @@ def frequent(texts: DataFrame, shingle: int, scratch: Scratch) -> tuple[np.ndarr
 
 
 def golay_rows(classes: DataFrame) -> DataFrame:
-    """(at, key, wide): a row per class and triple of segments, ``at`` made of the triple and the three indices of the codewords next to them."""
+    """(at, key): a row per class and triple of segments, ``at`` made of the triple and the three indices of the codewords next to them."""
 
     def rows(batches):
         for b in batches:
-            wide = b.column(1)
-            w = wide.flatten().to_numpy().reshape(-1, 3)
+            w = b.column(1).flatten().to_numpy().reshape(-1, 3)
             near = []
             for i in range(WIDE):
                 s = (w[:, i // 2] >> (23 * (i % 2))) & ((1 << 23) - 1)
                 near.append((s ^ ERRORS[syndromes(s), 0]) >> 11)
             at = np.stack([(np.int64(n) << 36) | (near[i] << 24) | (near[j] << 12) | near[k] for n, (i, j, k) in enumerate(TRIPLES)], 1)
-            who = pa.array(np.repeat(np.arange(len(w)), len(TRIPLES)))
-            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), b.column(0).take(who), wide.take(who)], names=["at", "key", "wide"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), b.column(0).take(pa.array(np.repeat(np.arange(len(w)), len(TRIPLES))))], names=["at", "key"])
 
-    return classes.select("key", "wide").mapInArrow(rows, "at long, key long, wide array<long>")
+    return classes.select("key", "wide").mapInArrow(rows, "at long, key long")
 
 
 def golay_candidates(classes: DataFrame) -> DataFrame:
     """(u, v): every class of a Golay key with the smallest one under it, if their wide fingerprints are near."""
     rows = golay_rows(classes)
-    low = rows.groupBy("at").agg(F.count("*").alias("n"), F.min(F.struct("key", "wide")).alias("low")).where("n > 1").drop("n")
-    differ = sum((F.bit_count(F.col("wide")[i].bitwiseXOR(F.col("low.wide")[i])) for i in range(3)), F.lit(0))
-    met = rows.join(low, "at").where((F.col("key") > F.col("low.key")) & (differ <= WIDE_BITS))
-    return met.select(F.col("key").alias("u"), F.col("low.key").alias("v")).distinct()
+    low = rows.groupBy("at").agg(F.count("*").alias("n"), F.min("key").alias("v")).where("n > 1").drop("n")
+    met = rows.join(low, "at").where("key > v").select(F.col("key").alias("u"), "v").distinct()
+    wide = lambda k, n: classes.select(F.col("key").alias(k), F.col("wide").alias(n))
+    both = met.join(wide("u", "a"), "u").join(wide("v", "b"), "v")
+    return both.where(sum((F.bit_count(F.col("a")[i].bitwiseXOR(F.col("b")[i])) for i in range(3)), F.lit(0)) <= WIDE_BITS).select("u", "v")
 
 
 def groups(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int = 5, least: float = 0.8, block: int = 256) -> DataFrame:
@@ -344,39 +343,57 @@ def groups(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int
     Candidates are compared on whole texts (``texts``: rid, text binary).
     """
     spark = classes.sparkSession
-    check = lambda pairs: scratch.save("links", verified(scratch.save("candidates", pairs), classes, texts, scratch, shingle, least))
-    links = check(golay_candidates(classes))
-    stars = components(spark, links, scratch)
-    scratch.release()
-    root = lambda rows: rows.join(stars.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = lambda rows, stars: rows.join(stars.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     even = F.least("m", "k") >= least * F.greatest("m", "k") - 1e-9
-    rows = root(classes.select("key", "head")).select("key", "root", F.expr("explode(slice(head, 2, size(head) - 1))").alias("at"), F.col("head")[0].alias("m"))
     apart = lambda rows: rows.groupBy("at").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("at", "n")
-    open_ = scratch.save("open", apart(rows))
-    met = scratch.save("met", rows.join(open_.select("at"), "at"))
-    low = met.groupBy("at").agg(F.min(F.struct("key", "m", "root")).alias("low"))
-    star = met.join(low, "at").select(F.col("key").alias("u"), F.col("low.key").alias("v"), "m", F.col("low.m").alias("k"), "root", F.col("low.root").alias("other"))
-    more = check(star.where((F.col("root") != F.col("other")) & even).select("u", "v").distinct())
+    links = verified(golay_candidates(classes), classes, texts, scratch, shingle, least)
+    stars = components(spark, links, scratch)
+    heads = rooted(classes.select("key", "head"), stars).select("key", "root", F.expr("explode(slice(head, 2, size(head) - 1))").alias("at"))
+    open_ = scratch.save("open", apart(heads.select("at", "root")))
+    scratch.release()
+    met = scratch.save("met", heads.select("at", "key").join(open_.select("at"), "at"))
+    scratch.release()
+    sized = classes.select("key", F.col("head")[0].alias("m"))
+    rows = scratch.save("rows", rooted(met.join(sized, "key"), stars))
+    low = rows.groupBy("at").agg(F.min(F.struct("key", "m", "root")).alias("low"))
+    star = rows.join(low, "at").select(F.col("key").alias("u"), F.col("low.key").alias("v"), "m", F.col("low.m").alias("k"), "root", F.col("low.root").alias("other"))
+    more = verified(star.where((F.col("root") != F.col("other")) & even).select("u", "v").distinct(), classes, texts, scratch, shingle, least)
     if not more.isEmpty():
         links = links.union(more)
         stars = components(spark, links, scratch)
-        scratch.release()
-    met = root(met.drop("root"))
-    rest = scratch.save("rest", met.join(apart(met).select("at", F.ceil(F.col("n") / block).alias("blocks")), "at"))
+        scratch.drop(rows)
+        rows = scratch.save("rows", rooted(met.join(sized, "key"), stars))
+    rest = scratch.save("rest", rows.join(apart(rows).select("at", F.ceil(F.col("n") / block).alias("blocks")), "at"))
+    scratch.drop(met, open_, rows)
+    scratch.release()
     one = rest.select("at", F.col("key").alias("u"), "m", F.col("root").alias("p"), F.pmod(F.xxhash64("key"), F.col("blocks")).alias("part"))
     other = rest.select("at", F.col("key").alias("v"), F.col("m").alias("k"), F.col("root").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
     pairs = one.join(other, ["at", "part"]).where((F.col("u") > F.col("v")) & (F.col("p") != F.col("q")) & even)
-    more = check(pairs.select("u", "v").distinct())
+    more = verified(pairs.select("u", "v").distinct(), classes, texts, scratch, shingle, least)
+    scratch.drop(rest)
     return stars if more.isEmpty() else components(spark, links.union(more), scratch)
 
 
-def verified(candidates: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
-    """The candidates (u, v) that are similar on whole texts."""
-    named = candidates.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "rid"), "key")
-    sets = scratch.save("sets", texts.join(named, "rid").select("key", shingles_udf(shingle)(F.col("text")).alias("s")))
-    both = candidates.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
+    """The written table of the pairs (u, v) that are similar on whole texts. Texts do not move: their scan tells by a Bloom filter which may
+    be asked for, and makes the shingles of these."""
+    pairs = scratch.save("candidates", pairs)
+    named = scratch.save("named", pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "rid"), "key"))
+    asked = Bloom(named.select("rid"))
+
+    def make(batches):
+        for b in batches:
+            b = b.filter(asked.holds(b.column(2)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(h, shingle).view(np.int64) for h in word_hashes(b.column(1))], pa.list_(pa.int64()))], names=["rid", "s"])
+
+    sets = texts.select("rid", "text", F.xxhash64("rid").alias("h")).mapInArrow(make, "rid long, s array<long>")
+    sets = scratch.save("sets", sets.join(named, "rid").select("key", "s"))
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
+    links = scratch.save("links", both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v"))
+    scratch.drop(pairs, named, sets)
+    scratch.release()
+    return links
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
