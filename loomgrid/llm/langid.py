@@ -16,7 +16,6 @@ texts, gives ``und`` throughout; a null doc_id is hashed as the empty text; repe
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -24,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import remainder, tune
+from loomgrid.llm.common import Scratch, remainder, tune
 
 BITS = 17
 GRAMS = (2, 3, 4)
 GOLDEN = 0x9E3779B97F4A7C15
-#: A letter: a word character that is neither digit nor underscore.
-LETTER = re.compile(r"[^\W\d_]")
 STRETCH = 64
 CACHE = 150_000
 SAMPLE_DOCS = 300
@@ -38,6 +35,11 @@ SAMPLE_BYTES = 20_000
 LEXICON = 4096
 
 
+def has_letter(text: str) -> bool:
+    """A letter is what Unicode calls one (categories L), so neither a Roman numeral sign nor a fraction is."""
+    return text.isalpha() or any(map(str.isalpha, text))
+
+
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(feature number, word number) pairs; hashed n-grams first, lexicon entries above them."""
     raw = [w.encode("utf-8", "replace") for w in words]
@@ -71,7 +73,7 @@ class Model:
     def emissions(self, words: list[str]) -> np.ndarray:
         n = len(self.labels)
         out = np.zeros((len(words), n), np.float64)
-        at = [i for i, w in enumerate(words) if LETTER.search(w)]
+        at = [i for i, w in enumerate(words) if has_letter(w)]
         if at:
             f, o = features([words[i] for i in at], self.lexicon)
             w = self.weights[f]
@@ -97,7 +99,7 @@ class Cache:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
             self.table[n : n + len(new)] = self.model.emissions(new)
-            self.letters[n : n + len(new)] = [bool(LETTER.search(w)) for w in new]
+            self.letters[n : n + len(new)] = [has_letter(w) for w in new]
             self.rows |= {w: n + i for i, w in enumerate(new)}
             got = [self.rows[w] if g is None else g for w, g in zip(words, got)]
         return np.array(got, np.int64)
@@ -182,13 +184,13 @@ def train(texts: list[str], langs: list[str], seed: int = 3, epochs: int = 4, le
             parts.append((w[at : at + n], c))
             at += n
     rng.shuffle(parts)
-    counts = Counter(w for p, _ in parts for w in p if LETTER.search(w))
+    counts = Counter(w for p, _ in parts for w in p if has_letter(w))
     lexicon = {w: i for i, (w, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]) if n > 2}
     index: dict[str, int] = {}
     words = np.array([index.setdefault(w, len(index)) for p, _ in parts for w in p], np.int64)
     gold = np.repeat(np.array([c for _, c in parts]), [len(p) for p, _ in parts])
     vocabulary = list(index)
-    lettered = [i for i, w in enumerate(vocabulary) if LETTER.search(w)]
+    lettered = [i for i, w in enumerate(vocabulary) if has_letter(w)]
     f, o = features([vocabulary[i] for i in lettered], lexicon) if lettered else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     o = np.array(lettered, np.int64)[o] if lettered else o
     by = np.argsort(o, kind="stable")
@@ -240,7 +242,9 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
     h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed))
     fit = fit.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), h.alias("h"))
     ranked = fit.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_lang)
-    return fit.join(ranked.select("lang", "h").distinct(), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    # written, so that its size is known: the few hashes go to the texts, not the texts to them
+    chosen = Scratch(docs.sparkSession, "langid").save("sample", ranked.select("lang", "h").distinct())
+    return fit.join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"])
 
 
 def label_texts(model: Model, cache: Cache, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -277,7 +281,7 @@ def predictor(model: Model, texts_at_once: int = 256):
             best = sums.argmax(axis=1)
             owner = np.repeat(np.arange(len(part)), lengths)
             other = np.bincount(owner, letters & (p.argmax(axis=1) != best[owner]), minlength=len(part))
-            some = np.array([bool(t) and LETTER.search(t) is not None for t in part]) & (n > 0)
+            some = np.array([bool(t) and has_letter(t) for t in part]) & (n > 0)
             lang += [model.labels[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)]
             share = np.divide(sums[np.arange(len(part)), best], n, out=np.zeros(len(part)), where=some)
             score[at : at + len(part)] = np.clip(share, 0.0, 1.0)

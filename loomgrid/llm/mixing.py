@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Sources get target word counts by weight, no source more than ``max_repeat`` times its size (the excess
-is shared again by weight). A source's documents are dealt into shards, every shard is a line of words
-cut into blocks of equally many words, and blocks are apportioned by highest quotients v/(2j+1): first
-over sources, then over the shards of a source. A shard with quota q takes all its nb blocks q div nb
-times and q mod nb more blocks by a seeded affine permutation of the block numbers.
+is shared again by weight). Words are apportioned to sources by highest quotients v/(2j+1). A source's documents are dealt into
+shards, every shard is a line of words cut into blocks of equally many words (``block_words``, fewer in a source too
+small for 64 such blocks), and the source's quota, counted in its blocks, is apportioned to its shards in the same way. A shard
+with quota q takes all its nb blocks q div nb times and q mod nb more blocks by a seeded affine permutation of the
+block numbers.
 
 Defined cases: null text has size 0; the null source is a source of its own, last; an empty table gives
 an empty result; repeated rows are separate documents; documents of size 0 take 0 words; a null doc_id is
@@ -74,6 +75,8 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, orde
     return a.join(b, on).select("a.*", "b.quota")
 
 
+#: Blocks that a source has at least, so that its mix comes as near its target.
+FINE = 64
 #: Parts that the rows of a source are dealt into where they meet the source's row, which is repeated as often.
 SALTS = 64
 
@@ -87,18 +90,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``rounds``, ``rest``, ``shard_size``, ``n_blocks``, ``start`` and ``turn`` place the row's words in its
     shard; ``block_taken`` tells from them which blocks the mix takes.
     """
-    d = sized(docs, id_col, text_col, source_col, carry)
-    return place(d.drop("rid"), weights, block_words, shard_docs, max_repeat, seed)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    d = sized(docs, id_col, text_col, source_col, carry, scratch)
+    return place(d.drop("rid"), scratch, weights, block_words, shard_docs, max_repeat, seed)
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: list[str] | None = None) -> DataFrame:
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: list[str] | None, scratch: Scratch) -> DataFrame:
     """The written table (row, rid, source, id, size, content) of all rows."""
     tune(docs.sparkSession)
     d = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"), word_count(utf8(text_col)).alias("size"), F.xxhash64(utf8(text_col)).alias("content"))
-    return Scratch(docs.sparkSession, "mixing").save("sizes", d)
+    return scratch.save("sizes", d)
 
 
-def place(d: DataFrame, weights=(1, 2, 3), block_words=64, shard_docs=2048, max_repeat=3, seed=17) -> DataFrame:
+def place(d: DataFrame, scratch: Scratch, weights=(1, 2, 3), block_words=64, shard_docs=2048, max_repeat=3, seed=17) -> DataFrame:
     """``mix`` for rows that already carry (row, source, id, size, content)."""
     per_source = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -106,15 +110,20 @@ def place(d: DataFrame, weights=(1, 2, 3), block_words=64, shard_docs=2048, max_
     sources = per_source.withColumn("weight", weight).withColumn("n_shards", F.ceil(F.col("n_docs") / shard_docs))
     t = targets(sources, max_repeat)
     s = sources.alias("s").join(t.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "s.source_size", "s.n_shards", "t.target")
-    s = s.withColumn("g", F.lit(0)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words).cast("long"))
+    s = s.withColumn("g", F.lit(0)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0)))).cast("long"))
     s = apportion(s, ["g"], "target", "seats", ["source"]).select("source", "source_size", "n_shards", "target", F.col("quota").alias("source_quota"))
+    s = s.withColumn("block", F.greatest(F.least(F.floor(F.col("source_size") / FINE), F.lit(block_words)), F.lit(1)))
+    s = scratch.save("sources", s)
     salted = s.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     d = d.withColumn("salt", F.pmod(F.xxhash64("id", "content", F.lit(seed + 2)), F.lit(SALTS)))
-    dealt = d.alias("d").join(salted.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.salt") == F.col("s.salt"))).select("d.*", "s.source_size", "s.target", "s.source_quota", F.pmod(F.xxhash64("d.id", "d.content", F.lit(seed)), F.col("s.n_shards")).alias("shard"))
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("source_size").alias("source_size"))
-    shards = shards.withColumn("n_blocks", F.when(F.col("shard_size") > 0, F.greatest(F.round(F.col("shard_size") / block_words), F.lit(1))).otherwise(0).cast("long"))
-    # a block of this shard holds shard_size/n_blocks words; quotas count blocks of the shard's own size
-    shards = apportion(shards, ["source"], "n_blocks", "source_quota", ["shard"])
+    dealt = d.alias("d").join(salted.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.salt") == F.col("s.salt"))).select("d.*", "s.source_size", "s.target", "s.source_quota", "s.block", F.pmod(F.xxhash64("d.id", "d.content", F.lit(seed)), F.col("s.n_shards")).alias("shard"))
+    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("source_size").alias("source_size"), F.first("block").alias("block"))
+    shards = shards.withColumn("n_blocks", F.when(F.col("shard_size") > 0, F.greatest(F.round(F.col("shard_size") / F.col("block")), F.lit(1))).otherwise(0).cast("long"))
+    # a block of this shard holds shard_size/n_blocks words; the source's quota of words becomes one of its blocks
+    every = F.sum("n_blocks").over(Window.partitionBy("source"))
+    shards = shards.withColumn("seats", F.when(F.col("source_size") > 0, F.round(F.col("source_quota") * every / F.col("source_size"))).otherwise(0).cast("long"))
+    shards = scratch.save("shards", shards)
+    shards = apportion(shards, ["source"], "n_blocks", "seats", ["shard"])
     shards = shards.withColumn("quota", F.least("quota", max_repeat * F.col("n_blocks")))
     shards = shards.withColumn("turn", F.xxhash64("source", "shard", F.lit(seed)).bitwiseAND(STEP))
     q = shards.select("source", "shard", "shard_size", "n_blocks", "turn", F.when(F.col("n_blocks") > 0, F.expr("quota div n_blocks")).otherwise(0).alias("rounds"), F.when(F.col("n_blocks") > 0, F.expr("quota % n_blocks")).otherwise(0).alias("rest"))
@@ -140,8 +149,9 @@ def expand(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """The mixed corpus itself, in the columns of ``docs``: ``rounds`` whole copies of each document and,
     if blocks of it are taken once more, one row with the words of those blocks (single spaces between).
     Quotas and places are worked out without the texts, which are moved once, to meet them."""
-    d = sized(docs, id_col, text_col, source_col)
-    m = place(d.select(F.struct("rid").alias("row"), "source", "id", "size", "content"), **kw)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    d = sized(docs, id_col, text_col, source_col, None, scratch)
+    m = place(d.select(F.struct("rid").alias("row"), "source", "id", "size", "content"), scratch, **kw)
     again = F.when(F.col("rounds") > 0, F.expr("sequence(1, int(rounds))")).otherwise(F.expr("cast(array() as array<int>)"))
     copies = F.concat(again, F.when(F.size("spans") > 0, F.array(F.lit(0))).otherwise(F.expr("cast(array() as array<int>)")))
     whole = F.expr("aggregate(spans, 0L, (a, x) -> a + x.hi - x.lo)") == F.col("size")

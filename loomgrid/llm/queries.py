@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgrid.llm import brown, forest, langid, linededup, mixing, ogg, packing, resampling, simhash, warc
+from loomgrid.llm.common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +30,8 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return ogg.digest_table(ogg.media_table(docs))
+    media = Scratch(spark, "ogg").save("media", ogg.media_table(table(spark, sf_dir, "documents")))
+    return ogg.digest_table(media)
 
 
 def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
