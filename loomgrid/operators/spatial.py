@@ -78,7 +78,14 @@ def ball_query(points: DataFrame, centres: DataFrame, min_radius: float, max_rad
     if min_radius >= max_radius:
         raise ValueError("min_radius must be below max_radius")
     d2 = squared_distance(dims)
-    j = centres.join(points, on).withColumn("d2", d2).where((F.col("d2") == 0) | ((F.col("d2") >= min_radius**2) & (F.col("d2") < max_radius**2)))
+    # points lie in cells as wide as the radius: a centre meets those of the cells around it, in as many dimensions as given
+    cell = lambda x: F.floor(x / max_radius)
+    cells = [f"_cell{k}" for k in range(len(dims))]
+    around = centres
+    for c, d in zip(cells, dims, strict=True):
+        around = around.withColumn(c, F.explode(F.sequence(cell(F.col(f"c_{d}")) - 1, cell(F.col(f"c_{d}")) + 1)))
+    near = around.join(points.withColumns({c: cell(F.col(d)) for c, d in zip(cells, dims, strict=True)}), [*on, *cells]).drop(*cells)
+    j = near.withColumn("d2", d2).where((F.col("d2") == 0) | ((F.col("d2") >= min_radius**2) & (F.col("d2") < max_radius**2)))
     w = Window.partitionBy(*on, centre_idx).orderBy(idx)
     hits = j.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < sample)
     lists = hits.groupBy(*on, centre_idx).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", idx))), lambda s: s[idx]).alias("got"))
