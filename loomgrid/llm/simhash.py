@@ -24,7 +24,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -338,46 +338,62 @@ def groups(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int
     """Components (node, root) of the classes (long ``key``, ``rid`` of a row, ``wide``, ``head``) whose texts have a Jaccard similarity of at least ``least``.
 
     Golay keys link most of them: under a key every class meets the smallest. What they miss is made up
-    exactly. Texts that similar share a shingle of their heads, always: first every class of such a shingle meets the
-    smallest of another component, then all pairs meet that still belong to different ones, by blocks of ``block`` classes.
-    Candidates are compared on whole texts (``texts``: rid, text binary).
+    exactly. Texts that similar share a shingle of their heads, always, and the first that they share stands early enough in both
+    to leave room for what they must share in all: first every class of such a shingle meets the smallest of another component, then
+    all pairs meet that still belong to different ones, by blocks of ``block`` classes.
+    Candidates are compared on their heads, then on whole texts (``texts``: rid, text binary).
     """
     spark = classes.sparkSession
     rooted = lambda rows, stars: rows.join(stars.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     even = F.least("m", "k") >= least * F.greatest("m", "k") - 1e-9
-    apart = lambda rows: rows.groupBy("at").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("at", "n")
+    room = even & (F.least(F.col("m") - F.col("i"), F.col("k") - F.col("j")) >= shared(F.col("m"), F.col("k"), least))
+    apart = lambda rows: rows.groupBy("at").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), F.max("early").alias("early")).where("a <> b and early").select("at", "n")
     links = verified(golay_candidates(classes), classes, texts, scratch, shingle, least)
     stars = components(spark, links, scratch)
-    heads = rooted(classes.select("key", "head"), stars).select("key", "root", F.expr("explode(slice(head, 2, size(head) - 1))").alias("at"))
-    open_ = scratch.save("open", apart(heads.select("at", "root")))
     scratch.release()
-    met = scratch.save("met", heads.select("at", "key").join(open_.select("at"), "at"))
+    m, early = F.col("head")[0], (F.col("m") - F.col("i") >= shared(F.col("m"), F.col("m"), least)).alias("early")
+    heads = rooted(classes.select("key", "head"), stars).select("key", "root", m.alias("m"), F.posexplode(F.expr("slice(head, 2, size(head) - 1)")).alias("i", "at"))
+    open_ = scratch.save("open", apart(heads.select("at", "root", early)))
     scratch.release()
-    sized = classes.select("key", F.col("head")[0].alias("m"))
+    met = scratch.save("met", heads.select("at", "key", "i").join(open_.select("at"), "at"))
+    scratch.release()
+    sized = classes.select("key", m.alias("m"))
     rows = scratch.save("rows", rooted(met.join(sized, "key"), stars))
-    low = rows.groupBy("at").agg(F.min(F.struct("key", "m", "root")).alias("low"))
-    star = rows.join(low, "at").select(F.col("key").alias("u"), F.col("low.key").alias("v"), "m", F.col("low.m").alias("k"), "root", F.col("low.root").alias("other"))
-    more = verified(star.where((F.col("root") != F.col("other")) & even).select("u", "v").distinct(), classes, texts, scratch, shingle, least)
+    low = rows.groupBy("at").agg(F.min(F.struct("key", "m", "root", "i")).alias("low"))
+    star = rows.join(low, "at").select(F.col("key").alias("u"), F.col("low.key").alias("v"), "m", F.col("low.m").alias("k"), "root", F.col("low.root").alias("other"), "i", F.col("low.i").alias("j"))
+    more = verified(star.where((F.col("root") != F.col("other")) & room).select("u", "v").distinct(), classes, texts, scratch, shingle, least)
     if not more.isEmpty():
         links = links.union(more)
         stars = components(spark, links, scratch)
         scratch.drop(rows)
         rows = scratch.save("rows", rooted(met.join(sized, "key"), stars))
-    rest = scratch.save("rest", rows.join(apart(rows).select("at", F.ceil(F.col("n") / block).alias("blocks")), "at"))
+    rest = scratch.save("rest", rows.join(apart(rows.select("at", "root", early)).select("at", F.ceil(F.col("n") / block).alias("blocks")), "at"))
     scratch.drop(met, open_, rows)
     scratch.release()
-    one = rest.select("at", F.col("key").alias("u"), "m", F.col("root").alias("p"), F.pmod(F.xxhash64("key"), F.col("blocks")).alias("part"))
-    other = rest.select("at", F.col("key").alias("v"), F.col("m").alias("k"), F.col("root").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
-    pairs = one.join(other, ["at", "part"]).where((F.col("u") > F.col("v")) & (F.col("p") != F.col("q")) & even)
+    one = rest.select("at", F.col("key").alias("u"), "m", "i", F.col("root").alias("p"), F.pmod(F.xxhash64("key"), F.col("blocks")).alias("part"))
+    other = rest.select("at", F.col("key").alias("v"), F.col("m").alias("k"), F.col("i").alias("j"), F.col("root").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
+    pairs = one.join(other, ["at", "part"]).where((F.col("u") > F.col("v")) & (F.col("p") != F.col("q")) & room)
     more = verified(pairs.select("u", "v").distinct(), classes, texts, scratch, shingle, least)
     scratch.drop(rest)
     return stars if more.isEmpty() else components(spark, links.union(more), scratch)
 
 
+def shared(m: Column, k: Column, least: float) -> Column:
+    """Shingles that sets of m and k must share to be similar."""
+    return F.ceil((m + k) * (least / (1 + least)) - 1e-9)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
     """The written table of the pairs (u, v) that are similar on whole texts. Texts do not move: their scan tells by a Bloom filter which may
     be asked for, and makes the shingles of these."""
-    pairs = scratch.save("candidates", pairs)
+    head = lambda k, n: classes.select(F.col("key").alias(k), F.col("head").alias(n))
+    met = pairs.join(head("u", "a"), "u").join(head("v", "b"), "v")
+    tail = lambda h: h[0] - F.size(h) + 1
+    # of the text whose head ends first, all that is shared up to there is in both heads
+    seen = F.size(F.array_intersect(F.slice("a", F.lit(2), F.size("a")), F.slice("b", F.lit(2), F.size("b"))))
+    enough = seen + F.greatest(tail(F.col("a")), tail(F.col("b"))) >= shared(F.col("a")[0], F.col("b")[0], least)
+    pairs = scratch.save("candidates", met.where(enough).select("u", "v"))
+    scratch.release()
     named = scratch.save("named", pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "rid"), "key"))
     asked = Bloom(named.select("rid"))
 
