@@ -6,7 +6,11 @@ cells, take their medians from a bounded sample (``sample_bytes``); the cells, s
 further from all their own vectors, until a leaf is small or splitting no longer thins it (a tight cluster
 stays whole). In each leaf all pairs are compared by cosine in double precision, block by block. A pair
 is counted only in the first leaf that both vectors share, so links are counted and joined without
-emitting pairs: a leaf gives one row per vector. A leaf above ``wide`` vectors is dealt out by blocks of rows.
+emitting pairs: a leaf gives one row per vector.
+
+A leaf above ``wide`` vectors, a tight cluster, is never whole in a task. Vectors within half the threshold's angle of its mean
+direction (its core) are all linked with each other, by the triangle inequality: what they gain is a sum over
+groups of vectors with the same earlier leaves. Only the others are compared, by tiles of two blocks.
 
 Every class is in every tree; the margin makes a link survive a tree with high probability, and the trees
 multiply what is missed (tests measure recall against brute force).
@@ -113,6 +117,93 @@ def compare(x: np.ndarray, mine: np.ndarray, count: np.ndarray, homes: list[np.n
     return gained, low
 
 
+FOUND = "cid long, gained long, low long"
+
+
+def tile(xa: np.ndarray, xb: np.ndarray, a: pd.DataFrame, b: pd.DataFrame, home: int, threshold: float) -> np.ndarray:
+    """Which rows of two blocks of a leaf are linked and met in no earlier leaf."""
+    link = (xa @ xb.T) >= threshold
+    link &= a["cid"].to_numpy()[:, None] != b["cid"].to_numpy()[None, :]
+    sides = [[np.asarray(h, np.int64) for h in d["homes"]] for d in (a, b)]
+    earlier = np.unique(np.concatenate([h[h < home] for s in sides for h in s]))
+    if len(earlier):
+        marks = [np.zeros((len(s), len(earlier)), np.float32) for s in sides]
+        for m, s in zip(marks, sides, strict=True):
+            for i, h in enumerate(s):
+                m[i, np.searchsorted(earlier, h[h < home])] = 1
+        link &= (marks[0] @ marks[1].T) == 0
+    return link
+
+
+def crowded(rows: DataFrame, scratch: Scratch, threshold: float, wide: int) -> DataFrame:
+    """What the vectors of leaves above ``wide`` gain there (FOUND); ``rows``: cid, label, dim, home, vec, n, homes, count."""
+    key = ["label", "dim", "home"]
+    kinds = dict(rows.dtypes)
+    half = math.cos(math.acos(max(-1.0, min(1.0, threshold))) / 2) + 1e-9
+    blocks = F.ceil(F.col("count") * 2 / wide).cast("int")
+    rows = scratch.save("crowded", rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).drop("count"))
+    head = f"label {kinds['label']}, dim int, home long"
+
+    def add(pdf: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "home": pdf["home"].iloc[:1], "sum": [x.sum(axis=0).tolist()]})
+
+    part = rows.groupBy(*key, "block").applyInPandas(lambda p: add(p, unit(np.array(p["vec"].tolist(), np.float64))), f"{head}, sum array<double>")
+    centre = part.groupBy(*key).applyInPandas(lambda p: add(p, np.array(p["sum"].tolist())), f"{head}, sum array<double>")
+    # a leaf's centre is repeated for its blocks, so that no key is hot
+    centre = centre.join(rows.select(*key, "block").distinct(), key)
+
+    def flag(batches):
+        for pdf in batches:
+            if len(pdf):
+                core = np.zeros(len(pdf), bool)
+                for _, at in pdf.groupby("dim").indices.items():
+                    x, c = (np.array(pdf[k].iloc[at].tolist(), np.float64) for k in ("vec", "sum"))
+                    size = np.linalg.norm(c, axis=1)
+                    core[at] = (unit(x) * c).sum(axis=1) >= half * np.where(size > 0, size, np.inf)
+                yield pdf.drop(columns="sum").assign(core=core)
+
+    ddl = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+    marked = scratch.save("marked", rows.join(centre, [*key, "block"]).select(*rows.columns, "sum").mapInPandas(flag, f"{ddl}, core boolean"))
+    sig = F.filter("homes", lambda h: h < F.col("home")).alias("sig")
+    core = marked.where("core").select("cid", *key, "n", sig)
+    sums = scratch.save("signatures", core.groupBy(*key, "sig").agg(F.sum("n").alias("total"), F.min("cid").alias("low")))
+    a, b = sums.alias("a"), sums.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
+    apart = a.join(b, [*same, ~F.arrays_overlap("a.sig", "b.sig")])
+    reach = apart.groupBy(*(f"a.{k}" for k in key), "a.sig").agg(F.sum("b.total").alias("reach"))
+    lowest = sums.groupBy(*key).agg(F.min("low").alias("low"))
+    met = core.join(reach, [*key, "sig"], "left").join(lowest, key)
+    # those without an earlier leaf reach themselves as well
+    inner = met.select("cid", (F.coalesce("reach", F.lit(0)) - F.when(F.size("sig") == 0, F.col("n")).otherwise(0)).alias("gained"), "low")
+    loose = marked.where("not core")
+    left = loose.groupBy(*key).agg(F.ceil(F.count("*") * 2 / wide).cast("int").alias("parts"))
+    one = loose.join(left, key).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")).cast("int")).drop("parts", "block", "core")
+    one = scratch.save("loose", one)
+    one = one.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    every = marked.join(left, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "blocks")
+
+    def across(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"cid": [], "gained": [], "low": []})
+        xp, xq = (unit(np.array(d["vec"].tolist(), np.float64)) for d in (p, q))
+        link = tile(xp, xq, p, q, int(p["home"].iloc[0]), threshold)
+        ids = np.unique(np.concatenate([p["cid"], q["cid"]]))
+        ip, iq = np.searchsorted(ids, p["cid"]), np.searchsorted(ids, q["cid"])
+        gained, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        np.add.at(gained, ip, link @ q["n"].to_numpy())
+        inside = q["core"].to_numpy(bool)  # the others count on their own side
+        np.add.at(gained, iq[inside], (link.T @ p["n"].to_numpy())[inside])
+        for k in np.flatnonzero(link.any(axis=1)).tolist():
+            all_met = np.append(low[iq[link[k]]], low[ip[k]])
+            if all_met.min() < all_met.max():
+                low[np.isin(low, all_met)] = all_met.min()
+        some = (gained > 0) | (low != np.arange(len(ids)))
+        return pd.DataFrame({"cid": ids[some], "gained": gained[some], "low": ids[low[some]]})
+
+    outer = one.groupBy(*key, "part", "block").cogroup(every.groupBy(*key, "part", "block")).applyInPandas(across, FOUND)
+    return scratch.save("gained", inner.union(outer))
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, trees: int = TREES,
                     margin_scale: float = 1.0, cell: int = CELL, leaf: int = LEAF, wide: int = WIDE, sample_bytes: int = 16 << 20, seed: int = 7) -> DataFrame:
     """One row per vector: id, n_links (other vectors linked directly), component_id, kept."""
@@ -170,23 +261,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     homes = homes.groupBy("cid").agg(F.sort_array(F.collect_list("home")).alias("homes"))
     placed = scratch.save("placed", classes.join(homes, "cid").select("cid", "label", "dim", "vec", "n", "homes"))
     spots = placed.withColumn("home", F.explode("homes"))
-    crowd = placed.select("label", "dim", F.explode("homes").alias("home")).groupBy("label", "dim", "home").count().where(F.col("count") > wide)
-    crowd = crowd.withColumn("blocks", F.ceil(F.col("count") * 2 / wide).cast("int")).drop("count")
-    spots = spots.join(crowd, ["label", "dim", "home"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    spots = spots.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["label", "dim", "home"]
+    crowd = scratch.save("crowd", placed.select("label", "dim", F.explode("homes").alias("home")).groupBy(*key).count().where(F.col("count") > wide))
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid")
         home = int(pdf["home"].iloc[0])
         cid = pdf["cid"].to_numpy()
         x = unit(np.array(pdf["vec"].tolist(), np.float64))
-        mine = np.flatnonzero((pdf["own"] == pdf["block"]).to_numpy())
-        gained, low = compare(x, mine, pdf["n"].to_numpy(), [np.asarray(h, np.int64) for h in pdf["homes"]], home, threshold)
+        gained, low = compare(x, np.arange(len(x)), pdf["n"].to_numpy(), [np.asarray(h, np.int64) for h in pdf["homes"]], home, threshold)
         some = (gained > 0) | (low != np.arange(len(x)))
         return pd.DataFrame({"cid": cid[some], "gained": gained[some], "low": cid[low[some]]})
 
-    found = spots.select("cid", "label", "dim", "home", "block", "own", "vec", "n", "homes").groupBy("label", "dim", "home", "block").applyInPandas(within, "cid long, gained long, low long")
+    cols = ["cid", *key, "vec", "n", "homes"]
+    found = spots.join(crowd, key, "left_anti").select(cols).groupBy(*key).applyInPandas(within, FOUND)
     found = scratch.save("found", found)
+    if not crowd.isEmpty():
+        found = found.union(crowded(spots.join(crowd, key).select(*cols, "count"), scratch, threshold, wide))
     stars = components(spark, found.select(F.col("cid").alias("u"), F.col("low").alias("v")), scratch)
     gained = found.groupBy("cid").agg(F.sum("gained").alias("gained"))
     named = classes.select("cid", "label", "vec", "n", "low").join(gained, "cid", "left").join(stars.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgrid.llm import forest, warc
 
@@ -122,6 +123,26 @@ def test_forest_recall(spark, kw):
     assert recall >= 0.95 and same >= 0.97
 
 
+@pytest.mark.parametrize("spread", [0.04, 0.1, 0.13])
+def test_forest_crowded_leaves(spark, spread):
+    """Clusters above ``wide``, of which all, most or few vectors are near the middle, with copies and stragglers."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=64) / 8
+    vecs = noisy(rng, base, 260, spread) + noisy(rng, base, 60, 0.2) + noisy(rng, rng.normal(size=64) / 8, 90, 0.1)
+    vecs += vecs[:7] * 2
+    recall, same, _ = measure(spark, [(k, v, 0) for k, v in enumerate(vecs)], cell=100, leaf=32, wide=64)
+    assert recall >= 0.97 and same >= 0.97
+
+
+def test_forest_large_tight_cluster(spark):
+    rng = np.random.default_rng(4)
+    n, base = 20000, rng.normal(size=16)
+    v = (base + rng.normal(size=(n, 16)) * 0.01).astype(np.float32).tolist()
+    d = spark.createDataFrame([(k, x, 0) for k, x in enumerate(v)], "vec_id bigint, embedding array<float>, label int").repartition(4)
+    got = forest.near_duplicates(d).agg(F.min("n_links"), F.max("n_links"), F.max("component_id"), F.sum(F.col("kept").cast("int"))).first()
+    assert tuple(got) == (n - 1, n - 1, 0, 1)
+
+
 def test_forest_odd(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [2.0, 0.0], 0), (4, [1.0, 0.0], 1), (5, None, 0), (6, [0.0, 0.0], 0), (7, [1.0, None], 0), (8, [float("nan"), 1.0], 0), (9, [float("inf"), 1.0], 0), (10, [1.0, 0.0], None), (11, [1.0, 0.0, 0.0], 0), (12, [], 0), (13, [1e-30, 0.0], 0)]
     recall, same, got = measure(spark, rows)
