@@ -12,6 +12,7 @@ from loomgrid.operators import metrics as M
 from loomgrid.operators import nms as S
 from loomgrid.operators.spatial import best_match
 from loomgrid.plans import fixtures as X
+from loomgrid.plans.detection import RECALL, nms_sql, tp_sql
 from loomgrid.plans.families import Queries
 from loomgrid.plans.fixtures import DET, GT, iou_sql
 
@@ -235,5 +236,39 @@ def frequency_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.frequency_groups(X.gt(spark, sf_dir).where("gt_idx % (class_id * 7 + 1) = 0"))
 
 
+@query(f"WITH {GT} SELECT class_id, count(*) FILTER (WHERE NOT is_ignore AND (x2 - x1) * (y2 - y1) >= 4096 AND (x2 - x1) * (y2 - y1) < 9216) AS num_gts FROM gt GROUP BY class_id")
+def truth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG6: truths of a class in an area range."""
+    return M.gt_counts(X.gt(spark, sf_dir), (4096.0, 9216.0))
+
+
+@query(f"WITH r AS ({RECALL}) SELECT n, round(avg(recall), 6) AS ar FROM r GROUP BY n")
+def average_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG11, AG17: mean of recalls over thresholds."""
+    r = M.recalls(X.gt(spark, sf_dir).where("not is_ignore"), X.det(spark, sf_dir), [10, 40], [0.5, 0.7])
+    return M.average_recall(r).withColumn("ar", F.round("ar", 6))
+
+
+@query(f"""WITH {DET}, {GT}, ts AS (SELECT * FROM gt WHERE NOT is_group_of), tg AS (SELECT * FROM gt WHERE is_group_of), {tp_sql(gt='ts')},
+lost AS (SELECT d.* FROM det d JOIN tp USING (image_id, class_id, det_idx) WHERE fp = 1),
+io AS (SELECT d.image_id, d.class_id, d.det_idx, d.score, g.gt_idx, {iou_sql('d', 'g', mode='iof')} AS iof FROM lost d JOIN tg g ON d.image_id = g.image_id AND d.class_id = g.class_id),
+ib AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY det_idx ORDER BY iof DESC, gt_idx) AS r FROM io) WHERE r = 1 AND iof >= 0.5),
+gr AS (SELECT tg.image_id, tg.class_id, tg.is_ignore, max(ib.score) AS score FROM tg LEFT JOIN ib ON tg.image_id = ib.image_id AND tg.class_id = ib.class_id AND tg.gt_idx = ib.gt_idx GROUP BY tg.image_id, tg.class_id, tg.gt_idx, tg.is_ignore),
+al AS (SELECT image_id, class_id, score, tp, fp FROM tp WHERE det_idx NOT IN (SELECT det_idx FROM ib) UNION ALL SELECT image_id, class_id, coalesce(score, 0), CASE WHEN score IS NOT NULL AND NOT is_ignore THEN 1 ELSE 0 END, CASE WHEN score IS NULL THEN 1 ELSE 0 END FROM gr WHERE NOT is_ignore OR score IS NOT NULL)
+SELECT g.class_id, num_gts, num_dets, round(tps / num_gts, 6) AS recall FROM (SELECT class_id, count(*) FILTER (WHERE NOT is_ignore) AS num_gts FROM gt GROUP BY class_id) g JOIN (SELECT class_id, count(*) AS num_dets, sum(tp) AS tps FROM al GROUP BY class_id) USING (class_id)""")
+def openimages_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG18, UD3: the driver with the group-of protocol chosen by name."""
+    e = M.eval_map(X.det(spark, sf_dir), X.gt(spark, sf_dir), strategy="group_of")
+    return e.select("class_id", "num_gts", "num_dets", F.round("recall", 6).alias("recall"))
+
+
+@query(f"WITH RECURSIVE {DET}, v AS (SELECT image_id, det_idx, score, x1, y1, x2, y2 FROM det UNION ALL SELECT image_id, det_idx + 1000000000, score * 0.9, x1 + 1, y1, x2 + 1, y2 FROM det), {nms_sql('image_id', '0.7').replace('FROM det WHERE', 'FROM v WHERE')}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY rnk) AS n FROM k WHERE ok) SELECT image_id, det_idx FROM r WHERE n <= 10")
+def merged_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG37: proposals of two views united, suppressed, and the best kept."""
+    d = X.det(spark, sf_dir)
+    other = d.withColumns({"det_idx": F.col("det_idx") + 1000000000, "score": F.col("score") * 0.9, "x1": F.col("x1") + 1, "x2": F.col("x2") + 1})
+    return S.nms(d.unionByName(other), 0.7, ["image_id"], max_num=10).select("image_id", "det_idx")
+
+
 QUERIES = query.queries
 ORACLE_SQL = query.sql
