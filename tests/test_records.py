@@ -165,6 +165,28 @@ def test_streams(spark, tmp_path):
     assert [(r.text, r.error_code) for r in R.decode_chunks(chunks).collect()] == [("a", 0), ("ab", 1)]
 
 
+def test_a_late_heartbeat_keeps_the_timer(spark, tmp_path):
+    """A worker whose last message is an old one, out of order, still expires when it falls silent."""
+    import time
+
+    beats, out = tmp_path / "beats", tmp_path / "out"
+    one = lambda k, ts: spark.createDataFrame([("w", 1, True, ts)], "worker string, queue_length int, check_hb boolean, ts double").coalesce(1).write.json(str(beats / str(k)))
+    one(0, 100.0)
+    src = spark.readStream.schema("worker string, queue_length int, check_hb boolean, ts double").option("recursiveFileLookup", True).json(str(beats))
+    q = R.live_workers(src, ttl=3).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(processingTime="500 milliseconds").start()
+    try:
+        states = lambda: [r.state for r in spark.read.schema("worker string, queue_length int, ts double, state string").parquet(str(out)).collect()] if out.exists() else []
+        end = time.time() + 120
+        while "registered" not in states() and time.time() < end:
+            time.sleep(0.5)
+        one(1, 50.0)
+        while "expired" not in states() and time.time() < end:
+            time.sleep(0.5)
+        assert sorted(states()) == ["expired", "registered"]
+    finally:
+        q.stop()
+
+
 def test_batch_stream(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     src.mkdir()
