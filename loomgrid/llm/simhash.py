@@ -394,7 +394,9 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Sc
     enough = seen + F.greatest(tail(F.col("a")), tail(F.col("b"))) >= shared(F.col("a")[0], F.col("b")[0], least)
     pairs = scratch.save("candidates", met.where(enough).select("u", "v"))
     scratch.release()
-    named = scratch.save("named", pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "rid"), "key"))
+    # either end is made distinct by itself: many classes meet few smallest ones
+    ends = pairs.select(F.col("u").alias("key")).distinct().union(pairs.select("v").distinct()).distinct()
+    named = scratch.save("named", ends.join(classes.select("key", "rid"), "key"))
     asked = Bloom(named.select("rid"))
 
     def make(batches):
