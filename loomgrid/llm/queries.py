@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.llm import brown, forest, langid, linededup, mixing, ogg, packing, resampling, simhash, warc
+from loomgrid.llm import brown, forest, langid, licenses, linededup, mixing, ogg, packing, prefixtrie, resampling, simhash, warc, whitening
 from loomgrid.llm.common import Scratch
 
 
@@ -55,6 +55,18 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(m.id.alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,7 +80,10 @@ QUERIES = {
         op8_best_fit_packing,
         op9_importance_resampling,
         op10_sainte_lague_mix,
+        op11_prefix_trie,
+        op12_license_scan,
+        op13_lanczos_whitening,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_spread": linededup.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_line_spread": linededup.oracle(), "op11_prefix_trie": prefixtrie.oracle(), "op12_license_scan": licenses.oracle()}
