@@ -86,40 +86,40 @@ def templates(notices: dict[str, str] | None = None, threshold: float = THRESHOL
 
 def words(text: Column) -> Column:
     """Words of a text with A-Z lowered; letters beyond ASCII may be lowered too, which makes none of them an ASCII word."""
-    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(KELVIN), F.lit(STAND_IN))), F.lit(WORD), F.lit(0))
+    low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(KELVIN), F.lit(STAND_IN)))
+    return F.array_remove(F.split(low, WORD.replace("[^", "[")), "")  # splitting between words is far cheaper than extracting them
 
 
 def strings(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def blocks(stride: int) -> Column:
-    """(at, words): where each block starts, and its words, of a column ``words``."""
+def blocks(stride: int, some: list[str]) -> Column:
+    """(stride, at, words): where each block starts, and its words, of a column ``words``; those that hold one of ``some``."""
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(stride))
-    cut = F.transform(starts, lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, 2 * stride).alias("words")))
-    return F.when(F.size("words") > 0, cut)
+    cut = F.transform(starts, lambda at: F.struct(F.lit(stride).alias("stride"), at.alias("at"), F.slice("words", at + 1, 2 * stride).alias("words")))
+    return F.filter(F.when(F.size("words") > 0, cut), lambda x: F.arrays_overlap(x.words, strings(some)))
 
 
 def matches(docs: DataFrame, found: list[Template], order: dict[str, int]) -> DataFrame:
-    """(key, at, label, base, share, places) of each block and template that match, of rows (key, words); templates of one stride."""
-    stride = found[0].stride
+    """(key, at, label, base, share, places) of each block and template that match, of rows (key, words)."""
     ranked = [sorted(order[w] for w in t.distinct) for t in found]
     heads = [r[: len(r) - t.need + 1] for r, t in zip(ranked, found, strict=True)]
     word = {n: w for w, n in order.items()}
-    post = [F.struct(F.lit(r).alias("r"), F.lit(n).alias("n"), F.lit(i).alias("i"), F.array(*map(F.lit, ranked[n])).alias("own"), F.lit(t.need).alias("need"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), strings(t.words).alias("phrase")) for n, t in enumerate(found) for i, r in enumerate(heads[n])]
+    post = [F.struct(F.lit(r).alias("r"), F.lit(t.stride).alias("stride"), F.lit(i).alias("i"), F.array(*map(F.lit, ranked[n])).alias("own"), F.lit(t.need).alias("need"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), strings(t.words).alias("phrase")) for n, t in enumerate(found) for i, r in enumerate(heads[n])]
     index = docs.sparkSession.range(1).select(F.inline(F.array(*post)))
-    ranks = F.create_map(*(x for w in sorted({w for t in found for w in t.distinct}) for x in (F.lit(w), F.lit(order[w]))))
-    vocabulary = strings(sorted({w for t in found for w in t.distinct}))
-    some = strings(sorted({word[r] for h in heads for r in h}))
-    d = docs.select("key", F.explode(F.filter(blocks(stride), lambda x: F.arrays_overlap(x.words, some))).alias("x"))
-    has = F.array_sort(F.transform(F.array_intersect("x.words", vocabulary), lambda w: F.element_at(ranks, w)))
-    d = d.select("key", "x.at", "x.words", has.alias("has"))
-    d = d.select("*", F.posexplode("has").alias("j", "r")).join(F.broadcast(index), "r")  # the index is as large as the templates
+    ranks = F.create_map(*(x for w, n in order.items() for x in (F.lit(w), F.lit(n))))
+    strides = sorted({t.stride for t in found})
+    some = {k: sorted({word[r] for h, t in zip(heads, found, strict=True) if t.stride == k for r in h}) for k in strides}
+    d = docs.select("key", F.explode(F.concat(*(blocks(k, some[k]) for k in strides))).alias("x"))
+    has = F.array_sort(F.transform(F.array_intersect("x.words", strings(list(order))), lambda w: F.element_at(ranks, w)))
+    d = d.select("key", "x.stride", "x.at", "x.words", has.alias("has"))
+    d = d.select("*", F.posexplode("has").alias("j", "r")).join(F.broadcast(index), ["stride", "r"])  # the index is as large as the templates
     n_own, n_has = F.size("own"), F.size("has")
     d = d.where((n_has >= F.col("need")) & (1 + F.least(n_own - 1 - F.col("i"), n_has - 1 - F.col("j")) >= F.col("need")))
     d = d.where(~F.arrays_overlap(F.slice("own", 1, F.col("i")), "has") | (F.col("i") == 0))
     d = d.withColumn("common", F.size(F.array_intersect("own", "has"))).where(F.col("common") >= F.col("need"))
-    own_starts = F.sequence(F.lit(0), F.least(F.lit(stride), F.size("words")) - 1)
+    own_starts = F.sequence(F.lit(0), F.least("stride", F.size("words")) - 1)
     places = F.filter(own_starts, lambda s: F.slice("words", s + 1, F.size("phrase")) == F.col("phrase"))
     places = F.transform(F.when(F.col("base"), places).otherwise(F.array().cast("array<int>")), lambda s: (s + F.col("at")).cast("long"))
     return d.select("key", "at", "label", "base", (F.col("common") / n_own).alias("share"), places.alias("places"))
@@ -135,10 +135,7 @@ def scan(docs: DataFrame, found: list[Template] | None = None, id_col: str = "do
     rows = scratch.save("rows", d.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.array_intersect("words", strings(vocabulary)).alias("seen")))
     held = {r.w: r["count"] for r in rows.select(F.explode("seen").alias("w")).groupBy("w").count().collect()}  # a row for each word of the templates
     order = {w: n for n, w in enumerate(sorted(vocabulary, key=lambda w: (held.get(w, 0), w)))}
-    hits = None
-    for stride in sorted({t.stride for t in found}):
-        m = matches(d.select("key", "words"), [t for t in found if t.stride == stride], order)
-        hits = m if hits is None else hits.union(m)
+    hits = matches(d.select("key", "words"), found, order)
     there = ~F.col("base") | (F.size("places") > 0)
     hits = hits.where(there).groupBy("key", "at", "label", "base").agg(F.max("share").alias("share"), F.max("places").alias("places"))  # equal rows count once
     base = lambda c: F.when(F.col("base"), c)
