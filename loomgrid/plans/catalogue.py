@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgrid.plans import assignments, building, detection, geometry, pointsets, records, storage, texts
+from loomgrid.plans import assignments, building, detection, geometry, pointsets, records, storage, streams, texts
 
-MODULES = (detection, records, geometry, assignments, pointsets, texts, building, storage)
+MODULES = (detection, records, geometry, assignments, pointsets, texts, building, storage, streams)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:

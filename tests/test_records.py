@@ -10,6 +10,7 @@ from loomgrid.operators import compose as C
 from loomgrid.operators import sampling as S
 from loomgrid.sources import stores as Z
 from loomgrid.streaming import registry as R
+from loomgrid.streaming import runs
 
 
 def one(spark, c):
@@ -157,8 +158,7 @@ def test_streams(spark, tmp_path):
     src.mkdir()
     pd.DataFrame({"worker": ["a", "b", "a"], "queue_length": [1, 2, 3], "check_hb": [False] * 3, "ts": [1.0, 2.0, 3.0]}).to_json(src / "1.json", orient="records", lines=True)
     beats = spark.readStream.schema("worker string, queue_length int, check_hb boolean, ts double").json(str(src))
-    q = R.live_workers(beats).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    runs.drain(R.live_workers(beats).writeStream.format("parquet").option("path", str(out)), str(tmp_path / "cp"), clock=True)
     got = {r.worker: (r.queue_length, r.state) for r in spark.read.parquet(str(out)).collect()}
     assert got == {"a": (3, "registered"), "b": (2, "registered")}
     chunks = spark.createDataFrame([('{"text":"a","error_code":0}\0{"text":"ab","error_code":1}\0',)], "value string")
