@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from loomgrid.functions import boxes as B
+from loomgrid.operators.numbering import written
 from loomgrid.session import reachable
 
 
@@ -50,15 +51,70 @@ def squared_distance(dims: list[str], other: str = "c_") -> Column:
     return sum(((F.col(d) - F.col(other + d)) * (F.col(d) - F.col(other + d)) for d in dims), F.lit(0.0))
 
 
-def knn(points: DataFrame, centres: DataFrame, k: int, on: list[str] = ["batch"], dims: list[str] = ["x", "y", "z"], idx: str = "pt_idx", centre_idx: str = "c_idx") -> DataFrame:  # noqa: B006
-    """The ``k`` nearest points of each centre: (on, centre_idx, rank from 0, idx, d2); ties go to the lower index.
+#: Levels of nested cells: the finest are 2**-LEVELS of a batch's extent wide, the coarsest is the whole of it.
+LEVELS = 16
+
+
+def _nested(points: DataFrame, on: list[str], dims: list[str]) -> DataFrame:
+    """(on, _lo_*, _wide): the corner and width of each batch's coarsest cell."""
+    g = points.groupBy(*on).agg(*(F.min(d).alias(f"_lo_{d}") for d in dims), F.greatest(*(F.max(d) - F.min(d) for d in dims), F.lit(0.0)).alias("_w"))
+    return g.withColumn("_wide", F.when(F.col("_w") > 0, F.col("_w") * (1 + 2.0**-20)).otherwise(1.0)).drop("_w")
+
+
+def _fine(x: Column, d: str) -> Column:
+    """Number of the finest cell along a dimension, held within the batch's extent."""
+    n = F.floor((x - F.col(f"_lo_{d}")) / F.col("_wide") * (1 << LEVELS))
+    return F.greatest(F.least(n, F.lit((1 << LEVELS) - 1)), F.lit(0))
+
 
-    ``centres`` carry their coordinates as c_x.... The ranking is limited to ``k`` before the shuffle."""
+def _coarser(cell: Column) -> Column:
+    return F.call_function("shiftright", cell, F.col("_l"))
+
+
+def _at_levels(points: DataFrame, levels: list[int], cells: list[str]) -> DataFrame:
+    d = points.withColumn("_l", F.explode(F.array(*map(F.lit, levels))))
+    return d.withColumns({c: _coarser(F.col(c)) for c in cells})
+
+
+def knn(points: DataFrame, centres: DataFrame, k: int, on: list[str] = ["batch"], dims: list[str] = ["x", "y", "z"], idx: str = "pt_idx", centre_idx: str = "c_idx") -> DataFrame:  # noqa: B006
+    """The ``k`` nearest points of each centre: (on, centre_idx, rank from 0, idx, d2); ties go to the lower index. ``centres`` carry
+    their coordinates as c_x....
+
+    Points lie in nested cells. A centre first meets the points of the smallest of its cells that holds ``k``: the k-th of them bounds how far the
+    nearest can be. Then it meets those of the two or three cells a dimension, about as wide as that bound, which the ball around it
+    touches; nothing outside can be nearer, so the result is exact, and no centre meets all points unless they are all about as near.
+    Of points at one place only the ``k`` of lowest index can count. Points without a coordinate are nobody's neighbours and
+    centres without one have none."""
     if not 0 < k < 100:
         raise ValueError("k must be within 1 to 99")
-    j = centres.join(points, on).withColumn("d2", squared_distance(dims))
-    w = Window.partitionBy(*on, centre_idx).orderBy("d2", idx)
-    return j.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select(*on, centre_idx, "rank", idx, "d2")
+    whole = lambda d, names: d.where(F.greatest(*(F.isnan(F.coalesce(F.col(n).cast("double"), F.lit(float("nan")))) for n in names)) == F.lit(False))
+    cells, key = [f"_c{i}" for i in range(len(dims))], [*on, centre_idx]
+    places = Window.partitionBy(*on, *dims).orderBy(idx)
+    p = whole(points.select(*on, idx, *dims), dims).withColumn("_r", F.row_number().over(places)).where(F.col("_r") <= k).drop("_r")
+    box = _nested(p, on, dims)
+    p = p.join(box, on).withColumns({c: _fine(F.col(d), d) for c, d in zip(cells, dims, strict=True)}).select(*on, idx, *dims, *cells)
+    c = whole(centres.select(*key, *(f"c_{d}" for d in dims)), [f"c_{d}" for d in dims]).join(box, on)
+    own = c.withColumns({x: _fine(F.col(f"c_{d}"), d) for x, d in zip(cells, dims, strict=True)})
+    every = list(range(LEVELS + 1))
+    full = _at_levels(p.groupBy(*on, *cells).agg(F.count("*").alias("_m")), every, cells).groupBy(*on, "_l", *cells).agg(F.sum("_m").alias("_m")).where(F.col("_m") >= k)
+    first = _at_levels(own.select(*key, *cells), every, cells).join(full, [*on, "_l", *cells]).groupBy(*key).agg(F.min("_l").alias("_l"))
+    own = own.join(first, key, "left").withColumn("_l", F.coalesce("_l", F.lit(LEVELS)))
+    own = written(own.withColumns({x: _coarser(F.col(x)) for x in cells}), "knn")
+
+    def nearest(asking: DataFrame) -> DataFrame:
+        used = sorted(r[0] for r in asking.select("_l").distinct().collect())  # LEVELS + 1 at most
+        near = asking.join(_at_levels(p, used or [0], cells), [*on, "_l", *cells]).withColumn("d2", squared_distance(dims))
+        w = Window.partitionBy(*key).orderBy("d2", idx)
+        return near.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select(*key, "rank", idx, "d2")
+
+    reach = nearest(own).groupBy(*key).agg(F.sqrt(F.max("d2")).alias("_reach"))
+    c = c.join(reach, key).withColumn("_reach", F.col("_reach") * (1 + 1e-9) + F.col("_wide") * 1e-12)
+    level = F.ceil(F.log2(F.col("_reach") / F.col("_wide") * (1 << LEVELS)))
+    c = c.withColumn("_l", F.greatest(F.least(level, F.lit(LEVELS)), F.lit(0)).cast("int"))
+    for x, d in zip(cells, dims, strict=True):
+        lo, hi = (_coarser(_fine(F.col(f"c_{d}") + sign * F.col("_reach"), d)) for sign in (-1, 1))
+        c = c.withColumn(x, F.explode(F.sequence(lo, hi)))
+    return nearest(written(c, "knn"))
 
 
 def three_nn(points: DataFrame, centres: DataFrame, **kw) -> DataFrame:
@@ -122,8 +178,17 @@ def in_box3d(cx="bx", cy="by", cz="bz", dx="dx", dy="dy", dz="dz", rz="rz", x="x
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, on: list[str] = ["batch"], idx: str = "pt_idx", box_idx: str = "box_idx") -> DataFrame:  # noqa: B006
-    """Pairs (on, idx, box_idx) of points inside boxes."""
-    return points.join(boxes, on).where(in_box3d()).select(*on, idx, box_idx)
+    """Pairs (on, idx, box_idx) of points inside boxes. They meet in cells of the ground plane; a box lies in cells about as wide as itself, of a
+    size that is a power of two, so it touches few of them, and points meet boxes of each size that there is."""
+    reach = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / 2
+    size = F.ceil(F.log2(F.when(reach > 0, reach * (1 + 1e-9)).otherwise(1e-9))).cast("int")
+    b = boxes.withColumn("_reach", reach).withColumn("_size", size).where("_size is not null")
+    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("_size")))
+    for c, x in (("_cx", "bx"), ("_cy", "by")):
+        b = b.withColumn(c, F.explode(F.sequence(cell(F.col(x) - F.col("_reach")), cell(F.col(x) + F.col("_reach")))))
+    sizes = b.select(*on, "_size").distinct()
+    p = points.join(sizes, on).withColumns({"_cx": cell(F.col("x")), "_cy": cell(F.col("y"))})
+    return p.join(b, [*on, "_size", "_cx", "_cy"]).where(in_box3d()).select(*on, idx, box_idx)
 
 
 def first_box_of_points(points: DataFrame, boxes: DataFrame, on: list[str] = ["batch"], idx: str = "pt_idx", box_idx: str = "box_idx") -> DataFrame:  # noqa: B006

@@ -188,3 +188,45 @@ def test_as_of(spark):
     right = spark.createDataFrame([("a", 5, 10), ("a", 3, 11), ("b", 10, 12)], "k string, rt int, v int")
     got = {r.id: r.right.v if r.right else None for r in P.as_of_join(left, right, ["k"], "t", "rt").collect()}
     assert got == {1: 10, 2: None, 3: None}
+
+
+def test_nearest_neighbours_in_cells(spark):
+    """Clusters, far outliers, many points at one place, ties, nulls and small batches, against all distances."""
+    import random
+
+    rng = random.Random(5)
+    pts = [(0, rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(150)] + [(0, 1e6, -1e6, 3.0), (0, 1e6, -1e6, 4.0)] + [(0, 0.5, 0.5, 0.5)] * 40
+    pts += [(0, rng.gauss(5, 1e-4), 5.0, 5.0) for _ in range(60)] + [(1, 1.0, 1.0, 1.0), (1, 2.0, 1.0, 1.0)] + [(2, float(x), float(y), 0.0) for x in range(6) for y in range(6)]
+    rows = [(b, i, x, y, z) for i, (b, x, y, z) in enumerate(pts)]
+    p = spark.createDataFrame([*rows, (0, 999, None, 0.0, 0.0), (0, 998, float("nan"), 0.0, 0.0)], "batch int, pt_idx bigint, x double, y double, z double")
+    asks = [(b, n, x, y, z) for n, (b, _, x, y, z) in enumerate(rows[::3] + [(0, 0, -3e6, 0.0, 0.0), (0, 0, 2.0, 2.0, 2.0), (1, 0, 0.0, 0.0, 9.0), (2, 0, 2.5, 2.5, 0.0)])]
+    c = spark.createDataFrame([*asks, (0, 999, None, 0.0, 0.0)], "batch int, c_idx bigint, c_x double, c_y double, c_z double")
+    got = {}
+    for r in P.knn(p, c, 7).collect():
+        got.setdefault((r.batch, r.c_idx), []).append((r["rank"], r.pt_idx, r.d2))
+    want = {}
+    for b, n, *at in asks:
+        d = sorted((sum((u - v) * (u - v) for u, v in zip(r[2:], at, strict=True)), r[1]) for r in rows if r[0] == b)[:7]
+        want[b, n] = [(k, i, v) for k, (v, i) in enumerate(d)]
+    assert {k: [x[:2] for x in sorted(v)] for k, v in got.items()} == {k: [x[:2] for x in v] for k, v in want.items()}
+    assert P.knn(p.where("false"), c, 3).count() == 0
+
+
+def test_points_in_boxes_of_all_sizes(spark):
+    import math
+    import random
+
+    rng = random.Random(6)
+    pts = [(0, i, rng.uniform(-5, 5), rng.uniform(-5, 5), rng.uniform(0, 1)) for i in range(300)]
+    boxes = [(0, k, rng.uniform(-5, 5), rng.uniform(-5, 5), 0.0, 10.0 ** rng.uniform(-1, 1.2), 10.0 ** rng.uniform(-1, 1.2), 1.0, rng.uniform(-3, 3)) for k in range(30)] + [(0, 30, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)]
+    p = spark.createDataFrame(pts, "batch int, pt_idx bigint, x double, y double, z double")
+    b = spark.createDataFrame(boxes, "batch int, box_idx bigint, bx double, by double, bz double, dx double, dy double, dz double, rz double")
+    want = set()
+    for _, i, x, y, z in pts:
+        for _, k, bx, by, bz, dx, dy, dz, rz in boxes:
+            c, s = math.cos(-rz), math.sin(-rz)
+            lx, ly = (x - bx) * c - (y - by) * s, (x - bx) * s + (y - by) * c
+            if abs(z - bz - dz / 2) <= dz / 2 and abs(lx) < dx / 2 and abs(ly) < dy / 2:
+                want.add((0, i, k))
+    got = [tuple(r) for r in P.points_in_boxes(p, b).collect()]
+    assert set(got) == want and len(got) == len(want)
