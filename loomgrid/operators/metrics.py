@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import boxes as B
+from loomgrid.operators.numbering import carried, numbered, ranges
 from loomgrid.operators.spatial import best_match
 from loomgrid.session import reachable
 
@@ -98,30 +99,23 @@ def gt_counts(gt: DataFrame, area: tuple[float, float] | None = None, extra: flo
     return gt.groupBy("class_id").agg(F.count(F.when(~F.col("is_ignore") & inside, 1)).alias("num_gts"))
 
 
-#: Score ranges of a class that are ranked apart: no class is sorted whole in one task. Scores outside [0, 1) are ranked in the outer ones.
-SLOTS = 4096
-
-
 def precision_recall(tpfp: DataFrame, counts: DataFrame, by: tuple[str, ...] = ("class_id",)) -> DataFrame:
-    """Running precision and recall along falling score, position ``pos``. A class is dealt out by ranges of its scores (``slot``); a range's
-    running sums start from the totals of the ranges above it, a small table."""
-    t = tpfp.withColumn("slot", F.least(F.greatest(F.floor(F.col("score") * SLOTS), F.lit(0)), F.lit(SLOTS - 1)))
-    above = Window.partitionBy(*by).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = t.groupBy(*by, "slot").agg(F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"), F.count("*").alias("_n"))
-    sums = sums.select(*by, "slot", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("_tp", "_fp", "_n")))
-    sums = sums.join(counts, list(by), "left")
-    w = Window.partitionBy(*by, "slot").orderBy(F.desc("score"), "image_id", "det_idx")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = t.join(sums, [*by, "slot"])
-    t = t.withColumn("ctp", F.col("_tp") + F.sum("tp").over(run)).withColumn("cfp", F.col("_fp") + F.sum("fp").over(run)).withColumn("pos", F.col("_n") + F.row_number().over(w))
+    """Running precision and recall along falling score, position ``pos``. Classes are dealt out by ranges of (class, score) whose ends are
+    sampled, so crowded scores spread evenly and no class is sorted in one task; a range's running sums (``slot`` is its number, scores fall as it
+    rises) start from the totals of its class in the ranges before."""
+    t = ranges(tpfp, [*by, F.desc("score"), "image_id", "det_idx"])
+    t = carried(t, by, _tp=("sum", "tp"), _fp=("sum", "fp")).withColumnRenamed("_p", "slot")
+    t = t.join(counts, list(by), "left")
+    run = Window.partitionBy(*by, "slot").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("ctp", F.coalesce("_tp", F.lit(0)) + F.sum("tp").over(run)).withColumn("cfp", F.coalesce("_fp", F.lit(0)) + F.sum("fp").over(run)).withColumn("pos", F.col("_row") + 1)
     n = F.greatest(F.coalesce("num_gts", F.lit(0)).cast("double"), F.lit(EPS32))
-    t = t.withColumn("recall", F.col("ctp") / n).withColumn("before", (F.col("ctp") - F.col("tp")) / n).drop("_tp", "_fp", "_n")
+    t = t.withColumn("recall", F.col("ctp") / n).withColumn("before", (F.col("ctp") - F.col("tp")) / n).drop("_tp", "_fp", "_row", "_rows", "_i")
     return t.withColumn("precision", F.col("ctp") / F.greatest((F.col("ctp") + F.col("cfp")).cast("double"), F.lit(EPS32)))
 
 
 def envelope(pr: DataFrame, by: tuple[str, ...] = ("class_id",)) -> DataFrame:
     """Adds ``env``, the highest precision at this or a lower score: a running maximum from the lowest score up, range by range."""
-    below = Window.partitionBy(*by).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*by).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
     best = pr.groupBy(*by, "slot").agg(F.max("precision").alias("_best")).select(*by, "slot", F.coalesce(F.max("_best").over(below), F.lit(0.0)).alias("_after"))
     run = Window.partitionBy(*by, "slot").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
     return pr.join(best, [*by, "slot"]).withColumn("env", F.greatest(F.max("precision").over(run), F.col("_after"))).drop("_after")
@@ -357,19 +351,37 @@ def topk_accuracy(scores: DataFrame, row: str, cls: str, score: str, target: str
     return r.agg((F.avg("hit") * 100).alias("accuracy"))
 
 
+#: Least rows of a stretch in which windows of a bounded length are computed apart.
+STRETCH = 1 << 16
+
+
 def weighted_log_average(logs: DataFrame, by: list[str], order: str, value: str, count: str, n: int = 0) -> DataFrame:
-    """Weighted mean of the last ``n`` entries at each entry; 0 means all so far."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding if n == 0 else 1 - n, 0)
-    return logs.withColumn("avg", F.sum(F.col(value) * F.col(count)).over(w) / F.sum(count).over(w))
+    """Weighted mean of the last ``n`` entries at each entry; 0 means all so far. A group goes by ranges of its order: sums carry over, and a
+    bounded window sees the ends of the stretch before."""
+    t = ranges(logs, [*by, order])
+    vc, own = F.col(value) * F.col(count), logs.columns
+    if n == 0:
+        t = carried(t, by, _sum=("sum", vc), _of=("sum", count))
+        w = Window.partitionBy("_p", *by).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+        so_far = lambda c, x: F.coalesce(c, F.lit(0)) + F.sum(x).over(w)
+        return t.withColumn("avg", so_far("_sum", vc) / so_far("_of", count)).select(*own, "avg")
+    size = max(STRETCH, n)
+    at, last = F.col("_row") % size, F.floor(F.col("_row") / size)
+    halo = F.when(at > size - n, F.array(last, last + 1)).otherwise(F.array(last))
+    t = carried(t, by).withColumn("_s", F.explode(halo))
+    w = Window.partitionBy("_s", *by).orderBy("_row").rowsBetween(1 - n, 0)
+    return t.withColumn("avg", F.sum(vc).over(w) / F.sum(count).over(w)).where(last == F.col("_s")).select(*own, "avg")
 
 
 def best_so_far(logs: DataFrame, by: list[str], order: str, value: str, rule: str = "greater") -> DataFrame:
     """``best`` and whether this entry improves on all before."""
-    w = Window.partitionBy(*by).orderBy(order)
-    agg = F.max if rule == "greater" else F.min
-    before = agg(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    better = before.isNull() | ((F.col(value) > before) if rule == "greater" else (F.col(value) < before))
-    return logs.withColumn("best", agg(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("improved", better)
+    kind = "max" if rule == "greater" else "min"
+    t = carried(ranges(logs, [*by, order]), by, _e=(kind, value))
+    run, two = Window.partitionBy("_p", *by).orderBy("_i"), F.greatest if rule == "greater" else F.least
+    before = two(F.col("_e"), getattr(F, kind)(value).over(run.rowsBetween(Window.unboundedPreceding, -1)))
+    t = t.withColumn("_b", before)
+    better = F.col("_b").isNull() | ((F.col(value) > F.col("_b")) if rule == "greater" else (F.col(value) < F.col("_b")))
+    return t.withColumn("best", two("_b", value)).withColumn("improved", better).select(*logs.columns, "best", "improved")
 
 
 def ema(values: Column, momentum: float = 0.0002, start: float | None = None) -> Column:
@@ -378,9 +390,20 @@ def ema(values: Column, momentum: float = 0.0002, start: float | None = None) ->
     return F.aggregate(values, first.cast("double"), lambda s, v: s * (1 - momentum) + v * momentum)
 
 
+def ema_of(df: DataFrame, by: list[str], order: str, value: str, momentum: float = 0.0002, name: str = "mean") -> DataFrame:
+    """(by, name): each group's exponential mean from its first value on. Row i of n has a weight that its number alone gives, so the mean
+    is a sum, and no group's values are gathered."""
+    d = numbered(df.select(*by, order, value), order, name="_at", total="_of", by=by)
+    age = (F.col("_of") - 1 - F.col("_at")).cast("double")
+    weight = F.pow(F.lit(1.0 - momentum), age) * F.when(F.col("_at") == 0, 1.0).otherwise(momentum)
+    return d.groupBy(*by).agg(F.sum(weight * F.col(value)).alias(name))
+
+
 def running_extreme(df: DataFrame, by: list[str], order: str, value: str, kind: str = "max") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(f"cum{kind}", (F.max if kind == "max" else F.min)(value).over(w))
+    t = carried(ranges(df, [*by, order]), by, _e=(kind, value))
+    w = Window.partitionBy("_p", *by).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    both = (F.greatest if kind == "max" else F.least)(F.col("_e"), getattr(F, kind)(value).over(w))
+    return t.withColumn(f"cum{kind}", both).select(*df.columns, f"cum{kind}")
 
 
 def reduce_ranks(parts: DataFrame, key: str, value: str, how: str = "sum", ranks: int | None = None) -> DataFrame:

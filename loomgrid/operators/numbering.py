@@ -47,13 +47,13 @@ def carried(t: DataFrame, by: Sequence[str], **totals: tuple[str, Column | str])
     """``t``, as ``ranges`` gives it in an order that starts with ``by``, with the row's number in its group (``_row``, from 0), the group's size
     (``_rows``), and for each name the ("sum", "min" or "max", of what) over the group's rows in earlier ranges, null if there are none."""
     parts = [getattr(F, kind)(what).alias(f"_t_{k}") for k, (kind, what) in totals.items()]
-    c = t.groupBy("_p", *by).agg(F.count("*").alias("_c"), F.min("_i").alias("_f"), *parts)
+    c = t.groupBy("_p", *by).agg(F.count("*").alias("_before_c"), F.min("_i").alias("_first_i"), *parts)
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     up = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges that hold the group
     earlier = [getattr(F, kind)(f"_t_{k}").over(up).alias(k) for k, (kind, _) in totals.items()]
-    c = c.select("_p", *by, "_f", F.coalesce(F.sum("_c").over(up), F.lit(0)).alias("_c"), F.sum("_c").over(group).alias("_rows"), *earlier)
+    c = c.select("_p", *by, "_first_i", F.coalesce(F.sum("_before_c").over(up), F.lit(0)).alias("_before_c"), F.sum("_before_c").over(group).alias("_rows"), *earlier)
     d = same(t, c, ["_p", *by]) if by else t.join(F.broadcast(c), "_p")  # without groups: a row for each range
-    return d.withColumn("_row", F.col("_c") + F.col("_i") - F.col("_f")).drop("_c", "_f")
+    return d.withColumn("_row", F.col("_before_c") + F.col("_i") - F.col("_first_i")).drop("_before_c", "_first_i")
 
 
 def numbered(df: DataFrame, key: str, order: Column | None = None, name: str = "n", total: str | None = None, value: str | None = None, before: str = "before", by: Sequence[str] = ()) -> DataFrame:

@@ -25,7 +25,7 @@ def aspect_flag(df: DataFrame, w: str = "width", h: str = "height") -> DataFrame
 def grouped_batches(df: DataFrame, group: str, size: int, key: str, order: Column | None = None, batch_order: Column | None = None, seed: int = 0) -> DataFrame:
     """Full batches of rows of one group: shuffled inside, the rest dropped, batches shuffled (``batch_rank`` is their order; ``slot`` the place)."""
     o = hash_order(key, seed=seed) if order is None else order
-    d = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(o, key)) - 1)
+    d = numbered(df, key, o, "_r", by=[group])
     d = d.withColumn("batch", F.floor(F.col("_r") / size)).withColumn("slot", (F.col("_r") % size).cast("int"))
     full = F.count("*").over(Window.partitionBy(group, "batch")) == size
     d = d.withColumn("_full", full).where("_full").drop("_full", "_r")
@@ -38,8 +38,7 @@ def grouped_batches(df: DataFrame, group: str, size: int, key: str, order: Colum
 def padded_group_batches(df: DataFrame, group: str, size: int, key: str, order: Column | None = None, seed: int = 0) -> DataFrame:
     """As grouped_batches, but each group is filled up to whole batches with its own rows again (from its start, cycling)."""
     o = hash_order(key, seed=seed) if order is None else order
-    w = Window.partitionBy(group)
-    d = df.withColumn("_r", F.row_number().over(w.orderBy(o, key)) - 1).withColumn("_n", F.count("*").over(w))
+    d = numbered(df, key, o, "_r", "_n", by=[group])
     total = F.ceil(F.col("_n") / size) * size
     # row r of n fills the places r, r+n, r+2n, ... below the total
     d = d.withColumn("pos", F.explode(F.sequence(F.col("_r"), (total - 1).cast("long"), F.col("_n"))))
@@ -79,8 +78,7 @@ def epochs(df: DataFrame, n: int) -> DataFrame:
 
 def refill(good: DataFrame, group: str, want: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Exactly ``want`` (group, n) rows of each group from the rows that did not fail, repeating them in hash order if need be."""
-    w = Window.partitionBy(group)
-    d = good.withColumn("_r", F.row_number().over(w.orderBy(hash_order(key, seed=seed), key)) - 1).withColumn("_n", F.count("*").over(w)).join(want.withColumnRenamed("n", "_want"), group)
+    d = numbered(good, key, hash_order(key, seed=seed), "_r", "_n", by=[group]).join(want.withColumnRenamed("n", "_want"), group)
     d = d.where(F.col("_r") < F.col("_want"))
     return d.withColumn("pos", F.explode(F.sequence(F.col("_r"), F.col("_want") - 1, F.col("_n")))).drop("_r", "_n", "_want")
 

@@ -75,18 +75,25 @@ def points_in_turned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.points_in_boxes(X.points(spark, sf_dir), b)
 
 
-@query(f"WITH {PTS} SELECT a.c_idx, b.c_idx AS o_idx, round((a.c_x - b.c_x) * (a.c_x - b.c_x) + (a.c_y - b.c_y) * (a.c_y - b.c_y) + (a.c_z - b.c_z) * (a.c_z - b.c_z), 6) + 0.0 AS d2 FROM ctr a JOIN ctr b ON a.batch = b.batch")
+@query("WITH q AS (SELECT label AS batch, vec_id AS c_idx, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings WHERE vec_id % 100 = 0) SELECT c_idx, vec_id AS o_idx, round((q.a - embedding[1]::DOUBLE) * (q.a - embedding[1]::DOUBLE) + (q.b - embedding[2]::DOUBLE) * (q.b - embedding[2]::DOUBLE) + (q.c - embedding[3]::DOUBLE) * (q.c - embedding[3]::DOUBLE), 6) + 0.0 AS d2 FROM q JOIN embeddings e ON q.batch = e.label")
 def squared_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MA37: all pairs of centres of a batch."""
-    c = X.centres(spark, sf_dir)
-    o = c.select("batch", F.col("c_idx").alias("o_idx"), *(F.col(f"c_{a}").alias(a) for a in "xyz"))
-    return c.join(o, "batch").select("c_idx", "o_idx", (F.round(P.squared_distance(["x", "y", "z"]), 6) + 0.0).alias("d2"))
+    """MA37: the rows of the distance matrix of every hundredth point, against all points of its batch."""
+    o = X.points(spark, sf_dir).withColumnRenamed("pt_idx", "o_idx")
+    return X.centres(spark, sf_dir, 100).join(o, "batch").select("c_idx", "o_idx", (F.round(P.squared_distance(["x", "y", "z"]), 6) + 0.0).alias("d2"))
 
 
-@query(f"WITH RECURSIVE {PTS}, src AS (SELECT batch, c_idx AS pt_idx, c_x AS x, c_y AS y, c_z AS z FROM ctr), {fps_sql(4)} SELECT batch, CAST(step AS INT) AS step, pt_idx FROM f")
+#: Clouds of 32 points each, for samplers whose input is a distance matrix.
+CLOUDS = "src AS (SELECT pt_idx // 32 AS batch, pt_idx, x, y, z FROM pts)"
+
+
+def _clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.points(spark, sf_dir).withColumn("batch", F.expr("pt_idx div 32"))
+
+
+@query(f"WITH RECURSIVE {PTS}, {CLOUDS}, {fps_sql(4)} SELECT batch, CAST(step AS INT) AS step, pt_idx FROM f")
 def furthest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WI19, WI20: four steps over the centres, by coordinates and by distance rows, which must agree."""
-    c = X.centres(spark, sf_dir).select("batch", F.col("c_idx").alias("pt_idx"), *(F.col(f"c_{a}").alias(a) for a in "xyz"))
+    """WI19, WI20: four steps in every cloud, by coordinates and by rows of its distance matrix, which must agree."""
+    c = _clouds(spark, sf_dir)
     one = V.furthest_points(c, 4)
     a, b = (c.select("batch", F.col("pt_idx").alias(n), *(F.col(d).alias(n + d) for d in "xyz")) for n in "ij")
     dist = sum(((F.col("i" + d) - F.col("j" + d)) * (F.col("i" + d) - F.col("j" + d)) for d in "xyz"), F.lit(0.0))
@@ -94,10 +101,10 @@ def furthest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(two, ["batch", "step", "pt_idx"])
 
 
-@query(f"WITH RECURSIVE {PTS}, src AS (SELECT batch, c_idx AS pt_idx, c_x AS x, c_y AS y, c_z AS z FROM ctr), {fps_sql(3)} SELECT batch, CAST(step AS INT) AS step, pt_idx, mode FROM f, (VALUES ('D-FPS'), ('FS'), ('FS')) m(mode)")
+@query(f"WITH RECURSIVE {PTS}, {CLOUDS}, {fps_sql(3)} SELECT batch, CAST(step AS INT) AS step, pt_idx, mode FROM f, (VALUES ('D-FPS'), ('FS'), ('FS')) m(mode)")
 def sampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WI21: by position, and by feature and position together (features here are the coordinates)."""
-    c = X.centres(spark, sf_dir).select("batch", F.col("c_idx").alias("pt_idx"), *(F.col(f"c_{a}").alias(a) for a in "xyz"))
+    c = _clouds(spark, sf_dir)
     return V.sample_points(c, [3], ["D-FPS"], [-1]).unionByName(V.sample_points(c, [3], ["FS"], [-1]))
 
 
@@ -213,9 +220,9 @@ def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH RECURSIVE r AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events), m AS (SELECT event_type, n, value::DOUBLE AS s FROM r WHERE n = 1 UNION ALL SELECT m.event_type, r.n, m.s * 0.9 + r.value * 0.1 FROM m JOIN r ON m.event_type = r.event_type AND r.n = m.n + 1) SELECT event_type, round(arg_max(s, n), 6) AS mean FROM m GROUP BY event_type")
 def exponential_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG42: a fold over each type's ordered values."""
-    e = X.table(spark, sf_dir, "events").groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"].cast("double")).alias("v"))
-    return e.select("event_type", F.round(M.ema(F.col("v"), 0.1), 6).alias("mean"))
+    """AG42: each type's values in order."""
+    e = M.ema_of(X.table(spark, sf_dir, "events"), ["event_type"], "event_id", "value", 0.1)
+    return e.select("event_type", F.round("mean", 6).alias("mean"))
 
 
 @query("SELECT event_id, max(value) OVER w AS cummax, min(value) OVER w AS cummin FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")

@@ -147,10 +147,10 @@ def instruction_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", F.size("turns").cast("long").alias("n"), F.array_join("said", "|").alias("said"))
 
 
-@query("SELECT doc_id, substr(text, 1, 5) || '<p>' || substr(text, 6, 7) || '</p><roi><ground_box><ground_box></roi>' || substr(text, 13, 8) || '<p>' || substr(text, 21, 10) || '</p><roi><ground_box></roi>' || substr(text, 31) AS caption FROM documents WHERE length(text) >= 31")
+@query("SELECT doc_id, substr(text, 1, 5) || '<p>' || substr(text, 6, 7) || '</p><roi><ground_box><ground_box></roi>' || substr(text, 13, 8) || '<p>' || substr(text, 21, 10) || '</p><roi><ground_box></roi>' || substr(text, 31) AS caption FROM documents")
 def grounded_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
-    d = X.table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") >= 31)
+    d = X.table(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select("doc_id", T.grounded_caption(F.col("text"), F.array(span(20, 30), span(5, 12), span(5, 12))).alias("caption"))
 
 
