@@ -231,10 +231,12 @@ def split_by_lengths(flat: Column, lengths: Column) -> Column:
 
 
 def run_lengths(bits: Column) -> Column:
-    """Column-major run lengths of a 0/1 array, zeros first."""
-    zero = F.struct(F.lit(0).alias("v"), F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("a"))
-    step = lambda s, x: F.when(x == s["v"], F.struct(s["v"].alias("v"), (s["n"] + 1).alias("n"), s["a"].alias("a"))).otherwise(F.struct(x.cast("int").alias("v"), F.lit(1).alias("n"), F.concat(s["a"], F.array(s["n"])).alias("a")))
-    return F.aggregate(bits, zero, step, lambda s: F.concat(s["a"], F.array(s["n"])))
+    """Column-major run lengths of a 0/1 array, zeros first: distances between the places where the value changes, in one pass."""
+    n = F.size(bits)
+    before = lambda x, k: F.concat(F.array(F.lit(0)), F.slice(x, 1, k - 1))
+    turns = F.filter(F.zip_with(bits, before(bits, F.greatest(n, F.lit(1))), lambda x, p: x != p), lambda t: t.isNotNull())
+    ends = F.concat(F.filter(F.transform(turns, lambda t, i: F.when(t, i).otherwise(-1)), lambda i: i >= 0), F.array(n))
+    return F.zip_with(ends, before(ends, F.size(ends)), lambda e, p: e - p)
 
 
 def from_run_lengths(runs: Column) -> Column:

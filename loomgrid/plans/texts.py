@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.functions import masks as K
 from loomgrid.functions import text as T
 from loomgrid.plans import fixtures as X
 from loomgrid.plans.families import Queries
+from loomgrid.session import reachable
 
 query = Queries()
 table = X.table
@@ -132,6 +134,39 @@ def mask_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderkey", _joined(F.col("runs")).alias("runs"), (T.from_run_lengths(F.col("runs")) == F.col("bits")).alias("back"))
 
 
+#: Masks of 8 by 8 pixels from order and part numbers: a pixel is set by a bit of a product.
+MASK = "CAST(((({k} + 1) * (i + 3)) // 7) % {m} = 0 AS INT)"
+PIXELS = f"b AS (SELECT o_orderkey, i, {MASK.format(k='o_orderkey', m=2)} AS a, {MASK.format(k='o_custkey', m=3)} AS b FROM orders, range(0, 64) t(i))"
+RUNS = "SELECT o_orderkey, list(n ORDER BY run) AS runs FROM (SELECT o_orderkey, run, count(*) AS n FROM (SELECT o_orderkey, i, sum(CASE WHEN {v} = p THEN 0 ELSE 1 END) OVER (PARTITION BY o_orderkey ORDER BY i) AS run FROM (SELECT *, coalesce(lag({v}) OVER (PARTITION BY o_orderkey ORDER BY i), 0) AS p FROM b)) GROUP BY ALL) GROUP BY o_orderkey"
+
+
+def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
+    bits = lambda k, m: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.floor((F.col(k) + 1) * (i + 3) / 7) % m == 0).cast("int"))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", bits("o_orderkey", 2).alias("a"), bits("o_custkey", 3).alias("b"))
+    return d.select("*", T.run_lengths(F.col("a")).alias("ra"), T.run_lengths(F.col("b")).alias("rb"))
+
+
+@query(f"""WITH {PIXELS}, r AS ({RUNS.format(v='a')}), z AS (SELECT o_orderkey, CASE WHEN (SELECT a FROM b WHERE b.o_orderkey = r.o_orderkey AND i = 0) = 1 THEN list_prepend(0, runs) ELSE runs END AS runs FROM r),
+e AS (SELECT o_orderkey, runs, unnest(range(1, len(runs) + 1)) AS k FROM z), f AS (SELECT o_orderkey, k, runs[k] - CASE WHEN k > 3 THEN runs[k - 2] ELSE 0 END AS d FROM e),
+c AS (SELECT o_orderkey, k, unnest(range(0, 3)) AS j, d FROM f), g AS (SELECT o_orderkey, k, j, (d >> (5 * j)) & 31 AS low, d >> (5 * (j + 1)) AS rest FROM c), m AS (SELECT *, CASE WHEN low & 16 > 0 THEN rest <> -1 ELSE rest <> 0 END AS more FROM g),
+u AS (SELECT *, coalesce(bool_and(more) OVER (PARTITION BY o_orderkey, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS used FROM m)
+SELECT o_orderkey, string_agg(chr(CAST(48 + low + CASE WHEN more THEN 32 ELSE 0 END AS INT)), '' ORDER BY k, j) AS code, true AS back FROM u WHERE used GROUP BY o_orderkey""")
+def compact_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST27: run counts as compact text, and back."""
+    d = _masks(spark, sf_dir).select("o_orderkey", "ra", K.compact("ra").alias("code"))
+    return d.select("o_orderkey", "code", (K.expand("code") == F.col("ra").cast("array<bigint>")).alias("back"))
+
+
+@query(f"""WITH {PIXELS}, s AS (SELECT o_orderkey, sum(a) AS area, sum(a * b) AS inter, sum(b) AS other, coalesce(min(CASE WHEN a = 1 THEN i // 8 END), 0) AS x, coalesce(min(CASE WHEN a = 1 THEN i % 8 END), 0) AS y, coalesce(max(CASE WHEN a = 1 THEN i // 8 END) + 1, 0) AS x2, coalesce(max(CASE WHEN a = 1 THEN i % 8 END) + 1, 0) AS y2 FROM b GROUP BY o_orderkey)
+SELECT o_orderkey, CAST(area AS BIGINT) AS area, x, y, x2 - x AS w, y2 - y AS h, CAST(inter AS BIGINT) AS inter, round(coalesce(inter / nullif(area + other - inter, 0), 0), 9) AS iou, round(coalesce(inter / nullif(area, 0), 0), 9) AS crowd_iou FROM s""")
+def mask_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas, boxes and overlaps of masks from their runs alone."""
+    d = _masks(spark, sf_dir).select("o_orderkey", K.measure("ra", F.lit(8)).alias("m"), K.overlap("ra", "rb", F.lit(False)).alias("o"), K.overlap("ra", "rb", F.lit(True)).alias("c"))
+    return d.select("o_orderkey", "m.*", "o.inter", F.round("o.iou", 9).alias("iou"), F.round("c.iou", 9).alias("crowd_iou"))
+
+
+
 @query("SELECT o_orderkey, o_orderkey || ';' || (o_orderkey + 1) || ',' || (o_orderkey + 2) AS parts, 1 AS polygons, (o_orderkey + 2) || ',' || o_orderkey AS gathered FROM orders")
 def split_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST28, PR7, and boxes gathered by positions."""

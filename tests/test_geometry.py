@@ -230,3 +230,24 @@ def test_points_in_boxes_of_all_sizes(spark):
                 want.add((0, i, k))
     got = [tuple(r) for r in P.points_in_boxes(p, b).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_rotated_overlaps_of_a_batch():
+    rng = np.random.default_rng(2)
+    a = np.column_stack([rng.uniform(0, 10, (500, 2)), rng.uniform(0.5, 8, (500, 2)), rng.uniform(-4, 4, 500)])
+    b = np.column_stack([rng.uniform(0, 10, (500, 2)), rng.uniform(0.5, 8, (500, 2)), rng.uniform(-4, 4, 500)])
+    a[:20], b[:20] = b[:20], b[:20]  # equal boxes
+    a[20:40, 4], b[20:40, 4] = 0.0, np.pi / 2  # right angles
+    a[40], b[40] = [0, 0, 2, 2, 0], [2, 0, 2, 2, 0]  # sides touch
+    a[41], b[41] = [0, 0, 4, 4, 0.3], [0, 0, 1, 1, 1.0]  # one inside the other
+    a[42], b[42] = [0, 0, 0, 0, 0], [0, 0, 1, 1, 0]
+    want = [P.polygon_iou(P.rotated_corners(*x), P.rotated_corners(*y)) for x, y in zip(a, b, strict=True)]
+    assert np.allclose(P.rotated_ious(a, b), want, atol=1e-9)
+
+
+def test_rotated_overlap_in_cells(spark):
+    rng = np.random.default_rng(3)
+    one = lambda n: [(0, i, [float(v) for v in (*rng.uniform(-20, 20, 2), *rng.uniform(0.5, 15, 2), rng.uniform(-3, 3))]) for i in range(n)]
+    a, b = spark.createDataFrame(one(60), "image_id int, i int, rbox array<double>"), spark.createDataFrame(one(60), "image_id int, j int, rbox_b array<double>")
+    whole, cells = (sorted((r.i, r.j, round(r.iou, 9)) for r in P.rotated_overlap_join(a, b, ["image_id"], least=1e-6, cell=c).collect()) for c in (None, 6.0))
+    assert whole == cells and len(whole) > 50
