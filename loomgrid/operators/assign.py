@@ -238,7 +238,14 @@ def dice_cost(pred: Column, mask: Column, weight: float = 1.0, eps: float = 1e-3
 
 
 def solve_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Least-cost matching of all rows of the shorter side (successive shortest paths with potentials)."""
+    """Least-cost matching of all rows of the shorter side."""
+    return solve_with_prices(cost)[0]
+
+
+def solve_with_prices(cost: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Least-cost matching of all rows of the shorter side (successive shortest paths with potentials), and the potentials as prices of rows and
+    columns: no pair costs less than its two prices together, pairs of the matching cost just that, and prices of the longer side are 0
+    where unmatched and never above. That proves the matching optimal."""
     flip = cost.shape[0] > cost.shape[1]
     c = cost.T if flip else cost
     n, m = c.shape
@@ -263,7 +270,7 @@ def solve_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
         while j0:
             owner[j0], j0 = owner[way[j0]], way[j0]
     out = [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
-    return sorted((b, a) if flip else (a, b) for a, b in out)
+    return sorted((b, a) if flip else (a, b) for a, b in out), *((v[1:], u[1:]) if flip else (u[1:], v[1:]))
 
 
 def hungarian_assign(costs: DataFrame) -> DataFrame:
@@ -280,6 +287,41 @@ def hungarian_assign(costs: DataFrame) -> DataFrame:
     return costs.groupBy("image_id").applyInPandas(run, f"image_id {kinds['image_id']}, det_idx {kinds['det_idx']}, gt_idx {kinds['gt_idx']}")
 
 
+def hungarian_prices(costs: DataFrame) -> DataFrame:
+    """(image_id, side, idx, mate, price): every detection and truth of hungarian_assign's matching with its partner (null: none) and its price."""
+    reachable(costs.sparkSession)
+    kinds = dict(costs.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.pivot(index="det_idx", columns="gt_idx", values="cost").sort_index().sort_index(axis=1)
+        pairs, u, v = solve_with_prices(np.nan_to_num(m.to_numpy(float), nan=1e12, posinf=1e12, neginf=-1e12))
+        to, back = dict(pairs), {b: a for a, b in pairs}
+        d = [("det", int(k), int(m.columns[to[i]]) if i in to else None, u[i]) for i, k in enumerate(m.index)]
+        g = [("gt", int(k), int(m.index[back[j]]) if j in back else None, v[j]) for j, k in enumerate(m.columns)]
+        out = pd.DataFrame(d + g, columns=["side", "idx", "mate", "price"]).astype({"mate": "Int64"})
+        out.insert(0, "image_id", pdf["image_id"].iloc[0])
+        return out
+
+    return costs.groupBy("image_id").applyInPandas(run, f"image_id {kinds['image_id']}, side string, idx bigint, mate bigint, price double")
+
+
+def certificate(costs: DataFrame, prices: DataFrame, eps: float = 1e-7) -> DataFrame:
+    """(image_id, n, cost, bound, feasible): of each image the matched pairs, what they cost, the sum of all prices, and whether prices are allowed:
+    no pair costs less than both its prices, nor is a price of the side with more rows above 0. Where the bound is allowed and equals the
+    cost, no matching costs less: a join and sums check what the solver says."""
+    d, g = (prices.where(F.col("side") == k).select("image_id", F.col("idx").alias(f"{k}_idx"), F.col("mate").alias(f"{k}_mate"), F.col("price").alias(f"{k}_price")) for k in ("det", "gt"))
+    p = costs.join(d, ["image_id", "det_idx"]).join(g, ["image_id", "gt_idx"])
+    ours = (F.col("det_mate") == F.col("gt_idx")) & (F.col("gt_mate") == F.col("det_idx"))
+    slack = F.min(F.col("cost") - F.col("det_price") - F.col("gt_price")).alias("slack")
+    per = p.groupBy("image_id").agg(F.count(F.when(ours, 1)).alias("n"), F.coalesce(F.sum(F.when(ours, F.col("cost"))), F.lit(0.0)).alias("cost"), slack)
+    side = lambda k: F.col("side") == k
+    top = lambda k: F.max(F.when(side(k), F.col("price")))
+    longer = F.when(F.count(F.when(side("det"), 1)) > F.count(F.when(side("gt"), 1)), top("det")).otherwise(top("gt"))
+    same = (F.count(F.when(side("det"), 1)) == F.count(F.when(side("gt"), 1))) | (longer <= eps)
+    b = prices.groupBy("image_id").agg(F.sum("price").alias("bound"), same.alias("_ok"))
+    return per.join(b, "image_id").select("image_id", "n", "cost", "bound", ((F.col("slack") >= -eps) & F.col("_ok")).alias("feasible"))
+
+
 def box_costs(dets: DataFrame, gt: DataFrame, l1_weight: float = 1.0, giou_weight: float = 1.0, cls: Column | None = None) -> DataFrame:
     """Cost rows of every pair of an image: L1 and GIoU, plus ``cls`` (a column over the pair) if given."""
     p = _pairs(dets, gt)

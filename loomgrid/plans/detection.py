@@ -361,11 +361,33 @@ def simota_dynamic_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.sim_ota_assign(d, X.gt(spark, sf_dir)).select("det_idx", "gt_inds")
 
 
-@query()
-def hungarian_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _match_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # classes are matched apart: the five of an image are images of their own to the solver
     d, g = (t.withColumn("image_id", F.expr("image_id * 5 + class_id")) for t in (X.det(spark, sf_dir), X.gt(spark, sf_dir)))
-    return A.hungarian_assign(A.box_costs(d, g, 0.01, 2.0)).withColumn("image_id", F.expr("image_id div 5"))
+    return A.box_costs(d, g, 0.01, 2.0)
+
+
+@query()
+def hungarian_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.hungarian_assign(_match_costs(spark, sf_dir)).withColumn("image_id", F.expr("image_id div 5"))
+
+
+#: Truths of an image and class are taken in turn; a state is the set of detections matched so far with its least cost (matching is of all detections,
+#: of which there are never more than truths here).
+STEPS = 13
+HUNGARIAN = f"""WITH {DET}, {GT}, dn AS (SELECT image_id * 5 + class_id AS im, row_number() OVER (PARTITION BY image_id, class_id ORDER BY det_idx) - 1 AS i, * FROM det), gn AS (SELECT image_id * 5 + class_id AS im, row_number() OVER (PARTITION BY image_id, class_id ORDER BY gt_idx) - 1 AS j, * FROM gt),
+nd AS (SELECT im, count(*) AS n FROM dn GROUP BY im), ng AS (SELECT im, count(*) AS m FROM gn GROUP BY im), c AS (SELECT d.im, i, j, 0.01 * (abs(d.x1 - g.x1) + abs(d.y1 - g.y1) + abs(d.x2 - g.x2) + abs(d.y2 - g.y2)) - 2 * ({GIOU}) AS cost FROM dn d JOIN gn g ON d.im = g.im),
+s0 AS (SELECT im, 0 AS mask, 0.0::DOUBLE AS cost FROM nd JOIN ng USING (im)),
+{", ".join(f"s{k + 1} AS (SELECT im, mask, min(cost) AS cost FROM (SELECT im, mask, cost FROM s{k} UNION ALL SELECT s.im, s.mask | (1 << i) AS mask, s.cost + c.cost FROM s{k} s JOIN c ON s.im = c.im AND c.j = {k} AND (s.mask >> i) % 2 = 0) GROUP BY im, mask)" for k in range(STEPS))}"""
+
+
+@query(f"{HUNGARIAN} SELECT s.im // 5 AS image_id, CAST(s.im % 5 AS INT) AS class_id, nd.n, round(s.cost, 6) + 0.0 AS cost, round(s.cost, 6) + 0.0 AS bound, true AS feasible FROM s{STEPS} s JOIN nd USING (im) WHERE s.mask = (1 << nd.n) - 1")
+def hungarian_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optimal matching of each image and class: its cost, and the bound that the solver's prices prove. (The least cost over all sets of
+    detections, truth by truth, is what SQL finds.)"""
+    costs = _match_costs(spark, sf_dir)
+    c = A.certificate(costs, A.hungarian_prices(costs))
+    return c.select(F.expr("image_id div 5").alias("image_id"), F.expr("int(image_id % 5)").alias("class_id"), "n", *((F.round(x, 6) + 0.0).alias(x) for x in ("cost", "bound")), "feasible")
 
 
 @query("SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, k, b.x1 + x * 16 AS x1, b.y1 + y * 16 AS y1, b.x2 + x * 16 AS x2, b.y2 + y * 16 AS y2, x < 7 AND y < 5 AS valid FROM range(0, 6) a(y), range(0, 8) c(x), (VALUES (0, -16.0, -16.0, 16.0, 16.0), (1, -32.0, -32.0, 32.0, 32.0)) b(k, x1, y1, x2, y2)")

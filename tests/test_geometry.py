@@ -110,7 +110,7 @@ def test_hungarian_is_optimal():
 
 def test_hungarian_match_covers_every_class(spark, sf_dir):
     d, g = (t.select("image_id", "class_id", k).toPandas() for t, k in ((X.det(spark, sf_dir), "det_idx"), (X.gt(spark, sf_dir), "gt_idx")))
-    got = D.hungarian_match(spark, sf_dir).toPandas().merge(d, on=["image_id", "det_idx"]).merge(g, on=["image_id", "gt_idx"])
+    got = D.hungarian_pairs(spark, sf_dir).toPandas().merge(d, on=["image_id", "det_idx"]).merge(g, on=["image_id", "gt_idx"])
     assert (got.class_id_x == got.class_id_y).all() and got.det_idx.is_unique and got.gt_idx.is_unique
     n = d.groupby(["image_id", "class_id"]).size().to_frame("d").join(g.groupby(["image_id", "class_id"]).size().to_frame("g"), how="inner")
     assert got.groupby(["image_id", "class_id_x"]).size().to_dict() == n.min(axis=1).to_dict()
@@ -251,3 +251,20 @@ def test_rotated_overlap_in_cells(spark):
     a, b = spark.createDataFrame(one(60), "image_id int, i int, rbox array<double>"), spark.createDataFrame(one(60), "image_id int, j int, rbox_b array<double>")
     whole, cells = (sorted((r.i, r.j, round(r.iou, 9)) for r in P.rotated_overlap_join(a, b, ["image_id"], least=1e-6, cell=c).collect()) for c in (None, 6.0))
     assert whole == cells and len(whole) > 50
+
+
+def test_certificate_tells_a_worse_matching(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, i, j, float(rng.normal())) for k, (n, m) in enumerate([(3, 5), (5, 3), (4, 4), (1, 1)]) for i in range(n) for j in range(m)]
+    costs = spark.createDataFrame(rows, "image_id bigint, det_idx bigint, gt_idx bigint, cost double")
+    prices = A.hungarian_prices(costs)
+    good = A.certificate(costs, prices).collect()
+    assert len(good) == 4 and all(r.feasible and abs(r.cost - r.bound) < 1e-9 and r.n == min(*s) for r, s in zip(sorted(good), [(3, 5), (5, 3), (4, 4), (1, 1)], strict=True))
+    high = A.certificate(costs, prices.withColumn("price", F.col("price") + 0.5)).collect()
+    assert not any(r.feasible for r in high)
+    rows = {(r.side, r.idx): list(r) for r in prices.where("image_id = 2").collect()}
+    (a, b) = (rows["det", k] for k in (0, 1))
+    rows["gt", a[3]][3], rows["gt", b[3]][3] = 1, 0  # partners swapped, on either side
+    a[3], b[3] = b[3], a[3]
+    worse = A.certificate(costs, spark.createDataFrame(list(rows.values()), prices.schema)).first()
+    assert worse.feasible and worse.cost > worse.bound + 1e-6
