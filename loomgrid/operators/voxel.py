@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.operators.numbering import written
 from loomgrid.session import reachable
 
 AXES = ("x", "y", "z")
@@ -43,11 +46,36 @@ def scatter(features: DataFrame, keys: list[str], value: str, how: str = "max")
     return features.where(F.col(keys[-1]) >= 0).groupBy(*keys).agg(f(value).alias(value))
 
 
-def furthest_points(points: DataFrame, n: int, batch: str = "batch", idx: str = "pt_idx", dims: list[str] = ["x", "y", "z"]) -> DataFrame:  # noqa: B006
-    """(batch, step, idx): from the batch's first point on, always the point furthest from all taken (lowest index on ties). Sequential in a
-    batch, vectorised over its points."""
+#: Points of a batch up to which it is sampled in one task, and candidates of a larger batch that a round looks at.
+WHOLE, KEEP = 1 << 16, 4096
+
+
+def _greedy(x: np.ndarray, far: np.ndarray, n: int, floor: float = -np.inf) -> list[int]:
+    """Up to ``n`` places, always that of the largest ``far``, the first on ties, each lowering what is near it; after the first only while it is
+    above ``floor``."""
+    far, out = far.copy(), []
+    while len(out) < min(n, len(x)):
+        at = int(far.argmax())
+        if far[at] <= 0 or (out and far[at] <= floor):
+            break
+        out.append(at)
+        far = np.minimum(far, ((x - x[at]) ** 2).sum(1))
+    return out
+
+
+def furthest_points(points: DataFrame, n: int, batch: str = "batch", idx: str = "pt_idx", dims: list[str] = ["x", "y", "z"], whole: int | None = None, keep: int | None = None) -> DataFrame:  # noqa: B006
+    """(batch, step, idx): from the batch's first point on, always the point furthest from all taken (lowest index on ties).
+
+    A batch of up to ``whole`` points is sampled in one task. Larger ones go in rounds, all at once. A round brings every point's distance to
+    what is taken up to date, in parallel, and looks at the ``keep`` furthest points of each batch. Distances only fall, so steps
+    among these are right as long as the furthest is further than any point that was left out; then the next round begins. As the
+    furthest distance falls slowly, a round takes many steps; only the steps' points, ``n`` of a large batch, pass the driver. Once all
+    points lie on points taken, the first is taken again."""
     reachable(points.sparkSession)
+    whole, keep = whole or WHOLE, keep or KEEP
     kinds = dict(points.dtypes)
+    ddl = f"`{batch}` {kinds[batch]}, step int, `{idx}` {kinds[idx]}"
+    p = points.select(batch, idx, *dims)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
@@ -59,7 +87,58 @@ def furthest_points(points: DataFrame, n: int, batch: str = "batch", idx: str =
             at = int(far.argmax())
         return pd.DataFrame({batch: [pdf[batch].iloc[0]] * len(out), "step": range(len(out)), idx: out})
 
-    return points.select(batch, idx, *dims).groupBy(batch).applyInPandas(run, f"`{batch}` {kinds[batch]}, step int, `{idx}` {kinds[idx]}")
+    sizes = p.groupBy(batch).agg(F.count("*").alias("n"), F.min_by(F.array(*dims), idx).alias("x"), F.min(idx).alias("first")).where(F.col("n") > whole).collect()  # one row for each large batch
+    if not sizes:
+        return p.groupBy(batch).applyInPandas(run, ddl)
+    large = F.col(batch).isin([r[batch] for r in sizes if r[batch] is not None])
+    if any(r[batch] is None for r in sizes):
+        large = large | F.col(batch).isNull()
+    rest = p.where(~F.coalesce(large, F.lit(False))).groupBy(batch).applyInPandas(run, ddl)
+    taken = {r[batch]: [(r["first"], list(map(float, r["x"])))] for r in sizes}
+    room = {r[batch]: min(n, r["n"]) for r in sizes}
+    state = p.where(F.coalesce(large, F.lit(False))).withColumn("_far", F.lit(float("inf")))
+    fresh = {k: [x for _, x in v] for k, v in taken.items()}
+    open_ = {k for k in taken if len(taken[k]) < room[k]}
+    while open_:
+        state = written(state.mapInPandas(_nearer(fresh, batch, dims), state.schema), "furthest")
+        w = Window.partitionBy(batch).orderBy(F.desc("_far"), idx)
+        top = state.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep + 1)
+        more = {k: room[k] - len(taken[k]) for k in open_}
+
+        def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+            k = pdf[batch].iloc[0]
+            left = more.get(None if pd.isna(k) else k, 0)
+            pdf = pdf.sort_values("_r")
+            floor = pdf["_far"].iloc[-1] if len(pdf) > keep else -np.inf
+            pdf = pdf.head(keep).sort_values(idx)
+            at = _greedy(pdf[dims].to_numpy(np.float64), pdf["_far"].to_numpy(np.float64), left, floor)
+            return pdf.iloc[at][[batch, idx, *dims]].assign(step=range(len(at)))
+
+        got = top.groupBy(batch).applyInPandas(steps, f"`{batch}` {kinds[batch]}, `{idx}` {kinds[idx]}, {', '.join(f'`{d}` {kinds[d]}' for d in dims)}, step int").orderBy("step").collect()
+        fresh = {}
+        for r in got:
+            taken[r[batch]].append((r[idx], [float(r[d]) for d in dims]))
+            fresh.setdefault(r[batch], []).append(taken[r[batch]][-1][1])
+        open_ = {k for k in fresh if len(taken[k]) < room[k]}
+    for k, v in taken.items():
+        v += [v[0]] * (room[k] - len(v))
+    rows = [(k, step, i) for k, v in taken.items() for step, (i, _) in enumerate(v)]
+    return rest.unionByName(points.sparkSession.createDataFrame(rows, ddl))
+
+
+def _nearer(fresh: dict, batch: str, dims: list[str]):
+    """Lowers each point's ``_far`` by its distance to the points newly taken of its batch."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            far, x = b["_far"].to_numpy(np.float64, copy=True), b[dims].to_numpy(np.float64)
+            for k, points in fresh.items():
+                rows = np.flatnonzero(b[batch].isna() if k is None else b[batch] == k)
+                for c in points:
+                    far[rows] = np.minimum(far[rows], ((x[rows] - c) ** 2).sum(1))
+            yield b.assign(_far=far)
+
+    return part
 
 
 def furthest_by_distance(pairs: DataFrame, n: int, batch: str = "batch") -> DataFrame:

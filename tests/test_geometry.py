@@ -268,3 +268,14 @@ def test_certificate_tells_a_worse_matching(spark):
     a[3], b[3] = b[3], a[3]
     worse = A.certificate(costs, spark.createDataFrame(list(rows.values()), prices.schema)).first()
     assert worse.feasible and worse.cost > worse.bound + 1e-6
+
+
+def test_furthest_points_in_rounds(spark):
+    """Large batches, in rounds over few candidates, take the same steps as one task does."""
+    rng = np.random.default_rng(11)
+    rows = [(b, i, *map(float, rng.normal(size=3))) for b, n in ((0, 400), (1, 300), (None, 60), (2, 20)) for i in range(n)]
+    rows += [(3, i, float(i % 3), 0.0, 0.0) for i in range(80)]  # three places only
+    p = spark.createDataFrame(rows, "batch int, pt_idx bigint, x double, y double, z double").repartition(3)
+    key = lambda d: sorted(((r.batch is None, r.batch or 0, r.step, r.pt_idx) for r in d.collect()))
+    one, many = V.furthest_points(p, 25), V.furthest_points(p, 25, whole=50, keep=40)
+    assert key(one) == key(many)
