@@ -17,6 +17,7 @@ from loomgrid.plans import fixtures as X
 from loomgrid.plans.families import Queries
 from loomgrid.plans.fixtures import ANN, DET, IMG
 from loomgrid.session import reachable, shared_folder
+from loomgrid.sources import keyvalue as KV
 from loomgrid.sources import stores as Z
 
 query = Queries()
@@ -362,6 +363,22 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(path)
 
 
+@query("SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS key, o_orderstatus || ':' || o_custkey AS value, o_orderkey BETWEEN 1000 AND 1999 AS in_range, o_orderkey IN (7, 32, 5001) AS asked FROM orders")
+def key_value_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC3, SC14, SC15: orders written to an ordered store by a data source and read back whole, by a stretch of keys and by keys; the conditions
+    reach the store."""
+    KV.register(spark)
+    path = folder(spark, "kv").removeprefix("file://")
+    key = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+    table(spark, sf_dir, "orders").select(key.alias("key"), F.concat_ws(":", "o_orderstatus", "o_custkey").cast("binary").alias("value")).write.format("keyvalue").mode("append").save(path)
+    load = lambda push: spark.read.format("keyvalue").option("pushdown", push).load(path)
+    pad = lambda n: f"{n:012d}"
+    part = load(True).where((F.col("key") >= pad(1000)) & (F.col("key") < pad(2000))).select("key", F.lit(True).alias("in_range"))
+    some = load(True).where(F.col("key").isin([pad(n) for n in (7, 32, 5001)])).select("key", F.lit(True).alias("asked"))
+    d = load(False).join(part, "key", "left").join(some, "key", "left")
+    return d.select("key", F.col("value").cast("string").alias("value"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("in_range", "asked")))
+
+
 @query("SELECT event_id AS row_idx, event_type FROM events")
 def ranked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC48, SC49: results of all ranks in order, without what padding repeated."""
