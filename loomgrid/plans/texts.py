@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import masks as K
 from loomgrid.functions import text as T
+from loomgrid.operators.captions import consensus
 from loomgrid.plans import fixtures as X
 from loomgrid.plans.families import Queries
 from loomgrid.session import reachable
@@ -134,6 +135,20 @@ def mask_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderkey", _joined(F.col("runs")).alias("runs"), (T.from_run_lengths(F.col("runs")) == F.col("bits")).alias("back"))
 
 
+@query("""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}'']+'), lambda x: x <> '') AS w FROM conversations),
+g AS (SELECT conv_id, turn, len(w) AS l, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT conv_id, turn, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM t, range(1, 5) r(n) WHERE len(w) >= n)),
+c AS (SELECT conv_id, turn, l, n, g, count(*) AS tf FROM g GROUP BY ALL), d AS (SELECT n, g, count(DISTINCT conv_id) AS df FROM c WHERE turn > 0 GROUP BY ALL), a AS (SELECT count(DISTINCT conv_id) AS m FROM t WHERE turn > 0),
+w AS (SELECT c.*, tf * (ln(m) - ln(coalesce(df, 1))) AS w FROM c LEFT JOIN d USING (n, g), a), nm AS (SELECT conv_id, turn, n, sqrt(sum(w * w)) AS s FROM w GROUP BY ALL),
+p AS (SELECT r.conv_id, r.turn, r.n, sum(least(x.w, r.w) * r.w) AS dot, any_value(x.l - r.l) AS gap FROM w x JOIN w r ON x.conv_id = r.conv_id AND x.n = r.n AND x.g = r.g AND x.turn = 0 AND r.turn > 0 GROUP BY ALL),
+s AS (SELECT p.conv_id, sum(CASE WHEN a.s > 0 AND b.s > 0 THEN dot / (a.s * b.s) ELSE 0 END * exp(-gap * gap / 72.0::DOUBLE)) AS v FROM p JOIN nm a ON a.conv_id = p.conv_id AND a.turn = 0 AND a.n = p.n JOIN nm b ON b.conv_id = p.conv_id AND b.turn = p.turn AND b.n = p.n GROUP BY p.conv_id),
+k AS (SELECT conv_id, count(*) AS n_refs FROM t WHERE turn > 0 GROUP BY conv_id) SELECT k.conv_id, n_refs, round(10 * coalesce(v, 0) / (4 * n_refs), 6) AS score FROM k JOIN t ON t.conv_id = k.conv_id AND t.turn = 0 LEFT JOIN s ON s.conv_id = k.conv_id""")
+def caption_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG28: each conversation's first turn as a caption, scored against the turns that follow."""
+    c = _conv(spark, sf_dir)
+    d = consensus(c.where("turn = 0"), c.where("turn > 0").withColumnRenamed("turn", "ref_idx"), item="conv_id")
+    return d.select("conv_id", "n_refs", F.round("score", 6).alias("score"))
+
+
 #: Masks of 8 by 8 pixels from order and part numbers: a pixel is set by a bit of a product.
 MASK = "CAST(((({k} + 1) * (i + 3)) // 7) % {m} = 0 AS INT)"
 PIXELS = f"b AS (SELECT o_orderkey, i, {MASK.format(k='o_orderkey', m=2)} AS a, {MASK.format(k='o_custkey', m=3)} AS b FROM orders, range(0, 64) t(i))"
