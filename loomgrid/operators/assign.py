@@ -459,3 +459,43 @@ def proposal_grid(spark, shapes: list[tuple[int, int]], valid: list[tuple[int, i
     for c in ("cx", "cy", "w", "h"):
         ok = ok & (F.col(c) > 0.01) & (F.col(c) < 0.99)
     return g.withColumn("ok", ok)
+
+
+# grids of each image of a table --------------------------------------------------------------------------
+
+
+def cells_of(images: DataFrame, strides: list[int], key: str = "image_id", pad_to: int = 32) -> DataFrame:
+    """(key, level, stride, y, x, wide, high, valid): the cells of each image's levels. An image is padded to a multiple of ``pad_to``; ``wide`` and ``high``
+    are the cells that its own size covers, within which a cell is valid. Rows come from the images, so they are made where those are."""
+    padded = lambda c: F.ceil(F.col(c) / pad_to) * pad_to
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.lit(s).alias("stride")) for k, s in enumerate(strides)))
+    d = images.select(key, "width", "height", F.explode(levels).alias("s")).select("*", "s.*").drop("s")
+    cells = lambda size: F.ceil(size / F.col("stride")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    d = d.withColumn("wide", cells(F.col("width"))).withColumn("high", cells(F.col("height")))
+    d = d.withColumn("y", F.explode(upto(cells(padded("height"))))).withColumn("x", F.explode(upto(cells(padded("width")))))
+    return d.select(key, "level", "stride", "y", "x", "wide", "high", ((F.col("x") < F.col("wide")) & (F.col("y") < F.col("high"))).alias("valid"))
+
+
+def anchors_of(images: DataFrame, strides: list[int], scales: list[float], ratios: list[float], key: str = "image_id") -> DataFrame:
+    """(key, level, y, x, k, x1..y2, valid): base boxes of each level at every cell of each image."""
+    bases = F.array(*(F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(float(v)).alias(n) for v, n in zip(b, B.Box._fields, strict=True))) for k, b in enumerate(base_anchors(s, scales, ratios)))) for s in strides))
+    c = cells_of(images, strides, key).withColumn("b", F.explode(F.get(bases, F.col("level"))))
+    sx, sy = F.col("x") * F.col("stride"), F.col("y") * F.col("stride")
+    return c.select(key, "level", "y", "x", "b.k", (F.col("b.x1") + sx).alias("x1"), (F.col("b.y1") + sy).alias("y1"), (F.col("b.x2") + sx).alias("x2"), (F.col("b.y2") + sy).alias("y2"), "valid")
+
+
+def points_of(images: DataFrame, strides: list[int], offset: float = 0.5, key: str = "image_id") -> DataFrame:
+    c = cells_of(images, strides, key)
+    return c.select(key, "level", "y", "x", ((F.col("x") + offset) * F.col("stride")).alias("px"), ((F.col("y") + offset) * F.col("stride")).alias("py"), "valid")
+
+
+def proposals_of(images: DataFrame, strides: list[int], key: str = "image_id") -> DataFrame:
+    """(key, level, y, x, cx, cy, w, h, ok): proposal_grid for each image, over the part that its own size covers."""
+    c = cells_of(images, strides, key)
+    side = 0.05 * F.pow(F.lit(2.0), F.col("level"))
+    c = c.select(key, "level", "y", "x", ((F.col("x") + 0.5) / F.col("wide")).alias("cx"), ((F.col("y") + 0.5) / F.col("high")).alias("cy"), side.alias("w"), side.alias("h"))
+    ok = F.lit(True)
+    for n in ("cx", "cy", "w", "h"):
+        ok = ok & (F.col(n) > 0.01) & (F.col(n) < 0.99)
+    return c.withColumn("ok", ok)

@@ -14,7 +14,7 @@ from loomgrid.operators.spatial import best_match
 from loomgrid.plans import fixtures as X
 from loomgrid.plans.detection import RECALL, nms_sql, tp_sql
 from loomgrid.plans.families import Queries
-from loomgrid.plans.fixtures import DET, GT, iou_sql
+from loomgrid.plans.fixtures import DET, GT, IMG, iou_sql
 
 query = Queries()
 PR = f"pr AS (SELECT d.image_id, d.det_idx, d.score, d.x1, d.y1, d.x2, d.y2, g.gt_idx, g.x1 AS a1, g.y1 AS b1, g.x2 AS a2, g.y2 AS b2, {iou_sql('d', 'g')} AS iou FROM det d JOIN gt g ON d.image_id = g.image_id)"
@@ -270,5 +270,29 @@ def merged_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.nms(d.unionByName(other), 0.7, ["image_id"], max_num=10).select("image_id", "det_idx")
 
 
+CELLS = f"{IMG}, l(level, stride) AS (VALUES (0, 32), (1, 64)), cl AS (SELECT image_id, level, stride, CAST(unnest(range(0, CAST(ceil(ceil(height / 32) * 32 / stride) AS BIGINT))) AS INT) AS y, width, height FROM images, l), cx AS (SELECT *, CAST(unnest(range(0, CAST(ceil(ceil(width / 32) * 32 / stride) AS BIGINT))) AS INT) AS x, CAST(ceil(width / stride) AS INT) AS wide, CAST(ceil(height / stride) AS INT) AS high FROM cl)"
+STRIDES = [32, 64]
+
+
+@query(f"WITH {CELLS} SELECT image_id, level, y, x, k, x * stride - stride * s / 2 AS x1, y * stride - stride * s / 2 AS y1, x * stride + stride * s / 2 AS x2, y * stride + stride * s / 2 AS y2, x < wide AND y < high AS valid FROM cx, (VALUES (0, 2.0::DOUBLE), (1, 4.0::DOUBLE)) b(k, s)")
+def image_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AS16: two levels of square anchors of every image."""
+    return A.anchors_of(X.images(spark, sf_dir), STRIDES, [2.0, 4.0], [1.0])
+
+
+@query(f"WITH {CELLS} SELECT image_id, level, y, x, (x + 0.5) * stride AS px, (y + 0.5) * stride AS py, x < wide AND y < high AS valid FROM cx")
+def image_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AS18: cell centres of every image."""
+    p = A.points_of(X.images(spark, sf_dir), STRIDES)
+    return p.select("image_id", "level", "y", "x", *(F.col(c).cast("double").alias(c) for c in ("px", "py")), "valid")
+
+
+@query(f"WITH {CELLS}, p AS (SELECT image_id, level, y, x, (x + 0.5) / wide AS cx, (y + 0.5) / high AS cy, 0.05::DOUBLE * pow(2, level) AS w FROM cx) SELECT image_id, level, y, x, round(cx, 9)::DOUBLE AS cx, round(cy, 9)::DOUBLE AS cy, w, w AS h, cx > 0.01 AND cx < 0.99 AND cy > 0.01 AND cy < 0.99 AND w > 0.01 AND w < 0.99 AS ok FROM p")
+def image_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AS19: proposal grids of every image over its valid part."""
+    p = A.proposals_of(X.images(spark, sf_dir), STRIDES)
+    return p.withColumns({c: F.round(c, 9) for c in ("cx", "cy")})
+
+
 QUERIES = query.queries
 ORACLE_SQL = query.sql
