@@ -258,7 +258,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core_
     s = vocabulary.where("seen > 0").agg(F.sum("seen").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("seen") == 1, 1)).alias("n1"), F.count(F.when(F.col("seen") == 2, 1)).alias("n2")).first()
     total, kinds = s.n or 0, s.v
     # at most 1/core_share words
-    core = vocabulary.where((F.col("seen") >= max(2.0, core_share * total)) & (F.col("word") != F.lit(b""))).select("wid", "seen").toPandas().sort_values(["seen", "wid"], ascending=[False, True], ignore_index=True)
+    core = vocabulary.where((F.col("seen") >= max(2.0, core_share * total)) & (F.col("word") != F.lit(b""))).select("wid", "seen", F.hex("word").alias("tie")).toPandas().sort_values(["seen", "tie"], ascending=[False, True], ignore_index=True)  # by the words themselves, not by where they lie
     core["core"] = np.arange(len(core), dtype=np.int32)
     core_df = F.broadcast(spark.createDataFrame(core[["wid", "core"]] if len(core) else pd.DataFrame({"wid": pd.Series([], dtype="int64"), "core": pd.Series([], dtype="int32")}), "wid long, core int"))
     known = entry.select("block", "lid", "word").join(vocabulary, "word").join(core_df, "wid", "left").select("block", "lid", "wid", "seen", F.coalesce("core", F.lit(-1)).alias("core"))
