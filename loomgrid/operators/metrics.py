@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import boxes as B
-from loomgrid.operators.numbering import carried, numbered, ranges
+from loomgrid.operators.numbering import carried, numbered, ranges, written
 from loomgrid.operators.spatial import best_match
 from loomgrid.session import reachable
 
@@ -103,7 +103,7 @@ def precision_recall(tpfp: DataFrame, counts: DataFrame, by: tuple[str, ...] = (
     """Running precision and recall along falling score, position ``pos``. Classes are dealt out by ranges of (class, score) whose ends are
     sampled, so crowded scores spread evenly and no class is sorted in one task; a range's running sums (``slot`` is its number, scores fall as it
     rises) start from the totals of its class in the ranges before."""
-    t = ranges(tpfp, [*by, F.desc("score"), "image_id", "det_idx"])
+    t = ranges(written(tpfp, "matches"), [*by, F.desc("score"), "image_id", "det_idx"])  # written: sampling the ends reads the rows once more
     t = carried(t, by, _tp=("sum", "tp"), _fp=("sum", "fp")).withColumnRenamed("_p", "slot")
     t = t.join(counts, list(by), "left")
     run = Window.partitionBy(*by, "slot").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
