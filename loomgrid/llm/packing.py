@@ -4,8 +4,9 @@ Documents become token pieces of at most ``capacity``; full pieces are sequences
 are dealt into shards of about ``shard_pieces``. Several islands evolve packings of each shard: crossover
 injects whole well-filled bins of the second parent into the first, removes the first's bins that hold any
 of the same pieces, and best-fits the displaced pieces; mutation empties poorly filled bins. Between epochs
-every island's elite migrates to the next island (a join on shard and island). A shard whose packing meets
-the bound ceil(sum/capacity) is proven best and stops. What the shards' emptiest bins hold is packed again
+every island's elite migrates to the next island (a join on shard and island). Islands begin with best fit in orders
+disturbed differently, never in falling order itself, and every island crosses over for some generations and takes in one elite
+before the bound ceil(sum/capacity), which proves a packing best, may end the work. What the shards' emptiest bins hold is packed again
 together, and that result is used if it takes fewer sequences.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are packed each; a null doc_id is
@@ -207,27 +208,23 @@ def bound(sizes: list[int], capacity: int) -> int:
     return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
 
 
-def evolve(sizes: list[int], population: list[list[list[int]]], capacity: int, generations: int, seed: int, size: int = 6) -> list[list[list[int]]]:
-    """One island's epoch; the population comes back best first. An empty one is seeded by best fit in
-    falling order and by disturbed orders."""
+def evolve(sizes: list[int], population: list[list[list[int]]], capacity: int, generations: int, seed: int, size: int = 4, at_least: int = 4) -> tuple[list[list[list[int]]], int]:
+    """One island's epoch: the population, best first, and how many children it had. An empty population is seeded by best fit
+    in disturbed orders. A packing that meets the bound ends the epoch after ``at_least`` generations."""
     rng = random.Random(seed)
     least = bound(sizes, capacity)
     if not population:
-        population = [best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, capacity)]
-        if len(population[0]) > least:
-            for _ in range(size - 1):
-                population.append(best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i] * rng.uniform(0.7, 1.0)), sizes, capacity))
-    rate = lambda b: fitness(b, sizes, capacity)
-    population = sorted(population, key=rate)
-    for _ in range(generations):
-        if len(population[0]) <= least:
-            break
-        one, two = (min(rng.sample(population, min(2, len(population))), key=rate) for _ in range(2))
+        population = [best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i] * rng.uniform(0.9, 1.0)), sizes, capacity) for _ in range(size)]
+    ranked = sorted(((fitness(p, sizes, capacity), k, p) for k, p in enumerate(population)), key=lambda x: x[:2])
+    children = 0
+    while children < generations and (children < at_least or len(ranked[0][2]) > least):
+        one, two = (min(rng.sample(ranked, min(2, len(ranked))), key=lambda x: x[:2])[2] for _ in range(2))
         child = crossover(one, two, sizes, capacity, rng)
         if rng.random() < 0.5:
             child = mutate(child, sizes, capacity, rng)
-        population = sorted([*population, child], key=rate)[:size]
-    return population
+        children += 1
+        ranked = sorted([*ranked, (fitness(child, sizes, capacity), len(population) + children, child)], key=lambda x: x[:2])[:size]
+    return [p for _, _, p in ranked], children
 
 
 def flat(bins: list[list[int]], n: int) -> bytes:
@@ -245,7 +242,7 @@ def unflat(data: bytes) -> list[list[int]]:
     return bins
 
 
-STATE = "shard long, island int, pids array<long>, sizes array<int>, packings array<binary>, bins int, least int"
+STATE = "shard long, island int, pids array<long>, sizes array<int>, packings array<binary>, bins int, least int, children long, guests long"
 
 
 def epoch(state: DataFrame, capacity: int, generations: int, seed: int) -> DataFrame:
@@ -255,30 +252,36 @@ def epoch(state: DataFrame, capacity: int, generations: int, seed: int) -> DataF
         for b in batches:
             for r in b.to_pylist():
                 sizes = r["sizes"]
-                pop = evolve(sizes, [unflat(p) for p in r["packings"]], capacity, generations, hash((seed, r["shard"], r["island"])))
-                r |= {"packings": [flat(p, len(sizes)) for p in pop], "bins": len(pop[0]), "least": bound(sizes, capacity)}
+                pop, children = evolve(sizes, [unflat(p) for p in r["packings"]], capacity, generations, hash((seed, r["shard"], r["island"])))
+                r |= {"packings": [flat(p, len(sizes)) for p in pop], "bins": len(pop[0]), "least": bound(sizes, capacity), "children": r["children"] + children}
                 yield pa.RecordBatch.from_pylist([r], schema=schema)
 
-    schema = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("pids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packings", pa.list_(pa.binary())), ("bins", pa.int32()), ("least", pa.int32())])
+    schema = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("pids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packings", pa.list_(pa.binary())), ("bins", pa.int32()), ("least", pa.int32()), ("children", pa.int64()), ("guests", pa.int64())])
     return state.mapInArrow(run, STATE)
 
 
-def solve(spark: SparkSession, items: DataFrame, scratch: Scratch, capacity: int, shard_pieces: int, islands: int, epochs: int, generations: int, seed: int) -> DataFrame:
-    """(pid, sequence, fill) for items (pid, length): the best island's packing of each shard."""
+def evolved(spark: SparkSession, items: DataFrame, scratch: Scratch, capacity: int, shard_pieces: int, islands: int, epochs: int, generations: int, seed: int) -> DataFrame:
+    """The islands of every shard of items (pid, length) after their last epoch, with their children and the elites they took in."""
     n = items.count()
     shards = max(1, -(-n // shard_pieces))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("pid", F.lit(seed)), F.lit(shards)).cast("long"))
     rows = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("pid", "length"))).alias("x"))
-    state = rows.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("x.pid").alias("pids"), F.transform("x.length", lambda v: v.cast("int")).alias("sizes"), F.expr("cast(array() as array<binary>)").alias("packings"), F.lit(0).alias("bins"), F.lit(0).alias("least"))
+    none = [F.expr("cast(array() as array<binary>)").alias("packings"), F.lit(0).alias("bins"), F.lit(0).alias("least"), F.lit(0).cast("long").alias("children"), F.lit(0).cast("long").alias("guests")]
+    state = rows.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("x.pid").alias("pids"), F.transform("x.length", lambda v: v.cast("int")).alias("sizes"), *none)
     spread = workers(spark)
     for e in range(epochs):
         state = scratch.save("islands", epoch(state.repartition(spread, "shard", "island"), capacity, generations, seed + e))
         best = state.groupBy("shard").agg(F.min("bins").alias("b"), F.max("least").alias("l"))
-        if e == epochs - 1 or best.where("b > l").limit(1).count() == 0:
+        if e == epochs - 1 or e > 0 and best.where("b > l").limit(1).count() == 0:
             break
         elite = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.element_at("packings", 1).alias("guest"))
-        state = state.join(elite, ["shard", "island"]).withColumn("packings", F.concat("packings", F.array("guest"))).drop("guest")
-        state = state.select("shard", "island", "pids", "sizes", "packings", "bins", "least")
+        state = state.join(elite, ["shard", "island"]).withColumn("packings", F.concat("packings", F.array("guest"))).withColumn("guests", F.col("guests") + 1)
+        state = state.select("shard", "island", "pids", "sizes", "packings", "bins", "least", "children", "guests")
+    return state
+
+
+def solve(state: DataFrame, scratch: Scratch) -> DataFrame:
+    """(pid, sequence, fill): the best island's packing of each shard."""
     top = state.groupBy("shard").agg(F.min_by(F.struct("pids", "sizes", F.element_at("packings", 1).alias("packing")), F.struct("bins", "island")).alias("t"))
 
     def spell(batches):
@@ -305,9 +308,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab:
     scratch = Scratch(spark, "packing")
     cut = scratch.save("pieces", pieces(docs, id_col, text_col, vocab, capacity).withColumn("pid", F.monotonically_increasing_id()))
     full = cut.where(F.col("length") == capacity).select("pid", (-1 - F.col("pid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    first = solve(spark, cut.where(F.col("length") < capacity).select("pid", "length"), scratch, capacity, shard_pieces, islands, epochs, generations, seed)
+    how = (scratch, capacity, shard_pieces, islands, epochs, generations)
+    first = solve(evolved(spark, cut.where(F.col("length") < capacity).select("pid", "length"), *how, seed), scratch)
     loose = first.where(F.col("fill") < int(capacity * loose_fill))
-    again = solve(spark, loose.join(cut, "pid").select("pid", "length"), scratch, capacity, shard_pieces, islands, epochs, generations, seed + 100)
+    again = solve(evolved(spark, loose.join(cut, "pid").select("pid", "length"), *how, seed + 100), scratch)
     before = loose.where("offset = 0").count()
     after = again.where("offset = 0").count()
     cols = ["pid", "sequence_id", "offset"]

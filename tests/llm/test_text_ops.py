@@ -620,11 +620,31 @@ def test_genetic_packing_beats_best_fit():
         b = rng.randint(260, 1000 - a - 255)
         sizes += [a, b, 1000 - a - b]
     plain = packing.best_fit(sorted(range(60), key=lambda i: -sizes[i]), sizes, 1000)
-    pop = packing.evolve(sizes, [], 1000, 1500, 3)
+    pop, children = packing.evolve(sizes, [], 1000, 1500, 3)
+    assert children >= 4
     assert sorted(i for b in pop[0] for i in b) == list(range(60))
     assert all(sum(sizes[i] for i in b) <= 1000 for b in pop[0]) and len(pop[0]) < len(plain)
 
 
+@pytest.mark.parametrize("shard_pieces", [64, 4096])
+def test_every_island_crosses_over_and_takes_in_elites(spark, docs, shard_pieces):
+    pieces = packing.pieces(docs, "doc_id", "text").where("length < 4096").select(F.col("doc_id").cast("long").alias("pid"), "length")
+    scratch = common.Scratch(spark, "islands")
+    items = scratch.save("items", pieces)
+    state = scratch.save("last", packing.evolved(spark, items, scratch, 4096, shard_pieces, 3, 3, 12, 5))
+    by = defaultdict(list)
+    for r in state.collect():
+        assert r.children >= 8 and r.guests >= 1 and len(r.packings) >= 2
+        by[r.shard].append(r)
+    assert all(len(rows) == 3 for rows in by.values())
+    for rows in by.values():  # best fit in falling order is the yardstick, not the method
+        sizes = list(rows[0].sizes)
+        plain = packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 4096)
+        assert min(r.bins for r in rows) <= len(plain)
+    packed = packing.solve(state, scratch).collect()
+    assert Counter(r.pid for r in packed) == Counter(r.pid for r in items.collect())
+
+
 # op 9 --------------------------------------------------------------------------------------------------
 
 
