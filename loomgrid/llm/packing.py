@@ -301,7 +301,7 @@ def solve(state: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, capacity: int = CAPACITY, shard_pieces: int = 4096,
-         islands: int = 3, epochs: int = 3, generations: int = 12, loose_fill: float = 0.98, seed: int = 5) -> DataFrame:
+         islands: int = 3, epochs: int = 3, generations: int = 12, loose_fill: float = 0.9995, seed: int = 5) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     tune(spark)
