@@ -279,3 +279,21 @@ def test_furthest_points_in_rounds(spark):
     key = lambda d: sorted(((r.batch is None, r.batch or 0, r.step, r.pt_idx) for r in d.collect()))
     one, many = V.furthest_points(p, 25), V.furthest_points(p, 25, whole=50, keep=40)
     assert key(one) == key(many)
+
+
+def test_matchings_of_many_images_at_once(spark):
+    """Images of all shapes, cut over batches, one with pairs left out, match as each does alone."""
+    rng = np.random.default_rng(4)
+    shapes = [(int(rng.integers(1, 7)), int(rng.integers(1, 7))) for _ in range(200)]
+    images = {k: rng.integers(0, 9, shape).astype(float) + rng.random(shape) for k, shape in enumerate(shapes)}
+    images[200] = np.array([[1.0, 2.0], [np.nan, 5.0]])
+    rows = [(k, i * 3, j * 5, float(c[i, j])) for k, c in images.items() for i in range(len(c)) for j in range(len(c[0])) if not np.isnan(c[i, j])]
+    costs = spark.createDataFrame(rows, "image_id bigint, det_idx bigint, gt_idx bigint, cost double").repartition(3)
+    want = {(k, i * 3, j * 5) for k, c in images.items() for i, j in A.solve_assignment(np.nan_to_num(c, nan=1e12))}
+    assert {(r.image_id, r.det_idx, r.gt_idx) for r in A.hungarian_assign(costs).collect()} == want
+    c = A.certificate(costs, A.hungarian_prices(costs)).collect()
+    assert len(c) == 201 and all(r.feasible and r.n == min(images[r.image_id].shape) and abs(r.cost - r.bound) < 1e-6 for r in c)
+    many = A.solve_all(np.stack([c for c in images.values() if c.shape == (3, 4)]))
+    assert len(many[0]) > 1 and all(len(set(m)) == 3 for m in many[0].tolist())
+    with pytest.raises(Exception, match="listed twice"):
+        A.hungarian_assign(costs.union(costs.limit(1))).collect()
