@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.operators.numbering import written
 from loomgrid.plans import fixtures as X
 from loomgrid.plans.families import Queries
 from loomgrid.session import shared_folder
@@ -99,7 +100,12 @@ def _log_sql(kinds: dict[str, str]) -> str:
 
 
 def _log_sums(log: DataFrame) -> DataFrame:
-    return log.groupBy("day", "type", "model").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_events"), F.sum(F.round(F.col("tstamp") * 1e6).cast("long")).alias("us"))
+    """Lines of each day, type and model. Microseconds of some five thousand lines no longer fit in 64 bits, so they are added up exactly in 38 digits;
+    sums that all fit are a bigint, as in SQL, which has no answer for others."""
+    us = F.sum(F.round(F.col("tstamp") * 1e6).cast("long").cast("decimal(20,0)")).cast("decimal(38,0)")
+    sums = written(log.groupBy("day", "type", "model").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_events"), us.alias("us")), "log-sums")
+    (most,) = sums.agg(F.max(F.abs("us"))).first()
+    return sums.withColumn("us", F.col("us").cast("long")) if most is None or most < 1 << 63 else sums
 
 
 CHATS, VOTES = {"view": "chat", "click": "chat"}, {"purchase": "upvote", "error": "downvote", "signup": "flag"}

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from loomgrid.plans import streams as Q
 from loomgrid.streaming import runs as R
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -80,3 +81,12 @@ def test_settings_come_back(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
         raise KeyError
     assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.conf.get("loomgrid.unset", None) is None
+
+
+def test_log_sums_beyond_64_bits(spark):
+    """Ten thousand lines of a day, type and model: their microseconds add up to more than a long holds."""
+    log = spark.range(10000).selectExpr("'2024-01-01' AS day", "'chat' AS type", "'m0' AS model", "id AS event_id", "1704067200D + id AS tstamp")
+    few = Q._log_sums(log.where("event_id < 3"))
+    assert dict(few.dtypes)["us"] == "bigint" and few.first().us == (3 * 1704067200 + 3) * 10**6
+    (r,) = Q._log_sums(log).collect()
+    assert (r.n, r.n_events, int(r.us)) == (10000, 10000, sum((1704067200 + k) * 10**6 for k in range(10000)))
