@@ -47,3 +47,61 @@ def by_size(starts: np.ndarray, rows: int) -> Iterator[tuple[int, np.ndarray]]:
     sizes = np.diff(np.append(starts, rows))
     for n in np.unique(sizes):
         yield int(n), starts[sizes == n][:, None] + np.arange(n)
+
+
+# boxes and truths of images ----------------------------------------------------------------------------
+
+BOX = ("x1", "y1", "x2", "y2")
+#: Pairs of an image's boxes and truths that are looked at together: truths are taken by stretches, so no matrix is larger (or has one truth).
+PAIRS = 1 << 20
+
+
+def images(boxes: DataFrame, gt: DataFrame, work: Callable[[pa.Table, Iterator], pa.Table], ddl: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """``work(table, parts)`` on boxes (image_id, det_idx, x1..y2, ``more`` as double) and truths (image_id, gt_idx, x1..y2) of whole images. Boxes and
+    truths move once, as rows; their pairs are only looked at where they meet. ``parts`` yields (d, g): places in the table of the boxes (b, n) and truths (b, m)
+    of images of equal numbers, in order of their idx; images without either are left out."""
+    extra = lambda d: [F.col(c).cast("double").alias(c) if d is boxes else F.lit(None).cast("double").alias(c) for c in more]
+    side = lambda d, k, idx: d.where("image_id is not null").select("image_id", F.lit(k).alias("side"), F.col(idx).cast("long").alias("idx"), *(F.col(c).cast("double").alias(c) for c in BOX), *extra(d))
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        n = np.add.reduceat((t.column("side").to_numpy() == 0).astype(int), starts)
+        m = np.diff(np.append(starts, len(t))) - n
+        return work(t, parts(starts, n, m))
+
+    def parts(starts, n, m):
+        shapes = np.stack([n, m], axis=1)
+        for a, b in np.unique(shapes[(n > 0) & (m > 0)], axis=0):
+            at = starts[(n == a) & (m == b)][:, None]
+            step = max(1, PAIRS // int(a * b))
+            for lo in range(0, len(at), step):
+                yield at[lo : lo + step] + np.arange(a), at[lo : lo + step] + a + np.arange(b)
+
+    return whole_groups(side(boxes, 0, "det_idx").union(side(gt, 1, "gt_idx")), ["image_id"], ["side", "idx"], run, ddl)
+
+
+def stretches(d: np.ndarray, g: np.ndarray) -> Iterator[np.ndarray]:
+    """The truths ``g`` (b, m) by stretches of at most PAIRS pairs."""
+    step = max(1, PAIRS // d.size)
+    for lo in range(0, g.shape[1], step):
+        yield g[:, lo : lo + step]
+
+
+def corners(t: pa.Table) -> np.ndarray:
+    """(rows, 4): the boxes of a table; nulls are NaN."""
+    return np.stack([t.column(c).to_numpy() for c in BOX], axis=1)
+
+
+def overlaps(a: np.ndarray, b: np.ndarray, eps: float = 1e-6) -> np.ndarray:
+    """(b, n, m): overlaps of boxes (b, n, 4) and (b, m, 4), worked out as the column function does; -inf where a corner is missing."""
+    a, b = a[:, :, None], b[:, None]
+    side = lambda k: np.maximum(np.minimum(a[..., k + 2], b[..., k + 2]) - np.maximum(a[..., k], b[..., k]), 0.0)
+    area = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
+    inter = side(0) * side(1)
+    v = inter / np.maximum(area(a) + area(b) - inter, eps)
+    return np.where(np.isnan(v), -np.inf, v)
+
+
+def first_of(keys: tuple[np.ndarray, ...], of: np.ndarray) -> np.ndarray:
+    """Places of the first row of each value of ``of``, by rising ``keys``."""
+    order = np.lexsort((*keys[::-1], of))
+    return order[np.append(True, of[order][1:] != of[order][:-1])] if len(order) else order

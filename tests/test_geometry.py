@@ -312,3 +312,47 @@ def test_turned_boxes_end_where_their_sql_says(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.pt_idx for r in pointsets.points_in_turned_boxes(spark, str(tmp_path)).where("box_idx = 0").collect()}
     assert got == {k for k, ok in enumerate(inside) if ok}
+
+
+ASSIGNERS = {
+    "max_iou": lambda d, g: A.max_iou_assign(d, g, min_pos=0.1),
+    "approx": lambda d, g: A.approx_max_iou_assign(d, d.unionByName(d.withColumn("x1", F.col("x1") + 1)), g),
+    "atss": lambda d, g: A.atss_assign(d, g, level="class_id"),
+    "task": lambda d, g: A.task_aligned_assign(d.withColumn("px", F.col("x1") + 1).withColumn("py", F.col("y1") + 1), g),
+}
+
+
+def _crowd(spark):
+    rng = np.random.default_rng(9)
+    box = lambda: [float(v) for v in (lambda x, y: (x, y, x + rng.integers(2, 9), y + rng.integers(2, 9)))(*rng.integers(0, 12, 2))]
+    d = [(k, int(rng.integers(0, 2)), 100 * k + i, *box(), float(rng.random())) for k in range(12) for i in range(int(rng.integers(0, 9)))]
+    g = [(k, 0, 100 * k + i, *box(), False) for k in range(12) for i in range(int(rng.integers(0, 6)))]
+    return d, g
+
+
+@pytest.mark.parametrize("name", sorted(ASSIGNERS))
+def test_assigners_move_boxes_not_pairs(spark, name):
+    """No join lists the pairs of an image, to be sorted or shuffled after it: joins are on boxes."""
+    import re
+
+    d, g = _crowd(spark)
+    plan = ASSIGNERS[name](boxes(spark, d), boxes(spark, g, "gt_idx"))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"Join \w+, (.*)", plan) and all("det_idx" in c for c in re.findall(r"Join \w+, (.*)", plan))
+
+
+def test_max_iou_of_uneven_images(spark):
+    d, g = _crowd(spark)
+
+    def iou(a, b):
+        w, h = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+        i = max(w, 0.0) * max(h, 0.0)
+        return i / max((a[5] - a[3]) * (a[6] - a[4]) + (b[5] - b[3]) * (b[6] - b[4]) - i, 1e-6)
+
+    want = {}
+    for a in d:
+        own = [(iou(a, b), -b[2]) for b in g if b[0] == a[0]]
+        m, at = max(own) if own else (0.0, None)
+        low = [b[2] for b in g if b[0] == a[0] and iou(a, b) >= 0.1 and iou(a, b) == max(iou(x, b) for x in d if x[0] == a[0])]
+        want[a[2]] = (max(low) + 1 if low else 1 - at if own and m >= 0.5 else 0 if m < 0.4 else -1, m)
+    got = A.max_iou_assign(boxes(spark, d), boxes(spark, g, "gt_idx"), min_pos=0.1).collect()
+    assert {r.det_idx: (r.gt_inds, r.max_overlap) for r in got} == want and len(got) == len(d)
