@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import boxes as B
+from loomgrid.operators.grouped import PAIRS, corners, overlaps, whole_groups
 from loomgrid.operators.numbering import carried, numbered, ranges, written
 from loomgrid.operators.spatial import best_match
 from loomgrid.session import reachable
@@ -40,40 +42,39 @@ def tpfp_default(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5, extra: flo
 
 def tpfp_greedy(det: DataFrame, gt: DataFrame, default_thr: float = 0.5) -> DataFrame:
     """The greedy protocol: by falling score, each detection takes the best truth not yet taken whose overlap reaches that truth's own
-    threshold min(w*h / ((w+10)*(h+10)), default); truths are moved by -1 first. Sequential in an (image, class), so it is
-    one vectorised call per such group."""
-    reachable(det.sparkSession)
-
-    def run(key, d: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(["score", "det_idx"], ascending=[False, True])
-        g = g.sort_values("gt_idx")
-        a, b = d[list(B.Box._fields)].to_numpy(float), g[list(B.Box._fields)].to_numpy(float) - 1
-        w, h = b[:, 2] - b[:, 0] + 0.0, b[:, 3] - b[:, 1] + 0.0
-        thr = np.minimum(w * h / ((w + 10) * (h + 10)), default_thr)
-        skip, taken = g["is_ignore"].to_numpy(bool), np.zeros(len(b), bool)
-        tp, fp = np.zeros(len(a), int), np.zeros(len(a), int)
-        for i in range(len(a)):
-            best, at = -1.0, -1
-            if len(b):
-                iw = np.maximum(0, np.minimum(a[i, 2], b[:, 2]) - np.maximum(a[i, 0], b[:, 0]))
-                ih = np.maximum(0, np.minimum(a[i, 3], b[:, 3]) - np.maximum(a[i, 1], b[:, 1]))
-                inter = iw * ih
-                v = inter / np.maximum((a[i, 2] - a[i, 0]) * (a[i, 3] - a[i, 1]) + w * h - inter, 1e-6)
-                ok = ~taken & (v >= thr)
-                if ok.any():
-                    at = int(np.argmax(np.where(ok, v, -1)))
-                    best = v[at]
-            if best >= 0:
-                taken[at] = True
-                tp[i] = 0 if skip[at] else 1
-            else:
-                fp[i] = 1
-        return pd.DataFrame({"image_id": d["image_id"], "class_id": d["class_id"], "det_idx": d["det_idx"], "score": d["score"], "tp": tp, "fp": fp})
+    threshold min(w*h / ((w+10)*(h+10)), default); truths are moved by -1 first. Sequential in an (image, class),
+    a step taken for all groups of a batch at once. Groups without detections give no row."""
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        box, side, skip, found = corners(t), t.column("side").to_numpy(), t.column("skip").to_numpy(), []
+        n = np.add.reduceat((side == 0).astype(int), starts)
+        m = np.diff(np.append(starts, len(t))) - n
+        for a, b in np.unique(np.stack([n, m], axis=1)[n > 0], axis=0):
+            at = starts[(n == a) & (m == b)][:, None]
+            for lo in np.array_split(at, -(-len(at) * int(b + 1) // PAIRS)):
+                d, g = lo + np.arange(a), lo + a + np.arange(b)
+                o = box[g] - 1
+                w, h = o[..., 2] - o[..., 0], o[..., 3] - o[..., 1]
+                thr, free, line = np.minimum(w * h / ((w + 10) * (h + 10)), default_thr), np.ones(g.shape, bool), np.arange(len(d))
+                for i in range(a if b else 0):
+                    v = overlaps(box[d[:, i]][:, None], o)[:, 0]
+                    v = np.where(free & (v >= thr), v, -1.0)
+                    best = v.argmax(axis=1)
+                    hit = v[line, best] >= 0
+                    free[line[hit], best[hit]] = False
+                    found.append((d[:, i], hit & ~skip[g[line, best]], ~hit))
+                if not b:
+                    found.append((d.ravel(), np.zeros(d.size, bool), np.ones(d.size, bool)))
+        at, tp, fp = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, bool), np.zeros(0, bool))
+        own = {c: t.column(c).take(pa.array(at)) for c in ("image_id", "class_id", "det_idx", "score")}
+        return pa.table({**own, "tp": pa.array(tp.astype(np.int32)), "fp": pa.array(fp.astype(np.int32))})
 
     kinds = dict(det.dtypes)
     ddl = f"image_id {kinds['image_id']}, class_id {kinds['class_id']}, det_idx {kinds['det_idx']}, score double, tp int, fp int"
-    d = det.withColumn("score", F.col("score").cast("double"))
-    return d.groupBy("image_id", "class_id").cogroup(gt.groupBy("image_id", "class_id")).applyInPandas(run, ddl)
+    four = [F.col(c).cast("double").alias(c) for c in B.Box._fields]
+    d = det.select("image_id", "class_id", "det_idx", F.col("score").cast("double").alias("score"), *four, F.lit(0).alias("side"), F.lit(False).alias("skip"))
+    g = gt.select("image_id", "class_id", F.col("gt_idx").alias("det_idx"), F.lit(None).cast("double").alias("score"), *four, F.lit(1).alias("side"), F.coalesce("is_ignore", F.lit(False)).alias("skip"))
+    return whole_groups(d.union(g), ["image_id", "class_id"], ["side", F.desc("score"), "det_idx"], run, ddl)
 
 
 def tpfp_group_of(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5, ioa_thr: float = 0.5, extra: float = 0) -> DataFrame:

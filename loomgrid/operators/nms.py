@@ -3,18 +3,21 @@
 Greedy suppression is sequential within a group (image, class), so it is a fold over the group's boxes in falling
 score, expressed as a higher-order function: it stays in the JVM and runs for all groups in parallel. Fast and matrix
 suppression have no sequence and are self joins on the group. Soft suppression, whose scores change as
-it goes, is a vectorised pandas function per group.
+it goes, and that of rotated boxes take each step for the groups of a batch at once.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import boxes as B
-from loomgrid.session import reachable
+from loomgrid.operators.grouped import PAIRS, by_size, corners, whole_groups
+
+#: Rotated boxes of groups that take their steps together.
+CLIPPED = 1 << 16
 
 
 def _ordered(dets: DataFrame, group: list[str], idx: str, score: str, order: str | None = None) -> DataFrame:
@@ -74,34 +77,38 @@ def soft_nms(dets: DataFrame, thr: float, group: list[str], idx: str = "det_idx"
     """(group, idx, rank, score): scores lowered by overlap with each box taken; boxes below ``min_score`` leave."""
     if method not in ("naive", "linear", "gaussian"):
         raise ValueError(method)
-    reachable(dets.sparkSession)
-    kinds = dict(dets.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        b = pdf[["x1", "y1", "x2", "y2"]].to_numpy(np.float64)
-        s, area = pdf[score].to_numpy(np.float64).copy(), (b[:, 2] - b[:, 0] + offset) * (b[:, 3] - b[:, 1] + offset)
-        left, out = list(range(len(b))), []
-        while left:
-            at = max(left, key=lambda i: (s[i], -i))
-            out.append((at, s[at]))
-            left.remove(at)
-            if not left:
-                break
-            r = np.array(left)
-            w = np.maximum(0, np.minimum(b[at, 2], b[r, 2]) - np.maximum(b[at, 0], b[r, 0]) + offset)
-            h = np.maximum(0, np.minimum(b[at, 3], b[r, 3]) - np.maximum(b[at, 1], b[r, 1]) + offset)
-            inter = w * h
-            with np.errstate(invalid="ignore", divide="ignore"):
-                v = inter / (area[at] + area[r] - inter)
-            k = {"naive": np.where(v >= thr, 0.0, 1.0), "linear": np.where(v >= thr, 1 - v, 1.0), "gaussian": np.exp(-v * v / sigma)}[method]
-            s[r] *= np.nan_to_num(k, nan=1.0)
-            left = [i for i in left if s[i] >= min_score]
-        head = {c: pdf[c].iloc[0] for c in group}
-        return pd.DataFrame({**{c: [head[c]] * len(out) for c in group}, idx: pdf[idx].to_numpy()[[i for i, _ in out]], "rank": range(len(out)), score: [v for _, v in out]})
+    kinds, w = dict(dets.dtypes), len(group)
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        b, scores, found = corners(t), t.column("_s").to_numpy(), []
+        areas = (b[:, 2] - b[:, 0] + offset) * (b[:, 3] - b[:, 1] + offset)
+        for _, at in by_size(starts, len(t)):
+            for rows in np.array_split(at, -(-at.size // PAIRS)):  # a step of all these groups at once
+                s, left = scores[rows].copy(), np.ones(rows.shape, bool)
+                line = np.arange(len(rows))
+                for rank in range(rows.shape[1]):
+                    top = np.where(left & ~np.isnan(s), s, -np.inf).argmax(axis=1)
+                    top = np.where(left[line, top], top, left.argmax(axis=1))  # where no score is above -inf, the first left
+                    has = left[line, top]
+                    if not has.any():
+                        break
+                    found.append((rows[line, top][has], np.full(has.sum(), rank), s[line, top][has]))
+                    left[line, top] = False
+                    one = rows[line, top]
+                    x, y = (np.maximum(0, np.minimum(b[one, k + 2][:, None], b[rows, k + 2]) - np.maximum(b[one, k][:, None], b[rows, k]) + offset) for k in (0, 1))
+                    inter = x * y
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        v = inter / (areas[one][:, None] + areas[rows] - inter)
+                    k = {"naive": lambda: np.where(v >= thr, 0.0, 1.0), "linear": lambda: np.where(v >= thr, 1 - v, 1.0), "gaussian": lambda: np.exp(-v * v / sigma)}[method]()  # noqa: B023
+                    s = np.where(left, s * np.nan_to_num(k, nan=1.0), s)
+                    left &= s >= min_score
+        at, rank, got = (np.concatenate(x) for x in zip(*found, strict=True))
+        own = {t.column_names[k]: t.column(k).take(pa.array(at)) for k in range(w + 1)}
+        return pa.table({**own, "rank": pa.array(rank.astype(np.int32)), score: pa.array(got)})
 
     ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in group), f"`{idx}` {kinds[idx]}", "rank int", f"`{score}` double"])
-    return dets.select(*group, idx, score, *B.Box._fields).groupBy(*group).applyInPandas(run, ddl)
+    d = dets.select(*group, idx, F.col(score).cast("double").alias("_s"), *(F.col(n).cast("double").alias(n) for n in B.Box._fields))
+    return whole_groups(d, group, [idx], run, ddl)
 
 
 def _ranked_pairs(dets: DataFrame, group: list[str], idx: str, score: str, top: int | None) -> tuple[DataFrame, DataFrame]:
@@ -152,26 +159,35 @@ def multiclass_nms(scores: DataFrame, thr: float, score_thr: float, image: list[
 
 def rotated_nms(dets: DataFrame, thr: float, group: list[str], idx: str = "det_idx", score: str = "score", box: str = "rbox", pre: int | None = None, post: int | None = None) -> DataFrame:
     """Greedy suppression of rotated boxes (arrays cx, cy, w, h, angle); bird's-eye boxes are the same with caps."""
-    from loomgrid.operators.spatial import polygon_iou, rotated_corners
-
-    reachable(dets.sparkSession)
-    kinds = dict(dets.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, idx], ascending=[False, True])
-        pdf = pdf.head(pre) if pre else pdf
-        corners = [rotated_corners(*b[:5]) for b in pdf[box]]
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            if all(polygon_iou(corners[k], corners[i]) <= thr for k in kept):
-                kept.append(i)
-        kept = kept[:post] if post else kept
-        out = pdf.iloc[kept][[*group, idx, score]].copy()
-        out["rank"] = range(len(out))
-        return out
+    from loomgrid.operators.spatial import rotated_ious
+
+    kinds, w = dict(dets.dtypes), len(group)
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        r, found = np.stack([t.column(f"_b{k}").to_numpy() for k in range(5)], axis=1), []
+        reach = np.sqrt(r[:, 2] * r[:, 2] + r[:, 3] * r[:, 3]) / 2
+        for n, at in by_size(starts, len(t)):
+            at = at[:, :pre] if pre else at
+            for rows in np.array_split(at, -(-at.size // CLIPPED)):
+                kept = np.zeros(rows.shape, bool)
+                for i in range(rows.shape[1]):
+                    one = rows[:, i]
+                    gap = r[rows[:, :i], :2] - r[one, None, :2]
+                    near = kept[:, :i] & ((gap * gap).sum(axis=2) <= (reach[rows[:, :i]] + reach[one][:, None]) ** 2 * (1 + 1e-9))
+                    k, j = np.nonzero(near if thr >= 0 else kept[:, :i])  # circles apart: no overlap
+                    hit = rotated_ious(r[rows[k, j]], r[one[k]]) > thr
+                    kept[:, i] = True
+                    kept[k[hit], i] = False
+                rank = kept.cumsum(axis=1) - 1
+                ok = kept & (rank < post) if post else kept
+                found.append((rows[ok], rank[ok]))
+        at, rank = (np.concatenate(x) for x in zip(*found, strict=True))
+        own = {t.column_names[k]: t.column(k).take(pa.array(at)) for k in range(w + 2)}
+        return pa.table({**own, "rank": pa.array(rank.astype(np.int32))})
 
     ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in group), f"`{idx}` {kinds[idx]}", f"`{score}` double", "rank int"])
-    return dets.select(*group, idx, F.col(score).cast("double").alias(score), box).groupBy(*group).applyInPandas(run, ddl)
+    d = dets.select(*group, idx, F.col(score).cast("double").alias(score), *(F.col(box)[k].cast("double").alias(f"_b{k}") for k in range(5)))
+    return whole_groups(d, group, [F.desc(score), idx], run, ddl)
 
 
 def select_regions(pred: DataFrame, refer: DataFrame, truth: DataFrame, image: list[str], thr: float = 0.6, min_score: float = 0.15, max_num: int = 100, seed: int = 0) -> DataFrame:
