@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.operators.numbering import written
+
 #: Fixed values of the score: longest n-gram, spread of the length penalty, scale.
 N, SIGMA, SCALE = 4, 6.0, 10.0
 
@@ -33,17 +35,19 @@ def consensus(captions: DataFrame, references: DataFrame, item: str = "image_id"
     c = captions.select(F.col(item), words(F.col(text)).alias("_w"))
     r = references.select(F.col(item), F.col(ref).alias("_ref"), words(F.col(text)).alias("_w"))
     count = lambda d, keys: d.select(*keys, F.size("_w").alias("_len"), F.explode(ngrams("_w")).alias("x")).groupBy(*keys, "_len", "x.n", "x.g").agg(F.count("*").alias("tf"))
-    cg, rg = count(c, [item]), count(r, [item, "_ref"])
+    # n-grams and weights are written once, or each use would make them again in one plan that the driver holds whole; joins of tables that grow with the
+    # texts are merges, so none passes through the driver
+    cg, rg = written(count(c, [item]), "grams"), written(count(r, [item, "_ref"]), "grams")
     df = rg.select(item, "n", "g").distinct().groupBy("n", "g").agg(F.count("*").alias("df"))
     items = r.agg(F.log(F.countDistinct(item).cast("double")).alias("_all"))  # one row
-    weigh = lambda d: d.join(df, ["n", "g"], "left").crossJoin(F.broadcast(items)).withColumn("w", F.col("tf") * (F.col("_all") - F.log(F.coalesce("df", F.lit(1)).cast("double"))))
-    cw, rw = weigh(cg), weigh(rg)
+    weigh = lambda d: d.join(df.hint("merge"), ["n", "g"], "left").crossJoin(F.broadcast(items)).withColumn("w", F.col("tf") * (F.col("_all") - F.log(F.coalesce("df", F.lit(1)).cast("double"))))
+    cw, rw = written(weigh(cg), "weights"), written(weigh(rg), "weights")
     norm = lambda d, keys, name: d.groupBy(*keys, "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    both = cw.select(item, "n", "g", F.col("w").alias("cw"), F.col("_len").alias("cl")).join(rw.select(item, "_ref", "n", "g", "w", "_len"), [item, "n", "g"])
+    both = cw.select(item, "n", "g", F.col("w").alias("cw"), F.col("_len").alias("cl")).join(rw.select(item, "_ref", "n", "g", "w", "_len").hint("merge"), [item, "n", "g"])
     dot = both.groupBy(item, "_ref", "n").agg(F.sum(F.least("cw", "w") * F.col("w")).alias("dot"), F.first("cl").alias("cl"), F.first("_len").alias("rl"))
-    s = dot.join(norm(cw, [item], "cn"), [item, "n"]).join(norm(rw, [item, "_ref"], "rn"), [item, "_ref", "n"])
+    s = dot.join(norm(cw, [item], "cn").hint("merge"), [item, "n"]).join(norm(rw, [item, "_ref"], "rn").hint("merge"), [item, "_ref", "n"])
     gap = (F.col("cl") - F.col("rl")).cast("double")
     like = F.when((F.col("cn") > 0) & (F.col("rn") > 0), F.col("dot") / (F.col("cn") * F.col("rn"))).otherwise(0.0) * F.exp(-gap * gap / (2 * SIGMA * SIGMA))
     total = s.groupBy(item).agg(F.sum(like).alias("_sum"))
     n = references.groupBy(item).agg(F.count("*").alias("n_refs"))
-    return captions.select(item).join(n, item).join(total, item, "left").select(item, "n_refs", (SCALE * F.coalesce("_sum", F.lit(0.0)) / (N * F.col("n_refs"))).alias("score"))
+    return captions.select(item).join(n.hint("merge"), item).join(total.hint("merge"), item, "left").select(item, "n_refs", (SCALE * F.coalesce("_sum", F.lit(0.0)) / (N * F.col("n_refs"))).alias("score"))

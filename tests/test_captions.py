@@ -36,3 +36,12 @@ def test_scores(spark):
     for k, (n, s) in want.items():
         assert got[k][0] == n and got[k][1] == pytest.approx(s, abs=1e-9)
     assert got[2][1] == pytest.approx(7.5) and got[3][1] == 0  # three of four lengths are there
+
+
+def test_no_table_of_texts_passes_the_driver(spark):
+    """However small the tables are here, only the one row with the number of items is broadcast."""
+    caps, refs = spark.createDataFrame([(1, "a b c")], "image_id int, text string"), spark.createDataFrame([(1, 0, "a b d")], "image_id int, ref_idx int, text string")
+    out = C.consensus(caps, refs)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
