@@ -56,12 +56,12 @@ BOX = ("x1", "y1", "x2", "y2")
 PAIRS = 1 << 20
 
 
-def images(boxes: DataFrame, gt: DataFrame, work: Callable[[pa.Table, Iterator], pa.Table], ddl: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """``work(table, parts)`` on boxes (image_id, det_idx, x1..y2, ``more`` as double) and truths (image_id, gt_idx, x1..y2) of whole images. Boxes and
+def images(boxes: DataFrame, gt: DataFrame, work: Callable[[pa.Table, Iterator], pa.Table], ddl: str, more: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """``work(table, parts)`` on boxes (image_id, det_idx, x1..y2, ``more`` as double, ``keep`` as both sides have it) and truths (image_id, gt_idx, x1..y2) of whole images. Boxes and
     truths move once, as rows; their pairs are only looked at where they meet. ``parts`` yields (d, g): places in the table of the boxes (b, n) and truths (b, m)
     of images of equal numbers, in order of their idx; images without either are left out."""
     extra = lambda d: [F.col(c).cast("double").alias(c) if d is boxes else F.lit(None).cast("double").alias(c) for c in more]
-    side = lambda d, k, idx: d.where("image_id is not null").select("image_id", F.lit(k).alias("side"), F.col(idx).cast("long").alias("idx"), *(F.col(c).cast("double").alias(c) for c in BOX), *extra(d))
+    side = lambda d, k, idx: d.where("image_id is not null").select("image_id", F.lit(k).alias("side"), F.col(idx).cast("long").alias("idx"), *(F.col(c).cast("double").alias(c) for c in BOX), *extra(d), *keep)
 
     def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
         n = np.add.reduceat((t.column("side").to_numpy() == 0).astype(int), starts)

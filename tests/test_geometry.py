@@ -318,6 +318,8 @@ ASSIGNERS = {
     "max_iou": lambda d, g: A.max_iou_assign(d, g, min_pos=0.1),
     "approx": lambda d, g: A.approx_max_iou_assign(d, d.unionByName(d.withColumn("x1", F.col("x1") + 1)), g),
     "atss": lambda d, g: A.atss_assign(d, g, level="class_id"),
+    "sim_ota": lambda d, g: A.sim_ota_assign(d.withColumns({"px": F.col("x1") + 1, "py": F.col("y1") + 1, "stride": F.lit(2.0)}), g),
+    "uniform": lambda d, g: A.uniform_assign(d, d.withColumn("x1", F.col("x1") - 1), g, k=2),
     "task": lambda d, g: A.task_aligned_assign(d.withColumn("px", F.col("x1") + 1).withColumn("py", F.col("y1") + 1), g),
 }
 
