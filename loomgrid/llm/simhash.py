@@ -156,10 +156,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Frequent shingles the common order knows of at most, and one of how many texts they are counted on. Both bear on cost
-#: alone: any order gives the same pairs.
+#: Frequent shingles the common order knows of at most; the rest count as rare. It bears on cost alone: any order gives the same pairs.
 COMMON = 1 << 16
-COUNTED = 8
 #: A wide fingerprint's segments of 23 bits, two to a long; the triples of segments that make its keys; and the bits in which
 #: texts that meet under a key may differ to be compared (unrelated texts differ in about half of the 138).
 WIDE = 6
@@ -294,9 +292,8 @@ def shape_udf(shingle: int, least: float, known: np.ndarray, counts: np.ndarray)
 
 
 def frequent(texts: DataFrame, shingle: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of at most COMMON shingles that most texts of a sample share, and their counts; ``texts``: t binary."""
-    some = texts.where(F.pmod(F.xxhash64("t"), F.lit(COUNTED)) == 0).select("t").distinct()
-    n = scratch.save("frequent", some.select(F.explode(shingles_udf(shingle)(F.col("t"))).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2"))
+    """Sorted hashes of at most COMMON shingles that most texts share, and in how many of all distinct texts; ``texts``: t binary."""
+    n = scratch.save("frequent", texts.select("t").distinct().select(F.explode(shingles_udf(shingle)(F.col("t"))).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2"))
     total, lowest = 0, None
     for r in sorted(n.groupBy("n").agg(F.count("*").alias("m")).collect(), reverse=True):
         total += r.m
@@ -305,6 +302,7 @@ def frequent(texts: DataFrame, shingle: int, scratch: Scratch) -> tuple[np.ndarr
         lowest = r.n
     got = sorted((r.h % (1 << 64), r.n) for r in n.where(F.col("n") >= lowest).collect()) if lowest else []
     scratch.drop(n)
+    scratch.release()
     return np.array([h for h, _ in got], np.uint64), np.array([c for _, c in got], np.int64)
 
 

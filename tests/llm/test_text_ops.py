@@ -810,3 +810,11 @@ def test_pipeline(spark, sf_dir):
         empty = scratch.save(name, stage(spark, empty, sf_dir))
         assert empty.count() == 0
     assert pipeline.STAGES[-1][1](spark, empty, sf_dir).count() == 0
+
+
+def test_shingles_are_counted_on_all_texts(spark):
+    texts = [f"these five words are shared by {k}" for k in range(60)]
+    d = spark.createDataFrame([(t,) for t in texts + texts[:5]], "t string").select(F.col("t").cast("binary").alias("t"))
+    known, counts = simhash.frequent(d, 5, common.Scratch(spark, "test"))
+    assert counts.tolist() == [60, 60]  # repeated texts once; one of eight was counted before
+    assert len(known) == 2
