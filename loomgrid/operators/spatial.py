@@ -11,11 +11,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from loomgrid.functions import boxes as B
+from loomgrid.operators.grouped import beside, corners, overlaps, stretches
 from loomgrid.operators.numbering import written
 from loomgrid.session import reachable
 
@@ -38,13 +40,30 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], mode: str = "iou", l
     return j if least is None else j.where(F.col("iou") >= least)
 
 
-def best_match(a: DataFrame, b: DataFrame, on: list[str], a_key: list[str], b_idx: str, mode: str = "iou", extra: float = 0, eps: float = 1e-6) -> DataFrame:
-    """For each ``a`` row the ``b`` row of largest overlap (lowest ``b_idx`` on ties); rows without any ``b`` keep nulls.
-
-    The choice is a ``max_by`` aggregation, which combines before the shuffle, not a sort of all pairs."""
-    pairs = overlap_join(a, b, on, mode, None, extra, eps)
-    best = pairs.groupBy(*on, *a_key).agg(F.max_by(F.struct(b_idx, "iou"), F.struct(F.col("iou"), -F.col(b_idx))).alias("m"))
-    return a.join(best, [*on, *a_key], "left").withColumn("match", F.col(f"m.{b_idx}")).withColumn("iou", F.col("m.iou")).drop("m")
+def best_match(a: DataFrame, b: DataFrame, on: list[str], a_key: list[str], b_idx: str, mode: str = "iou", extra: float = 0, eps: float = 1e-6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For each ``a`` row the ``b`` row of largest overlap (lowest ``b_idx`` on ties) as ``match`` and ``iou``, with its columns ``keep``; rows without any ``b`` keep
+    nulls. Boxes move once, as rows, never their pairs."""
+    corner = {c: F.col(c).cast("double") for c in B.Box._fields}
+    kinds = [b.schema[c].dataType for c in keep]
+    mine = corner | {f"_{c}": F.lit(None).cast(k) for c, k in zip(keep, kinds, strict=True)}
+    theirs = corner | {f"_{c}": F.col(c) for c in keep}
+
+    def work(t: pa.Table, parts) -> dict[str, pa.Array]:
+        box, at, iou = corners(t), np.full(len(t), -1), np.full(len(t), -np.inf)
+        for d, g in parts:
+            at[d] = g[:, :1]
+            for few in stretches(d, g):
+                v = overlaps(box[d], box[few], eps, mode, extra)
+                best = v.argmax(axis=2)
+                v, few = np.take_along_axis(v, best[..., None], axis=2)[..., 0], np.take_along_axis(few, best, axis=1)
+                more = v > iou[d]
+                at[d], iou[d] = np.where(more, few, at[d]), np.where(more, v, iou[d])
+        place = pa.array(at, mask=at < 0)
+        theirs = {"match": "_b"} | {c: f"_{c}" for c in keep}
+        return {n: t.column(c).combine_chunks().take(place) for n, c in theirs.items()} | {"iou": pa.array(iou, mask=np.isinf(iou))}
+
+    added = StructType([StructField("match", b.schema[b_idx].dataType), StructField("iou", DoubleType()), *(StructField(c, k) for c, k in zip(keep, kinds, strict=True))])
+    return beside(a, b, on, a_key, b_idx, mine, theirs, work, added)
 
 
 def squared_distance(dims: list[str], other: str = "c_") -> Column:
