@@ -46,3 +46,14 @@ def test_point_assign_moves_rows_not_pairs(spark):
     a = A.point_assign(points, gt, pos_num=2)
     assert "Join" not in exchanges(a)
     assert sorted((r.image_id or 0, r.det_idx, r.gt_inds) for r in a.collect()) == [(0, 9, 0), (1, 0, 0), (1, 1, 2), (1, 2, 2), (1, 3, 0), (1, 4, 0), (2, 0, 0)]
+
+
+def test_bucket_lines_are_ranked_once(spark):
+    d = boxes(spark, [(1, 0, 1, 0.0, 0.0, 70.0, 70.0, 0.5)])
+    g = B.Box(*(F.lit(v) for v in (10.0, 0.0, 70.0, 70.0)))
+    e = B.bucket_encode(B.box(), g, "left", 7)
+    assert "array_sort" not in exchanges(d.select(e.alias("e")))  # sorted anew for every line
+    r = d.select(e.alias("e")).first().e
+    assert (r.label, r.offsets, r.weights, r.cls_weights) == (0, [-0.5, 0.5, 1.5, 2.5], [1.0, 1.0, 0.0, 0.0], [1.0, 0.0, 1.0, 1.0])
+    lost = B.bucket_encode(B.box(), B.Box(F.lit(None).cast("double"), g.y1, g.x2, g.y2), "left", 7)
+    assert d.select(lost.alias("e")).first().e.label == 0
