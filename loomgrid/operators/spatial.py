@@ -391,15 +391,91 @@ def rotated_iou(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(rotated_ious(np.stack(a)[:, :5].astype(float), np.stack(b)[:, :5].astype(float)) if len(a) else np.zeros(0))
 
 
+def packed(points: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The valid ones of each line's points (m, k, 2) moved to its front, the rest repeating the first, and how many they are."""
+    n = valid.sum(axis=1)
+    order = np.argsort(~valid, axis=1, kind="stable")[:, : max(1, n.max(initial=0))]
+    points = np.take_along_axis(points, order[..., None], axis=1)
+    return np.where((np.arange(points.shape[1]) < n[:, None])[..., None], points, points[:, :1]), n
+
+
+def hulls(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Convex hulls of the point sets (m, k, 2), counter-clockwise and packed (monotone chain, a step for all at once)."""
+    line = np.arange(len(points))
+    points = np.take_along_axis(points, np.lexsort((points[..., 1], points[..., 0]), axis=1)[..., None], axis=1)
+
+    def chain(pts):
+        out, n = np.zeros_like(pts), np.zeros(len(pts), int)
+        for p in np.moveaxis(pts, 1, 0):
+            at = line
+            while len(at):
+                at = at[n[at] > 1]
+                a, b = out[at, n[at] - 2], out[at, n[at] - 1]
+                turn = (b[:, 0] - a[:, 0]) * (p[at, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (p[at, 0] - a[:, 0])
+                at = at[turn <= 0]
+                n[at] -= 1
+            out[line, n] = p
+            n += 1
+        return out, np.arange(out.shape[1]) < n[:, None] - 1
+
+    (low, a), (high, b) = chain(points), chain(points[:, ::-1])
+    return packed(np.concatenate([low, high], axis=1), np.concatenate([a, b], axis=1))
+
+
+def shoelaces(p: np.ndarray) -> np.ndarray:
+    q = np.roll(p, -1, axis=1)
+    return (p[..., 0] * q[..., 1] - p[..., 1] * q[..., 0]).sum(axis=1) / 2
+
+
+def convex_clips(p: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``convex_clip`` of the packed polygons ``p`` by the polygons ``q`` (m, k, 2), one half-plane of all pairs after the other."""
+    for k in range(q.shape[1]):
+        a, b = q[:, None, k], q[:, None, (k + 1) % q.shape[1]]
+        side = (b[..., 0] - a[..., 0]) * (p[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (p[..., 0] - a[..., 0])
+        to, other = np.roll(p, -1, axis=1), np.roll(side, -1, axis=1)  # what follows the last corner repeats the first, as the rest does
+        real = np.arange(p.shape[1]) < n[:, None]
+        cut = real & (((side > 0) & (other < 0)) | ((side < 0) & (other > 0)))
+        t = side / np.where(cut, side - other, 1.0)
+        points = np.stack([p, p + t[..., None] * (to - p)], axis=2).reshape(len(p), -1, 2)
+        p, n = packed(points, np.stack([real & (side >= 0), cut], axis=2).reshape(len(p), -1))
+    return np.where((n > 2)[:, None, None], p, 0.0)
+
+
+def convex_ious(points: np.ndarray, q: np.ndarray, mode: str = "iou") -> np.ndarray:
+    """IoU or GIoU of the hulls of point sets (m, k, 2) and convex polygons (m, j, 2), all at once."""
+    p, n = hulls(points)
+    q = np.where((shoelaces(q) >= 0)[:, None, None], q, q[:, ::-1])
+    a, b = shoelaces(p), shoelaces(q)
+    inter = np.abs(shoelaces(convex_clips(p, n, q)))
+    union = a + b - inter
+    v = np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
+    if mode == "giou":
+        h = np.abs(shoelaces(hulls(np.concatenate([p, q], axis=1))[0]))
+        v = v - np.where(h > 0, (h - union) / np.where(h > 0, h, 1.0), 0.0)
+    return v
+
+
+def _convex(points: pd.Series, polygon: pd.Series, mode: str) -> pd.Series:
+    """Pairs of equal numbers of corners go together."""
+    out = np.zeros(len(points))
+    sizes = np.array([(len(x), len(y)) for x, y in zip(points, polygon, strict=True)], int).reshape(-1, 2)
+    for k, j in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == (k, j)).all(axis=1))
+        if k and j:
+            flat = lambda s: np.stack(s.to_numpy()[at]).astype(float).reshape(len(at), -1, 2)  # noqa: B023, E731
+            out[at] = convex_ious(flat(points), flat(polygon), mode)
+    return pd.Series(out)
+
+
 @F.pandas_udf(DoubleType())
 def convex_giou(points: pd.Series, polygon: pd.Series) -> pd.Series:
     """GIoU of the convex hull of a point set and a polygon, both as arrays of x, y alternating."""
-    return pd.Series([polygon_iou(hull(np.reshape(x, (-1, 2))), np.reshape(np.array(y, float), (-1, 2)), "giou") for x, y in zip(points, polygon, strict=True)])
+    return _convex(points, polygon, "giou")
 
 
 @F.pandas_udf(DoubleType())
 def convex_iou(points: pd.Series, polygon: pd.Series) -> pd.Series:
-    return pd.Series([polygon_iou(hull(np.reshape(x, (-1, 2))), np.reshape(np.array(y, float), (-1, 2))) for x, y in zip(points, polygon, strict=True)])
+    return _convex(points, polygon, "iou")
 
 
 @F.pandas_udf(ArrayType(DoubleType()))

@@ -57,3 +57,17 @@ def test_bucket_lines_are_ranked_once(spark):
     assert (r.label, r.offsets, r.weights, r.cls_weights) == (0, [-0.5, 0.5, 1.5, 2.5], [1.0, 1.0, 0.0, 0.0], [1.0, 0.0, 1.0, 1.0])
     lost = B.bucket_encode(B.box(), B.Box(F.lit(None).cast("double"), g.y1, g.x2, g.y2), "left", 7)
     assert d.select(lost.alias("e")).first().e.label == 0
+
+
+def test_convex_overlaps_of_many_pairs(monkeypatch):
+    rng = np.random.default_rng(5)
+    points = [rng.integers(0, 12, 2 * k).astype(float) for k in rng.integers(1, 9, 300)]
+    points += [np.array([0.0, 0, 4, 4, 8, 8]), np.array([1.0, 1, 1, 1, 1, 1])]  # a line, a point
+    quads = [np.array([x, y, x + w, y, x + w, y + h, x, y + h], float)[:: 1] for x, y, w, h in np.hstack([rng.integers(0, 8, (302, 2)), rng.integers(1, 8, (302, 2))])]
+    quads[::2] = [q.reshape(-1, 2)[::-1].ravel() for q in quads[::2]]
+    for mode, f in (("iou", P.convex_iou), ("giou", P.convex_giou)):
+        want = [P.polygon_iou(P.hull(p.reshape(-1, 2)), q.reshape(-1, 2), mode) for p, q in zip(points, quads, strict=True)]
+        monkeypatch.setattr(P, "convex_clip", None)  # pair by pair
+        got = f.func(pd.Series(points), pd.Series(quads))
+        monkeypatch.undo()
+        assert got.tolist() == pytest.approx(want, abs=1e-9)
