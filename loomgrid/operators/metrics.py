@@ -7,6 +7,8 @@ x1..y2, is_ignore[, is_group_of]). Matching is a join on (image, class); ranking
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,8 +31,7 @@ def tpfp_default(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5, extra: flo
     detection outside the range is neither."""
     out_of = lambda a: F.lit(False) if area is None else (a < area[0]) | (a >= area[1])
     g = gt.withColumn("_skip", F.col("is_ignore") | out_of(B.area(B.box(), extra)))
-    m = best_match(det, g, ["image_id", "class_id"], ["det_idx"], "gt_idx", extra=extra)
-    m = m.join(g.select("image_id", "class_id", F.col("gt_idx").alias("match"), "_skip"), ["image_id", "class_id", "match"], "left")
+    m = best_match(det, g, ["image_id", "class_id"], ["det_idx"], "gt_idx", extra=extra, keep=("_skip",))
     hit = F.coalesce(F.col("iou") >= iou_thr, F.lit(False))
     w = Window.partitionBy("image_id", "class_id", "match", "_hit").orderBy(F.desc("score"), "det_idx")
     m = m.withColumn("_hit", hit).withColumn("_first", F.row_number().over(w) == 1)
@@ -173,32 +174,99 @@ def coco_ap(det: DataFrame, gt: DataFrame, thresholds: list[float] | None = None
 def coco_curves(det: DataFrame, gt: DataFrame, settings: list[tuple[str, float, float, int]], thresholds: list[float] | None = None) -> DataFrame:
     """coco_ap for several settings (name, least and most area, detections per image and class) at once, column ``setting``.
 
-    The overlap join, the best match and the order of a truth's claims happen once: a detection is the first to claim its truth at
-    the thresholds above the best overlap of the claims before it, up to its own. Only then is there a row per
-    setting and threshold."""
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("setting"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(k).alias("k")) for n, lo, hi, k in settings)))
-    thresholds = F.explode(F.array(*map(F.lit, thresholds or [round(0.5 + 0.05 * k, 2) for k in range(10)])))
-    outside = lambda a: (F.col(a) < F.col("s.lo")) | (F.col(a) >= F.col("s.hi"))
+    The best match and the order of a truth's claims happen once: a detection is the first to claim its truth at the thresholds
+    above the best overlap of the claims before it, up to its own. There is never a row per setting and threshold."""
+    thresholds = thresholds or [round(0.5 + 0.05 * k, 2) for k in range(10)]
     best = Window.partitionBy("image_id", "class_id").orderBy(F.desc("score"), "det_idx")
     top = det.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max(k for *_, k in settings))
-    g = gt.withColumn("_area", B.area(B.box()))
-    m = best_match(top, g, ["image_id", "class_id"], ["det_idx"], "gt_idx")
-    m = m.join(g.select("image_id", "class_id", F.col("gt_idx").alias("match"), F.col("is_ignore").alias("_ignore"), "_area"), ["image_id", "class_id", "match"], "left")
+    g = gt.withColumn("_area", B.area(B.box()).cast("double"))
+    m = best_match(top.select("image_id", "class_id", "det_idx", "score", *B.Box._fields, "_r"), g, ["image_id", "class_id"], ["det_idx"], "gt_idx", keep=("is_ignore", "_area"))
     claims = Window.partitionBy("image_id", "class_id", "match").orderBy(F.desc("score"), "det_idx").rowsBetween(Window.unboundedPreceding, -1)
-    m = m.withColumn("_earlier", F.coalesce(F.max("iou").over(claims), F.lit(-1.0))).withColumn("_own", B.area(B.box())).withColumn("s", each).where(F.col("_r") <= F.col("s.k"))
-    m = m.withColumn("_skip", F.coalesce(F.col("_ignore") | outside("_area"), F.lit(False))).withColumn("_out", outside("_own"))
-    m = m.withColumn("iou_thr", thresholds).withColumn("_hit", F.coalesce(F.col("iou") >= F.col("iou_thr"), F.lit(False)))
-    first = F.col("_earlier") < F.col("iou_thr")
-    use = F.col("_hit") & ~F.col("_skip")
-    m = m.withColumn("tp", F.when(use & first, 1).otherwise(0)).withColumn("fp", F.when(use & ~first, 1).when(~F.col("_hit") & ~F.col("_out"), 1).otherwise(0))
-    counts = g.withColumn("s", each).groupBy("s.setting", "class_id").agg(F.count(F.when(~F.col("is_ignore") & ~outside("_area"), 1)).alias("num_gts")).withColumn("iou_thr", thresholds)
-    by = ("setting", "iou_thr", "class_id")
-    pr = envelope(precision_recall(m.select("s.setting", "iou_thr", "image_id", "class_id", "det_idx", "score", "tp", "fp"), counts, by), by)
-    # points r = 0, .01, ..., 1 whose first row with recall >= r is this one
-    before = F.when(F.col("pos") == 1, -0.01).otherwise(F.col("before"))
-    points = F.floor(F.col("recall") * 100 + 1e-9) - F.floor(before * 100 + 1e-9)
-    ap = pr.groupBy(*by).agg((F.sum(points * F.col("env")) / 101).alias("ap"), F.max("recall").alias("recall"))
-    return counts.join(ap, list(by), "left").select(*by, "num_gts", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
+    m = m.withColumn("_earlier", F.coalesce(F.max("iou").over(claims), F.lit(-1.0)))
+    m = m.select("class_id", "score", "image_id", "det_idx", "_r", "iou", "_earlier", F.coalesce("is_ignore", F.lit(False)).alias("_ignore"), "_area", B.area(B.box()).cast("double").alias("_own"), F.col("match").isNotNull().alias("_met"))
+    inside = lambda lo, hi: ~F.col("is_ignore") & (F.col("_area") >= lo) & (F.col("_area") < hi)
+    counts = g.groupBy("class_id").agg(*(F.count(F.when(inside(lo, hi), 1)).alias(f"n{s}") for s, (_, lo, hi, _) in enumerate(settings)))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("setting"), F.lit(s).alias("s"), F.col(f"n{s}").alias("num_gts")) for s, (n, *_) in enumerate(settings))))
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(v)).alias("iou_thr")) for k, v in enumerate(thresholds))))
+    counts = counts.select("class_id", each.alias("e")).select("class_id", "e.*", levels.alias("l")).select("class_id", "setting", "l.iou_thr", "num_gts", (F.col("s") * len(thresholds) + F.col("l.k")).alias("_curve"))
+    found = sampled_precision(m, counts, ["class_id", F.desc("score"), "image_id", "det_idx"], lambda t: claimed(t, settings, thresholds))
+    return counts.join(found, ["class_id", "_curve"], "left").select("setting", "iou_thr", "class_id", "num_gts", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
+
+
+def claimed(t: pa.Table, settings: list[tuple[str, float, float, int]], thresholds: list[float]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(curve, tp, fp) of a table's detections under each setting and threshold, one at a time; detections a setting leaves out are neither."""
+    r, iou, earlier, area, own = (t.column(c).to_numpy() for c in ("_r", "iou", "_earlier", "_area", "_own"))
+    ignored, met = (t.column(c).to_numpy() for c in ("_ignore", "_met"))
+    for s, (_, lo, hi, k) in enumerate(settings):
+        there = r <= k
+        count = there & ~(ignored | (met & ~((area >= lo) & (area < hi))))
+        loose = there & (own >= lo) & (own < hi)
+        for i, thr in enumerate(thresholds):
+            hit, first = iou >= thr, earlier < thr
+            use = hit & count
+            yield s * len(thresholds) + i, use & first, (use & ~first) | (loose & ~hit)
+
+
+#: Rows of a range of a class's order: what a task holds of it at once.
+STRETCH = 1 << 18
+
+
+def sampled_precision(rows: DataFrame, counts: DataFrame, order: list[Column | str], marks: Callable[[pa.Table], Iterator[tuple[int, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(class_id, _curve, ap, recall): the mean over recalls 0, .01, ..., 1 of the highest precision at that recall or more, for many curves over one order of
+    the rows. ``marks`` gives each curve's true and false positives; ``counts`` (class_id, _curve, num_gts) its truths.
+
+    Rows are dealt out by ranges of the order once, however many curves there are. A range first gives its totals; from those of the ranges
+    before it, it then gives its highest precision, and the highest from each recall on that it is the first to reach."""
+    rows = written(rows, "matches")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = ranges(rows, order, max(n, -(-rows.count() // STRETCH)))
+    kind = dict(t.dtypes)["class_id"]
+    key = ["class_id", "_p"]
+
+    def sums(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        size = np.diff(np.append(starts, len(t)))
+        got = [(k, np.add.reduceat(tp.astype(np.int64), starts), np.add.reduceat(fp.astype(np.int64), starts)) for k, tp, fp in marks(t)]
+        own = {c: pa.chunked_array([t.column(c).combine_chunks().take(pa.array(np.tile(starts, len(got))))]) for c in key}
+        return pa.table({**own, "_curve": np.repeat(np.array([k for k, *_ in got], np.int32), len(starts)), "n": np.tile(size, len(got)), "tp": np.concatenate([x for _, x, _ in got]), "fp": np.concatenate([x for *_, x in got])})
+
+    totals = written(whole_groups(t, key, ["_i"], sums, f"class_id {kind}, _p int, _curve int, n long, tp long, fp long"), "totals").where("class_id is not null")
+    curve = Window.partitionBy("class_id", "_curve")
+    up = curve.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    begun = totals.select(*key, "_curve", *(F.coalesce(F.sum(c).over(up), F.lit(0)).alias(c) for c in ("n", "tp", "fp"))).join(counts.select("class_id", "_curve", "num_gts"), ["class_id", "_curve"])
+    begun = begun.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in ("_curve", "n", "tp", "fp", "num_gts"))))).alias("b"))
+    kept = [f for f in t.schema.fields if f.name not in key]
+    first = begun.select(*key, *(F.lit(-1).cast("long").alias("_i") if f.name == "_i" else F.lit(None).cast(f.dataType).alias(f.name) for f in kept), *(F.col("b")[c].alias(f"b{c}") for c in ("_curve", "n", "tp", "fp", "num_gts")))
+    both = t.where("class_id is not null").select(*key, *(f.name for f in kept), *(F.lit(None).cast("array<bigint>").alias(f"b{c}") for c in ("_curve", "n", "tp", "fp", "num_gts"))).union(first)
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        out = []
+        for lo, hi in zip(starts, np.append(starts[1:], len(t)), strict=True):
+            head = {c: np.array(t.column(f"b{c}")[int(lo)].as_py() or [], np.int64) for c in ("_curve", "n", "tp", "fp", "num_gts")}
+            at = {int(k): i for i, k in enumerate(head["_curve"])}
+            if not at:  # a class without truths has no curve
+                continue
+            for k, tp, fp in marks(t.slice(lo + 1, hi - lo - 1)):
+                n, seen, wrong, truths = (int(head[c][at[k]]) for c in ("n", "tp", "fp", "num_gts"))
+                tp, fp = seen + np.cumsum(tp), wrong + np.cumsum(fp)
+                truths = max(float(truths), EPS32)
+                level = np.floor(tp / truths * 100 + 1e-9)
+                high = np.maximum.accumulate((tp / np.maximum(tp + fp, EPS32))[::-1])[::-1]
+                since = int(np.floor(seen / truths * 100 + 1e-9)) if n else -1
+                points = np.arange(since + 1, int(min(level[-1], 100)) + 1)
+                best = high[np.searchsorted(level, points)]
+                out.append((lo, k, np.append(points, -1), np.append(best, high[0]), tp[-1] / truths))
+        size = [len(p) for _, _, p, _, _ in out]
+        own = {c: t.column(c).combine_chunks().take(pa.array(np.repeat(np.array([x[0] for x in out], np.int64), size))) for c in key}
+        cat = lambda i, kind: np.concatenate([x[i] for x in out]).astype(kind) if out else np.zeros(0, kind)
+        each = lambda i, kind: np.repeat(np.array([x[i] for x in out], kind), size)
+        return pa.table({**own, "_curve": each(1, np.int32), "point": cat(2, np.int32), "best": cat(3, float), "recall": each(4, float)})
+
+    got = whole_groups(both, key, ["_i"], run, f"class_id {kind}, _p int, _curve int, point int, best double, recall double", STRETCH)
+    got = written(got, "points")
+    down = curve.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    later = got.where("point = -1").select(*key, "_curve", F.coalesce(F.max("best").over(down), F.lit(0.0)).alias("_later"))
+    ap = got.join(later, [*key, "_curve"]).groupBy("class_id", "_curve")
+    return ap.agg((F.coalesce(F.sum(F.when(F.col("point") >= 0, F.greatest("best", "_later"))), F.lit(0.0)) / 101).alias("ap"), F.max("recall").alias("recall"))
 
 
 def coco_summary(det: DataFrame, gt: DataFrame) -> DataFrame:

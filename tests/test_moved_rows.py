@@ -71,3 +71,20 @@ def test_convex_overlaps_of_many_pairs(monkeypatch):
         got = f.func(pd.Series(points), pd.Series(quads))
         monkeypatch.undo()
         assert got.tolist() == pytest.approx(want, abs=1e-9)
+
+
+def test_coco_curves_over_many_ranges(spark, sf_dir, monkeypatch):
+    from loomgrid.plans import fixtures as X
+
+    det, gt = X.det(spark, sf_dir), X.gt(spark, sf_dir)
+    whole = sorted(map(tuple, M.coco_ap(det, gt).collect()))
+    rows = []
+    real = M.ranges
+    monkeypatch.setattr(M, "STRETCH", 50)
+    monkeypatch.setattr(M, "ranges", lambda d, *a: rows.append((d.count(), a[1])) or real(d, *a))
+    parts = sorted(map(tuple, M.coco_ap(det, gt).collect()))
+    assert rows[0][0] == det.count()  # a row per detection, not one for each of ten thresholds
+    assert rows[0][1] == -(-det.count() // 50)
+    assert [p[:3] for p in parts] == [w[:3] for w in whole]
+    assert [p[3] for p in parts] == pytest.approx([w[3] for w in whole], abs=1e-12)
+    assert [p[4] for p in parts] == [w[4] for w in whole]
