@@ -236,7 +236,7 @@ def sampled_precision(rows: DataFrame, counts: DataFrame, order: list[Column | s
     begun = begun.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in ("_curve", "n", "tp", "fp", "num_gts"))))).alias("b"))
     kept = [f for f in t.schema.fields if f.name not in key]
     first = begun.select(*key, *(F.lit(-1).cast("long").alias("_i") if f.name == "_i" else F.lit(None).cast(f.dataType).alias(f.name) for f in kept), *(F.col("b")[c].alias(f"b{c}") for c in ("_curve", "n", "tp", "fp", "num_gts")))
-    both = t.where("class_id is not null").select(*key, *(f.name for f in kept), *(F.lit(None).cast("array<bigint>").alias(f"b{c}") for c in ("_curve", "n", "tp", "fp", "num_gts"))).union(first)
+    both = t.where("class_id is not null").select(*key, *(f.name for f in kept), *(F.array().cast("array<bigint>").alias(f"b{c}") for c in ("_curve", "n", "tp", "fp", "num_gts"))).union(first)
 
     def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
         out = []
