@@ -381,15 +381,15 @@ def key_value_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, CAST(octet_length(encode(replace(replace(coalesce(html, ''), chr(13), ' '), chr(10), ' '))) + 1 AS BIGINT) AS length, 's3a://bucket/pages/page_id=' || page_id AS mapped, lower(url) LIKE '%.html' AS is_html FROM pages")
 def page_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC9, SC11-SC13, SC17, SC18: an object for each page, written by tasks, found again by a listing that reads no contents, with its path
-    mapped to another store; pages are told by suffix without regard to case."""
+    """SC9, SC11-SC13, SC17, SC18: an object for each page, written by tasks, found again by a listing that reads no contents and is made by tasks, with its
+    path mapped to another store; pages are told by suffix without regard to case."""
     path = folder(spark, "pages")
     p = table(spark, sf_dir, "pages")
     line = F.translate(F.coalesce("html", F.lit("")), "\r\n", "  ")  # an object of one line
-    p.select("page_id", line.alias("value")).repartition("page_id").write.partitionBy("page_id").text(path)
-    found = Z.list_files(spark, path, ".txt", case_sensitive=False)
-    place = F.regexp_extract("path", r"(page_id=(\d+))/[^/]*$", 1)
-    found = found.select(F.regexp_extract(place, r"(\d+)", 1).cast("long").alias("page_id"), "length", F.lit(Z.mapped_path(f"{path}/", {path: "s3a://bucket/pages"})).alias("to"), place.alias("place"))
+    Z.put_objects(p.select(F.concat(F.lit("page_id="), "page_id", F.lit(".txt")).alias("key"), F.concat(line, F.lit("\n")).alias("content")), path)
+    found = Z.list_objects(spark, path, ".txt", case_sensitive=False)
+    place = F.regexp_extract("path", r"(page_id=-?\d+)\.[^./]*$", 1)  # the other store has no folders
+    found = found.select(F.regexp_extract(place, r"(-?\d+)", 1).cast("long").alias("page_id"), "length", F.lit(Z.mapped_path(f"{path}/", {path: "s3a://bucket/pages"})).alias("to"), place.alias("place"))
     return found.join(p, "page_id").select("page_id", "length", F.concat("to", "place").alias("mapped"), F.endswith(F.lower("url"), F.lit(".html")).alias("is_html"))
 
 

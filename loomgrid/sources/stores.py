@@ -7,11 +7,19 @@ one per task (``multiLine``); line formats split.
 from __future__ import annotations
 
 import json
+import re
+import uuid
+import zlib
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgrid.session import reachable
+
 FORMATS: dict[str, tuple] = {}
 
 
@@ -105,10 +113,14 @@ def dict_from_file(spark: SparkSession, path: str, key_type: str = "string") ->
 
 
 def list_files(spark: SparkSession, path: str, suffix: str | tuple[str, ...] | None = None, recursive: bool = True, case_sensitive: bool = True) -> DataFrame:
-    """(path, length, modified): files but those with a leading dot; contents are never read."""
+    """(path, length, modified): files but those with a leading dot; contents are never read. Spark lists at the driver: for very many see ``list_objects``."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    return _named(d, suffix, case_sensitive)
+
+
+def _named(files: DataFrame, suffix: str | tuple[str, ...] | None, case_sensitive: bool) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
-    d = d.where(~F.startswith(name, F.lit(".")))
+    d = files.where(~F.startswith(name, F.lit(".")))
     if suffix:
         ends = F.lit(False)
         for s in (suffix,) if isinstance(suffix, str) else suffix:
@@ -353,6 +365,77 @@ def mapped_path(uri: str, mapping: dict[str, str]) -> str:
     return uri
 
 
+# very many objects, put and listed by tasks -------------------------------------------------------------
+
+FOLDERS = 256
+
+
+def _store(uri: str):
+    """Arrow's file system of a path as Spark takes it, and the folder in it; the folder must be reachable from all machines."""
+    if re.match("file:|/", uri):
+        return LocalFileSystem(), re.sub("^file:/+", "/", uri).rstrip("/")
+    store, top = FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+    return store, top.rstrip("/")
+
+
+def put_objects(objects: DataFrame, uri: str, folders: int = FOLDERS) -> int:
+    """Writes rows (key, content) as objects ``<uri>/<folder>/<key>`` and returns their number. Tasks put each object in its place themselves: keys are dealt
+    over a fixed number of folders, so no object costs a folder, and the driver has nothing to commit. An object shows only once it is whole, and one put
+    again replaces itself, so retried tasks agree; keys are to be unique. Any store that Arrow knows (disk, s3, gs, hdfs)."""
+    reachable(objects.sparkSession)
+    store, top = _store(uri)
+    store.create_dir(top)
+
+    def put(batches):
+        (store, top), made, n = _store(uri), set(), 0
+        for b in batches:
+            for key, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if not key or "/" in key or key[0] == ".":
+                    raise ValueError(f"no name for an object: {key}")
+                at = f"{top}/{zlib.crc32(key.encode()) % folders:02x}"
+                if at not in made:
+                    store.create_dir(at)
+                    made.add(at)
+                hidden = f"{at}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(hidden, compression=None) as f:
+                    f.write(content.as_buffer() or b"")
+                store.move(hidden, f"{at}/{key}")
+            n += b.num_rows
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return objects.select(F.col("key").cast("string"), F.col("content").cast("binary")).mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+FOUND = "path string, length long, modified timestamp"
+
+
+def list_objects(spark: SparkSession, uri: str, suffix: str | tuple[str, ...] | None = None, case_sensitive: bool = True) -> DataFrame:
+    """``list_files`` by tasks, for more files than a driver should hold: one lists what the folder itself holds, others each folder in it."""
+    reachable(spark)
+
+    def rows(infos, folder: bool):
+        files = [i for i in infos if i.type == FileType.File or folder]
+        at = pa.array([i.mtime_ns and i.mtime_ns // 1000 for i in files], pa.int64()).cast(pa.timestamp("us", "UTC"))
+        d = {"path": pa.array([i.path for i in files], pa.string()), "length": pa.array([i.size for i in files], pa.int64()), "modified": at}
+        return pa.RecordBatch.from_pydict(d | ({"folder": pa.array([i.type == FileType.Directory for i in files], pa.bool_())} if folder else {}))
+
+    def first(batches):
+        store, top = _store(uri)
+        for _ in batches:
+            yield rows(store.get_file_info(FileSelector(top)), True)
+
+    def below(batches):
+        store, top = _store(uri)
+        for b in batches:
+            files = b.filter(pc.invert(b["folder"])).drop_columns(["folder"])
+            for d in (files, *(rows(store.get_file_info(FileSelector(p, recursive=True)), False) for p in b.filter(b["folder"])["path"].to_pylist())):
+                yield d.set_column(0, "path", pa.array([uri.rstrip("/") + p[len(top) :] for p in d["path"].to_pylist()], pa.string()))
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = spark.range(1, numPartitions=1).mapInArrow(first, f"{FOUND}, folder boolean").repartition(n).mapInArrow(below, FOUND)
+    return _named(found, suffix, case_sensitive).hint("merge")  # Spark takes it for as small as the list of folders, and would gather it to broadcast
+
+
 # key-value backends ------------------------------------------------------------------------------------
 
 

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pandas as pd
 import pytest
@@ -8,6 +9,7 @@ from loomgrid.functions import text as T
 from loomgrid.operators import annotations as L
 from loomgrid.operators import compose as C
 from loomgrid.operators import sampling as S
+from loomgrid.plans import storage
 from loomgrid.sources import stores as Z
 from loomgrid.streaming import registry as R
 from loomgrid.streaming import runs
@@ -216,3 +218,37 @@ def test_dispatch_and_padding(spark):
     assert sorted((r.g, r["count"]) for r in S.refill(good, "g", want, "k").groupBy("g").count().collect()) == [("x", 5), ("y", 1)]
     items, lengths = spark.range(5).withColumnRenamed("id", "pos"), spark.createDataFrame([(0, 2), (1, 0), (2, 3)], "part int, length int")
     assert [(r.part, r["at"]) for r in S.chunk_by_lengths(items, lengths).orderBy("pos").collect()] == [(0, 0), (0, 1), (2, 0), (2, 1), (2, 2)]
+
+
+def test_an_object_costs_no_folder(spark, tmp_path):
+    n = 900
+    pages = spark.range(n).select((F.col("id") - 3).alias("page_id"), F.concat(F.lit("http://h/"), "id", F.expr("if(id % 2 = 0, '.HTML', '.txt')")).alias("url"), F.expr("if(id % 7 = 0, null, repeat('\\r\\né', int(id % 5)))").alias("html"))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    stores = f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/stores"
+    before = set(os.listdir(stores)) if os.path.isdir(stores) else set()
+    q = storage.page_objects(spark, str(tmp_path))
+    (new,) = set(os.listdir(stores)) - before
+    walk = list(os.walk(f"{stores}/{new}"))
+    assert len(walk) - 1 <= 256
+    assert sum(len(f) for *_, f in walk) == n  # nothing but an object for each page
+    got = {r.page_id: (r.length, r.mapped, r.is_html) for r in q.collect()}
+    assert got == {i - 3: (1 + (0 if i % 7 == 0 else 4 * (i % 5)), f"s3a://bucket/pages/page_id={i - 3}", i % 2 == 0) for i in range(n)}
+    assert "Broadcast" not in q._jdf.queryExecution().executedPlan().toString()  # files found are many, whatever Spark takes them for
+    pages.limit(0).write.parquet(str(tmp_path / "none" / "pages.parquet"))
+    assert storage.page_objects(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_objects_put_and_listed(spark, tmp_path):
+    uri = f"file:{tmp_path}/a b"
+    rows = spark.createDataFrame([("a.TXT", b"1"), ("b.txt", b""), ("c.txt.gz", b"plain"), ("_d.txt", None)], "key string, content binary")
+    assert Z.put_objects(rows, uri, 2) == 4 and Z.put_objects(rows.where("key = 'b.txt'").withColumn("content", F.lit(b"12")), uri, 2) == 1
+    (tmp_path / "a b" / ".hidden.txt").write_text("x")
+    (tmp_path / "a b" / "top.txt").write_text("xyz")
+    kinds = ({}, dict(suffix=".txt"), dict(suffix=(".txt", ".gz"), case_sensitive=False))
+    got = [{r.path.rsplit("/", 1)[1]: r.length for r in Z.list_objects(spark, uri, **k).collect()} for k in kinds]
+    every = {"a.TXT": 1, "b.txt": 2, "c.txt.gz": 5, "_d.txt": 0, "top.txt": 3}
+    assert got == [every, {k: every[k] for k in ("b.txt", "_d.txt", "top.txt")}, every]
+    one = Z.list_objects(spark, uri, "b.txt").first()
+    assert one.path.startswith(f"{uri}/") and abs(one.modified.timestamp() - os.path.getmtime(one.path.removeprefix("file:"))) < 1
+    with pytest.raises(Exception, match="no name for an object"):
+        Z.put_objects(spark.createDataFrame([("x/y", b"")], "key string, content binary"), uri)
