@@ -38,17 +38,17 @@ CAT_SQL = "(VALUES (3, 'three', true, 'r', 0), (1, 'one', false, 'c', 1), (2, 't
 def documents(spark: SparkSession, sf_dir: str) -> str:
     """Writes COCO-style documents of images and annotations; returns the folder."""
     img = X.images(spark, sf_dir).select(
-        F.expr(f"image_id div {PER}").alias("doc"),
+        F.expr(f"coalesce(image_id div {PER}, -1)").alias("doc"),
         F.struct(F.col("image_id").alias("id"), F.concat(F.lit("COCO_val2014_"), F.lpad(F.col("image_id").cast("string"), 12, "0"), F.lit(".jpg")).alias("file_name"), "width", "height", F.concat(F.lit("picture "), F.col("image_id").cast("string")).alias("caption"), F.concat(F.lit("http://images.cocodataset.org/val2017/"), F.col("image_id").cast("string"), F.lit(".jpg")).alias("coco_url"), F.concat(F.lit("seg/"), F.col("image_id").cast("string"), F.lit(".png")).alias("segm_file")).alias("x"),
     )
     a = X.annotations(spark, sf_dir)
     seg = F.array(*(F.struct((F.col("ann_id") * 10 + k).alias("id"), F.lit(k + 1).alias("category_id"), F.lit(k).alias("iscrowd"), (F.col("ann_id") + k).alias("area")) for k in range(2)))
-    ann = a.select(F.expr(f"image_id div {PER}").alias("doc"), F.struct(F.col("ann_id").alias("id"), "image_id", F.expr("int(ann_id % 3 + 1)").alias("category_id"), "bbox", "area", F.col("iscrowd").cast("int").alias("iscrowd"), "ignore", seg.alias("segments_info"), F.concat(F.lit("pan/"), F.col("image_id").cast("string"), F.lit(".png")).alias("file_name"), F.array(F.array(F.lit(0), F.lit(3)), F.array(F.lit(4), F.lit(9))).alias("tokens_positive")).alias("x"))
+    ann = a.select(F.expr(f"coalesce(image_id div {PER}, -1)").alias("doc"), F.struct(F.col("ann_id").alias("id"), "image_id", F.expr("int(ann_id % 3 + 1)").alias("category_id"), "bbox", "area", F.col("iscrowd").cast("int").alias("iscrowd"), "ignore", seg.alias("segments_info"), F.concat(F.lit("pan/"), F.col("image_id").cast("string"), F.lit(".png")).alias("file_name"), F.array(F.array(F.lit(0), F.lit(3)), F.array(F.lit(4), F.lit(9))).alias("tokens_positive")).alias("x"))
     images, anns = (d.groupBy("doc").agg(F.collect_list("x").alias(n)) for d, n in ((img, "images"), (ann, "annotations")))
     cats = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"), F.lit(t).alias("isthing"), F.lit(f).alias("frequency")) for i, n, t, f in CATS))
     doc = images.join(anns, "doc", "full").withColumn("categories", F.when(F.col("doc") == 0, cats))
     path = folder(spark, "coco")
-    doc.select("doc", F.to_json(F.struct("images", "annotations", "categories")).alias("value")).write.partitionBy("doc").text(path)  # a file each
+    Z.put_objects(doc.select(F.concat(F.lit("doc="), "doc", F.lit(".json")).alias("key"), F.to_json(F.struct("images", "annotations", "categories")).alias("content")), path)  # a file each
     return path
 
 

@@ -139,7 +139,7 @@ CATEGORIES = "array<struct<id:int,name:string,isthing:int,frequency:string>>"
 def read_coco(spark: SparkSession, path: str, file_name: str = "plain", sort_categories: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, categories with dense ``label``) of a COCO-style document. ``file_name``: ``plain``; ``last16`` (strips a
     set's prefix); ``url`` (from coco_url); ``last2`` (last folder and name)."""
-    doc = spark.read.schema(f"images {IMAGES}, annotations {ANNOTATIONS}, categories {CATEGORIES}").option("multiLine", True).json(path)
+    doc = spark.read.schema(f"images {IMAGES}, annotations {ANNOTATIONS}, categories {CATEGORIES}").option("multiLine", True).option("recursiveFileLookup", True).json(path)
     img = doc.select(F.explode("images").alias("i")).select("i.*")
     name = {
         "plain": F.col("file_name"),
@@ -168,7 +168,7 @@ def read_objects365(spark: SparkSession, path: str, version: str = "v2", drop: D
 
 def read_panoptic(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, segments, categories); a segment id means something only with its image."""
-    doc = spark.read.schema(f"images {IMAGES}, annotations {ANNOTATIONS}, categories {CATEGORIES}").option("multiLine", True).json(path)
+    doc = spark.read.schema(f"images {IMAGES}, annotations {ANNOTATIONS}, categories {CATEGORIES}").option("multiLine", True).option("recursiveFileLookup", True).json(path)
     images, _, categories = read_coco(spark, path)
     a = doc.select(F.explode("annotations").alias("a")).select("a.image_id", F.col("a.file_name").alias("segm_file"), F.explode("a.segments_info").alias("s"))
     seg = a.select("image_id", "segm_file", F.col("s.id").alias("id"), F.col("s.category_id").alias("category_id"), (F.coalesce("s.iscrowd", F.lit(0)) == 1).alias("iscrowd"), F.col("s.area").alias("area"))

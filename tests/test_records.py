@@ -252,3 +252,15 @@ def test_objects_put_and_listed(spark, tmp_path):
     assert one.path.startswith(f"{uri}/") and abs(one.modified.timestamp() - os.path.getmtime(one.path.removeprefix("file:"))) < 1
     with pytest.raises(Exception, match="no name for an object"):
         Z.put_objects(spark.createDataFrame([("x/y", b"")], "key string, content binary"), uri)
+
+
+def test_a_document_costs_no_folder(spark, sf_dir, tmp_path):
+    n, o = 64 * 300, spark.read.parquet(f"{sf_dir}/orders.parquet")
+    spark.range(n).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    o.withColumn("o_custkey", F.expr("if(o_orderkey % 3 = 0, null, o_custkey)")).write.parquet(str(tmp_path / "orders.parquet"))
+    path = storage.documents(spark, str(tmp_path))
+    walk = list(os.walk(path.removeprefix("file://")))
+    assert len(walk) - 1 <= 256
+    assert sum(len(f) for *_, f in walk) == 301  # and one for what has no image
+    images, annotations, categories = Z.read_coco(spark, path)
+    assert (images.count(), annotations.count(), categories.count()) == (n, o.count(), 3)
