@@ -1,6 +1,7 @@
 """Consensus scores of captions against a plain version."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -45,3 +46,43 @@ def test_no_table_of_texts_passes_the_driver(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def shuffled(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def corpus(seed, items, refs, length, vocabulary):
+    rng = random.Random(seed)
+    text = lambda: " ".join(f"w{int(vocabulary * rng.random() ** 3)}" for _ in range(rng.randint(0, length)))
+    return [(i, text()) for i in range(items)], [(i, k, text()) for i in range(items) for k in range(refs(i))]
+
+
+CAPS, REFS = "image_id int, text string", "image_id int, ref_idx int, text string"
+
+
+def test_few_bytes_are_shuffled(spark):
+    """N-grams are four to a word, and a row for each, moved several times, was 65 times the texts."""
+    caps, refs = corpus(1, 100, lambda i: 3, 300, 5000)
+    c, r = spark.createDataFrame(caps, CAPS), spark.createDataFrame(refs, REFS)
+    before = shuffled(spark)
+    assert C.consensus(c, r).count() == 100
+    assert 0 < shuffled(spark) - before < 15 * sum(len(x[-1]) for x in [*caps, *refs])
+
+
+def test_blocks_meet(spark, monkeypatch):
+    """Items over several blocks, and one that is larger than a block: it counts once."""
+    caps, refs = corpus(2, 12, lambda i: 60 if i == 5 else i % 4, 12, 30)
+    monkeypatch.setattr(C, "BLOCK", 700)
+    got = {r.image_id: (r.n_refs, r.score) for r in C.consensus(spark.createDataFrame(caps, CAPS), spark.createDataFrame(refs, REFS)).collect()}
+    want = plain(caps, refs)
+    assert got.keys() == want.keys() and got[5][0] == 60
+    for k, (n, s) in want.items():
+        assert got[k] == (n, pytest.approx(s, abs=1e-9))
+
+
+def test_null_items_hold_nothing(spark):
+    caps, refs = [(1, "two dogs run"), (2, "a red bird")], [(1, 0, "two dogs"), (2, 0, "a bird")]
+    got = {r.image_id: r.score for r in C.consensus(spark.createDataFrame([*caps, (None, "two dogs")], CAPS), spark.createDataFrame([*refs, (None, 0, "two dogs run")], REFS)).collect()}
+    assert got == {k: pytest.approx(s, abs=1e-9) for k, (_, s) in plain(caps, refs).items()}
